@@ -1,0 +1,16 @@
+"""Registered queries with their SQL counterparts."""
+
+
+class Book:
+    """Collects (name -> Spark callable) and (name -> SQL)."""
+
+    def __init__(self):
+        self.QUERIES, self.ORACLE = {}, {}
+
+    def query(self, name, oracle=None):
+        def add(fn):
+            self.QUERIES[name] = fn
+            if oracle:
+                self.ORACLE[name] = oracle
+            return fn
+        return add

@@ -7,19 +7,11 @@ from pyspark.sql import functions as F
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores, vectors
 from driftwarden.operators import ewma, joins, ordering, scoring, sessions
-from registry import fixtures as fx
+from registry import Book, fixtures as fx
 from registry.fixtures import r6, sql
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(name, oracle=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle:
-            ORACLE[name] = oracle
-        return fn
-    return add
+book = Book()
+query = book.query
 
 
 # --- flagship ----------------------------------------------------------------
