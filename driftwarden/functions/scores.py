@@ -17,6 +17,12 @@ def clamp(value, lo: float, hi: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), value)))
 
 
+def round_even(value, digits: int) -> Column:
+    """numpy-style rounding: scale, round half to even, scale back."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(_c(value).cast("double") * scale) / scale
+
+
 def ratio(num, den) -> Column:
     """num / den, zero when the denominator is zero."""
     num, den = _c(num).cast("double"), _c(den).cast("double")
@@ -74,8 +80,8 @@ def serving_sbrs(score, a, beta=fv.SBRS_BETA) -> Column:
     a = clamp(_c(a).cast("double"), 0.0, 1.0)
     value = s * (F.lit(1.0) + _c(beta) * a) / F.lit(100.0)
     return F.struct(
-        s.alias("sensitivity_score"), F.bround(a, 4).alias("hybrid_anomaly_score"),
-        _c(beta).cast("double").alias("beta"), F.bround(value, 4).alias("sbrs_value"),
+        s.alias("sensitivity_score"), round_even(a, 4).alias("hybrid_anomaly_score"),
+        _c(beta).cast("double").alias("beta"), round_even(value, 4).alias("sbrs_value"),
         band_category(value).alias("sbrs_category"), band_action(value).alias("enforcement_action"),
         F.lit("SBRS = S * (1 + beta * A_hybrid) / 100").alias("formula"))
 

@@ -12,7 +12,7 @@ def refresh_risk(df: DataFrame, s: str = "pii_sensitivity_score", a: str = "hybr
                  beta=fv.SBRS_BETA, bands=fv.SBRS_BANDS) -> DataFrame:
     """Recompute the risk columns from stored S and A; bands on the unrounded value."""
     return (df.withColumn("_v", scores.sbrs(s, a, beta))
-            .withColumns({"sbrs_value": F.bround("_v", 4), "sbrs_category": scores.band_category("_v", bands),
+            .withColumns({"sbrs_value": scores.round_even("_v", 4), "sbrs_category": scores.band_category("_v", bands),
                           "hybrid_action": scores.band_action("_v", bands)}).drop("_v"))
 
 
@@ -20,12 +20,12 @@ def emit_rows(scored: DataFrame) -> DataFrame:
     """Scored sessions in the stored layout with column-specific half-even rounding."""
     value = {
         "time_gap_sec": F.rint("time_gap_sec").cast("bigint"),
-        "activity_rate_per_hr": F.bround("activity_rate_per_hr", 3),
-        "ewma_previous": F.bround("ewma_previous", 3), "ewma_new": F.bround("ewma_new", 4),
-        "ewma_deviation": F.bround("ewma_deviation", 4), "ewma_anomaly_flagged": F.col("ewma_flag"),
-        "lstm_score": F.bround("a_lstm", 4), "isolation_forest_score": F.bround("a_if", 4),
-        "hybrid_anomaly_score": F.bround("a_hybrid", 4), "hybrid_anomaly_flagged": F.col("hybrid_flag"),
-        "pii_sensitivity_score": F.col("s").cast("int"), "sbrs_value": F.bround("sbrs_value", 4),
+        "activity_rate_per_hr": scores.round_even("activity_rate_per_hr", 3),
+        "ewma_previous": scores.round_even("ewma_previous", 3), "ewma_new": scores.round_even("ewma_new", 4),
+        "ewma_deviation": scores.round_even("ewma_deviation", 4), "ewma_anomaly_flagged": F.col("ewma_flag"),
+        "lstm_score": scores.round_even("a_lstm", 4), "isolation_forest_score": scores.round_even("a_if", 4),
+        "hybrid_anomaly_score": scores.round_even("a_hybrid", 4), "hybrid_anomaly_flagged": F.col("hybrid_flag"),
+        "pii_sensitivity_score": F.col("s").cast("int"), "sbrs_value": scores.round_even("sbrs_value", 4),
         "timestamp": F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")}
     have = set(scored.columns)
     names = [c for c, _ in fv.COMPARISON_COLUMNS + fv.SCORED_EXTRA_COLUMNS]

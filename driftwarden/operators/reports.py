@@ -51,7 +51,7 @@ def model_comparison(df: DataFrame) -> DataFrame:
     out = detector_table(df, flags, name="model")
     accuracy = scores.ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
     rates = out.withColumn("accuracy", accuracy)
-    return rates.select("model", *COUNTS, *[F.bround(c, 3).alias(c) for c in
+    return rates.select("model", *COUNTS, *[scores.round_even(c, 3).alias(c) for c in
                                             ("precision", "recall", "f1", "fpr", "accuracy")])
 
 

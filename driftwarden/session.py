@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage table to the shared folder and read it back.
+
+    Used between the stages of a long job: later plans start from a columnar table (with
+    column pruning and filter pushdown) instead of repeating the whole lineage, and a lost
+    executor costs only the tasks it ran.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

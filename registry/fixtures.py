@@ -9,11 +9,11 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores
-from driftwarden.operators import ewma, ordering, sessions
+from driftwarden.operators import ewma, sessions
+from driftwarden.session import stage_table
 
 _SHARED: dict[tuple, DataFrame] = {}
 
@@ -23,11 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Stage table reused by many reports of one application; blocks lost with an executor are
-    recomputed from lineage."""
+    """Stage table written once per application and read by many reports."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _SHARED:
-        _SHARED[key] = build(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        _SHARED[key] = stage_table(build(spark, sf_dir), name)
     return _SHARED[key]
 
 
@@ -128,7 +127,7 @@ def scored(spark, sf_dir) -> DataFrame:
     from driftwarden.operators import scoring
 
     def build(spark, sf_dir):
-        raw = raw_scored(spark, sf_dir)
+        raw = stage_table(raw_scored(spark, sf_dir), "raw_scores")
         cal = raw.filter("in_calib")
         fused = scoring.calibrate_and_fuse(
             raw, scoring.fit_calibrator(cal, "raw_personal"), scoring.fit_calibrator(cal, "raw_global"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores
+from driftwarden.plans import risk_calibration
 from driftwarden.operators import enforcement, joins, ordering, reports, scoring, sessions, tuning
 from registry import Book, fixtures as fx
 from registry.fixtures import r6, sql
@@ -75,10 +76,10 @@ def score_calibrators(spark, sf_dir):
 
 
 @query("emitted_rows", sql("""SELECT user_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp",
-    round(ewma_previous, 3) AS ewma_previous, round(ewma_new, 4) AS ewma_new, round(ewma_deviation, 4) AS ewma_deviation,
-    ewma_flag AS ewma_anomaly_flagged, round(a_lstm, 4) AS lstm_score, round(a_if, 4) AS isolation_forest_score,
-    round(a_hybrid, 4) AS hybrid_anomaly_score, hybrid_flag AS hybrid_anomaly_flagged, s AS pii_sensitivity_score,
-    round(sbrs_value, 4) AS sbrs_value, sbrs_category, base_action, hybrid_action, is_true_threat, ewma_correct,
+    round_even(ewma_previous * 1e3, 0) / 1e3 AS ewma_previous, round_even(ewma_new * 1e4, 0) / 1e4 AS ewma_new, round_even(ewma_deviation * 1e4, 0) / 1e4 AS ewma_deviation,
+    ewma_flag AS ewma_anomaly_flagged, round_even(a_lstm * 1e4, 0) / 1e4 AS lstm_score, round_even(a_if * 1e4, 0) / 1e4 AS isolation_forest_score,
+    round_even(a_hybrid * 1e4, 0) / 1e4 AS hybrid_anomaly_score, hybrid_flag AS hybrid_anomaly_flagged, s AS pii_sensitivity_score,
+    round_even(sbrs_value * 1e4, 0) / 1e4 AS sbrs_value, sbrs_category, base_action, hybrid_action, is_true_threat, ewma_correct,
     hybrid_correct, split, threat_class, is_benign_burst, episode_id FROM (SELECT * REPLACE (
     ewma_previous + 1e-9 AS ewma_previous, ewma_new + 1e-9 AS ewma_new, ewma_deviation + 1e-9 AS ewma_deviation) FROM scored)""",
     "scored"))
@@ -90,7 +91,7 @@ def emitted_rows(spark, sf_dir):
     return enforcement.emit_rows(s).drop("time_gap_sec", "activity_rate_per_hr")
 
 
-@query("risk_refresh", osql("""SELECT user_id, hour_index, round(v, 4) AS sbrs_value,
+@query("risk_refresh", osql("""SELECT user_id, hour_index, round_even(v * 1e4, 0) / 1e4 AS sbrs_value,
     CASE WHEN v >= 184e-2 THEN 'HIGH-RISK' WHEN v >= 122e-2 THEN 'SENSITIVE' ELSE 'SAFE' END AS sbrs_category,
     CASE WHEN v >= 184e-2 THEN 'BLOCK' WHEN v >= 122e-2 THEN 'ALERT' ELSE 'PERMIT' END AS hybrid_action
     FROM (SELECT *, s * (1e0 + 25e-1 * a_hybrid) / 100e0 AS v FROM test4)""", "test4"))
@@ -101,7 +102,7 @@ def risk_refresh(spark, sf_dir):
 
 @query("risk_refresh_metrics", osql(f"SELECT rule, tp, fp, fn, tn, {RATES} FROM " + stacked({
     "hybrid_alert_or_block": "v >= 122e-2", "hybrid_block_only": "v >= 184e-2",
-    "doc_bands_alert_or_block": "round(v, 4) >= 5e-1"}, "rule",
+    "doc_bands_alert_or_block": "round_even(v * 1e4, 0) / 1e4 >= 5e-1"}, "rule",
     "(SELECT *, s * (1e0 + 25e-1 * a_hybrid) / 100e0 AS v FROM test4)"), "test4"))
 def risk_refresh_metrics(spark, sf_dir):
     out = enforcement.refresh_risk(stored(spark, sf_dir, "test"), "s", "a_hybrid")
@@ -392,8 +393,8 @@ def beta_auc_curve(spark, sf_dir):
 
 def calibrated(spark, sf_dir):
     val = stored(spark, sf_dir, "val")
-    beta = tuning.knee(tuning.beta_auc(val)).scalar()
-    return val, beta, tuning.derive_bands(val, beta)
+    fit = risk_calibration.calibrate(val)
+    return val, fit.beta, fit.bands
 
 
 @query("calibrated_bands", bsql("SELECT beta, round(t_alert, 6) AS t_alert, round(t_block, 6) AS t_block FROM kneeb, bands", "kneeb", "bands"))
