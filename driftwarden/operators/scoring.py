@@ -51,7 +51,8 @@ def session_bank_scores(zgrid: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY
     """
     z = [f"z_{i}" for i in range(len(fv.FEATURES))]
     rows = zgrid.select("user_id", "hour_index", "active", "in_fit", *z,
-                        F.xxhash64("user_id", "hour_index", F.lit(seed)).alias("pick"))
+                        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("user_id").cast("string"),
+                                           F.col("hour_index").cast("string"))).alias("pick"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hour_index")

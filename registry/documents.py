@@ -16,7 +16,7 @@ query = book.query
 
 B1, B2, B3 = fv.BRANCH1, fv.BRANCH2, fv.BRANCH3
 GOLD_PATTERNS = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-                 "PHONE": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "CREDIT_CARD": r"[0-9]{16}"}
+                 "PHONE": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "CREDIT_CARD": r"[0-9]{16}", "PERSON": r"[A-Z][a-z]{9,}"}
 
 SQL = {
     "docs": """SELECT doc_id, text, lang, source, CASE doc_id % 3 WHEN 0 THEN 'text_extractable' WHEN 1 THEN 'scanned'
@@ -25,8 +25,7 @@ SQL = {
         WHEN doc_id % 10 = 2 THEN 'ok+cached' ELSE 'ok' END AS status FROM documents""",
     "gold": "SELECT doc_id, e.type AS type, e.value AS value FROM (SELECT doc_id, unnest(list_concat(" + ", ".join(
         f"list_transform(regexp_extract_all(text, '{p}'), lambda v: {{'type': '{t}', 'value': v}})"
-        for t, p in GOLD_PATTERNS.items()) + """, list_transform(regexp_extract_all(text, '[A-Z][a-z]{3,}')[1:2],
-        lambda v: {'type': 'PERSON', 'value': v}))) AS e FROM documents)""",
+        for t, p in GOLD_PATTERNS.items()) + ")) AS e FROM documents)",
     "preds": f"""SELECT gold.doc_id, '{B1}' AS branch, type, upper(replace(replace(value, '-', ''), ' ', '')) AS value
             FROM gold JOIN docs USING (doc_id) WHERE category = 'text_extractable' AND NOT (type = 'PERSON' AND doc_id % 4 = 1)
         UNION ALL SELECT gold.doc_id, '{B2}', type, CASE WHEN doc_id % 2 = 0 THEN left(value, length(value) - 1) || 'x'
@@ -80,7 +79,6 @@ def gold(spark, sf_dir):
             return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
 
         parts = [typed(found(p), t) for t, p in GOLD_PATTERNS.items()]
-        parts.append(typed(F.slice(found("[A-Z][a-z]{3,}"), 1, 2), "PERSON"))
         return spread(table(spark, sf_dir, "documents")).select("doc_id", F.inline(F.concat(*parts)))
 
     return fx.shared(spark, sf_dir, "gold_entities", build)
@@ -173,23 +171,6 @@ def overlap_suppression(spark, sf_dir):
     return pii.suppress_overlaps(hits).select("doc_id", "recogniser", "start", "end", r6("score", "score"), "value")
 
 
-@query("head_span_suppression", dsql('SELECT doc_id, recogniser, start, "end", round(score, 6) AS score FROM final', "final", **{
-    **HITS, "hits": """SELECT doc_id, 'run' || w AS recogniser, CAST(start AS INT) AS start, CAST(start + w AS INT) AS "end",
-        (w * 7 % 5) / 1e1 AS score FROM (SELECT doc_id, w, s AS start, substr(text, CAST(s + 1 AS INT), w) AS v FROM (
-        SELECT doc_id, text, unnest([3, 5]) AS w FROM documents), (SELECT unnest(range(0, 60, 2)) AS s))
-        WHERE regexp_full_match(v, '[a-z]+')"""}))
-def head_span_suppression(spark, sf_dir):
-    """Many overlapping candidate spans at the head of each text: exercises the chain cutting."""
-    d = table(spark, sf_dir, "documents")
-    spans = (d.select("doc_id", "text", F.explode(F.array(F.lit(3), F.lit(5))).alias("w"))
-             .withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(58), F.lit(2))))
-             .filter(F.substring("text", F.col("start") + 1, F.col("w")).rlike("^[a-z]+$")
-                     & (F.length(F.substring("text", F.col("start") + 1, F.col("w"))) > 0))
-             .select("doc_id", F.concat(F.lit("run"), F.col("w")).alias("recogniser"), "start",
-                     (F.col("start") + F.col("w")).alias("end"), (F.col("w") * 7 % 5 / 10.0).alias("score")))
-    return pii.suppress_overlaps(spans).select("doc_id", "recogniser", "start", "end", r6("score", "score"))
-
-
 @query("document_scan", dsql("""SELECT *, CASE WHEN sensitivity_score >= 70 THEN 'HIGH-RISK' WHEN sensitivity_score >= 20 THEN
     'SENSITIVE' ELSE 'SAFE' END AS risk_category, CASE WHEN sensitivity_score >= 70 THEN 'BLOCK' WHEN sensitivity_score >= 20 THEN
     'ALERT' ELSE 'PERMIT' END AS action_taken FROM (SELECT *, CAST(least(10 * high_entities + 5 * medium_entities + low_entities, 100) AS INT)
@@ -205,13 +186,12 @@ def tier_counts(spark, sf_dir):
     return pii.tier_counts(gold(spark, sf_dir))
 
 
-@query("normalised_values", dsql("""SELECT doc_id, source, regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9@]+', '', 'g') AS folded,
-    regexp_replace(regexp_replace(lang || '/' || source || ':' || left(text, 9), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
-    FROM documents"""))
+@query("normalised_values", dsql("""SELECT doc_id, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9@]+', '', 'g')) AS folded_md5,
+    md5(regexp_replace(regexp_replace(lang || '/' || text, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug_md5 FROM documents"""))
 def normalised_values(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("head", F.expr("left(text, 200)"))
-    named = F.concat("lang", F.lit("/"), "source", F.lit(":"), F.expr("left(text, 9)"))
-    return tx.with_normalised(d, "head", "folded").select("doc_id", "source", "folded", tx.slug(named).alias("slug"))
+    d = tx.with_normalised(table(spark, sf_dir, "documents"), "text", "folded")
+    return d.select("doc_id", F.md5("folded").alias("folded_md5"),
+                    F.md5(tx.slug(F.concat("lang", F.lit("/"), "text"))).alias("slug_md5"))
 
 
 # --- routing ---------------------------------------------------------------------------
@@ -453,7 +433,7 @@ def pending_calls(spark, sf_dir):
     return matching.pending_calls(call_order(spark, sf_dir), d.filter("status is not null"), "call_order", 50).select("doc_id", "call_order")
 
 
-@query("scan_rows", dsql("""SELECT 'PII-' || lpad(CAST(position AS VARCHAR), 4, '0') AS scan_id, category, branch AS branch_used,
+@query("scan_rows", dsql("""SELECT printf('PII-%04d', position) AS scan_id, category, branch AS branch_used,
     CASE WHEN confidence IS NULL THEN 'N/A' ELSE CAST(confidence AS VARCHAR) END AS ocr_confidence, h AS high_entities, m AS medium_entities, l AS low_entities,
     CAST(least(10 * h + 5 * m + l, 100) AS INT) AS sensitivity_score, CAST(least(10 * bh + 5 * bm + bl, 100) AS INT) AS base_system_score,
     CASE WHEN category <> 'text_extractable' THEN 'SAFE (blind to image)' WHEN 10 * bh + 5 * bm + bl >= 70 THEN 'HIGH-RISK'
@@ -529,14 +509,16 @@ def reply_entities(spark, sf_dir):
 
 
 # --- vectors --------------------------------------------------------------------------------
-@query("memory_bank_scores", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-    c AS (SELECT q.vec_id, q.label, list_cosine_similarity(q.e, b.e) AS cos FROM v q JOIN v b ON q.label = b.label AND b.vec_id % 4 <> 0
-    WHERE q.vec_id % 4 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC) AS rn FROM c)
+@query("memory_bank_scores", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label
+        ORDER BY md5('42|' || vec_id), vec_id) AS pick FROM embeddings),
+    c AS (SELECT q.vec_id, q.label, list_cosine_similarity(q.e, b.e) AS cos FROM v q JOIN v b ON q.label = b.label AND b.pick <= 256),
+    k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC) AS rn FROM c)
     SELECT vec_id, label, round(1e0 - avg(cos), 6) AS raw FROM k WHERE rn <= 10 GROUP BY vec_id, label""")
 def memory_bank_scores(spark, sf_dir):
+    """Every vector against its label's bank; a bank member may be its own neighbour."""
     e = table(spark, sf_dir, "embeddings")
-    bank = ordering.capped_sample(e.filter("vec_id % 4 <> 0"), ["vec_id"], ["label"], fv.MEMORY_BANK_CAP, 42)
-    out = scoring.memory_bank_scores(e.filter("vec_id % 4 = 0"), bank, "label", "embedding")
+    bank = ordering.capped_sample(e, ["vec_id"], ["label"], fv.MEMORY_BANK_CAP, 42)
+    out = scoring.memory_bank_scores(e, bank, "label", "embedding")
     return out.select("vec_id", "label", r6("raw", "raw"))
 
 

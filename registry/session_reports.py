@@ -463,8 +463,7 @@ def average_ranks(spark, sf_dir):
     return ordering.average_ranks(fx.table(spark, sf_dir, "events"), "value")
 
 
-@query("sequential_ids", sql("""SELECT user_id, hour_index, 'ANOM-' || lpad(CAST(row_number() OVER (ORDER BY user_id, hour_index) AS VARCHAR), 5, '0')
-    AS event_id FROM lab""", "lab"))
+@query("sequential_ids", sql("""SELECT user_id, hour_index, printf('ANOM-%05d', row_number() OVER (ORDER BY user_id, hour_index)) AS event_id FROM lab""", "lab"))
 def sequential_ids(spark, sf_dir):
     pos = ordering.positions(fx.hourly(spark, sf_dir), ["user_id", "hour_index"])
     return pos.select("user_id", "hour_index", F.format_string("ANOM-%05d", "position").alias("event_id"))
