@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row: a lambda variable is bound, whereas
+    an expression used inside a lambda would be evaluated again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda s, x: s + x)
 
 
+def dot_fixed(a: Column, b: Column, width: int) -> Column:
+    """Dot product of short arrays of known length."""
+    total = a[0] * b[0]
+    for i in range(1, width):
+        total = total + a[i] * b[i]
+    return total
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def unit(a: Column, floor: float = 1e-9) -> Column:
-    length = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return let(F.greatest(norm(a), F.lit(floor)),
+               lambda length: F.transform(a, lambda x: x.cast("double") / length))
 
 
 def top_k_mean(values: Column, k: int) -> Column:
-    best = F.slice(F.sort_array(values, asc=False), 1, k)
-    return F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best)
+    return let(F.slice(F.sort_array(values, asc=False), 1, k),
+               lambda best: F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best))
 
 
 def mean_squared_error(pred: Column, actual: Column) -> Column:

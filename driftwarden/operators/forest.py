@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .. import fixed_values as fv
+from ..session import hash_spread
 
 TREE = ("tree int, sample_size int, feature array<int>, threshold array<double>, "
         "left array<int>, right array<int>, path array<double>")
@@ -66,14 +67,14 @@ def fit_forest(rows: DataFrame, features: list[str], keys: list[str], trees: int
                size: int = fv.FOREST_SAMPLE, seed: int = 42) -> DataFrame:
     """One row of node arrays per tree; each tree is grown in its own task group of at most
     `size` rows."""
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(keys)[features].to_numpy(float)
         depth = math.ceil(math.log2(max(len(x), 2)))
         tree = grow(x, np.random.default_rng([seed, int(key[0])]), depth)
         return pd.DataFrame([{"tree": key[0], "sample_size": len(x), **tree}])
 
     samples = tree_samples(rows.select(*keys, *features), keys, trees, size, seed)
-    return samples.groupBy("tree").applyInPandas(build, TREE)
+    return hash_spread(samples, "tree", most=trees).groupBy("tree").applyInPandas(build, TREE)
 
 
 class Forest:

@@ -8,25 +8,48 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import scores, vectors
+from ..session import hash_spread
 from . import ordering
 
 
 # --- memory bank -------------------------------------------------------------
-def memory_bank_scores(queries: DataFrame, bank: DataFrame, key: str, vector: str,
-                       k: int = fv.TOPK) -> DataFrame:
-    """raw = 1 - mean of the k largest cosines with the key's bank; 0 for an empty bank.
+CHUNK_ROWS = 20_000
 
-    `bank` has a capped number of rows per key (see `capped_sample`), so it is kept as one
-    array per key and no (query, bank row) pairs are ever emitted.
+
+def memory_bank_scores(queries: DataFrame, bank: DataFrame, key: str, vector: str, ids: list[str],
+                       k: int = fv.TOPK, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(ids, key, raw) with raw = 1 - mean of the k largest cosines with the key's bank; 0 for
+    an empty bank.
+
+    Queries of a key are cut into chunks of about `chunk_rows` and each chunk meets a copy of
+    the key's bank, whose size is capped (see `capped_sample`).  A key with a third of all
+    queries is thus spread over many tasks, and no (query, bank row) pairs are shuffled.
     """
     from .joins import lookup_join
 
-    grouped = (bank.select(key, vectors.unit(F.col(vector)).alias("_b"))
-               .groupBy(key).agg(F.collect_list("_b").alias("_bank")))
-    joined = lookup_join(queries, grouped, key).withColumn("_q", vectors.unit(F.col(vector)))
-    cosines = F.transform("_bank", lambda b: vectors.dot(F.col("_q"), b))
-    raw = F.when(F.col("_bank").isNull(), 0.0).otherwise(F.lit(1.0) - vectors.top_k_mean(cosines, k))
-    return joined.select(*queries.columns, raw.alias("raw"))
+    chunks = (queries.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_chunks"))
+              .filter(F.col("_chunks") > 1))
+    narrow = lookup_join(queries.select(key, *ids, vector), chunks, key)
+    pick = F.pmod(F.xxhash64(*ids), F.coalesce("_chunks", F.lit(1))).cast("int")
+    left = narrow.select(key, pick.alias("_chunk"), *ids, F.col(vector).cast("array<double>").alias("_v"))
+    copies = F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)
+    right = (bank.select(key, F.col(vector).cast("array<double>").alias("_v")).join(chunks, key, "left")
+             .select(F.col(key).alias("_key"), F.explode(copies).alias("_copy"), F.col("_v").alias("_b")))
+
+    def unit_rows(col: pd.Series) -> np.ndarray:
+        m = np.stack(col.tolist())
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+    def score(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        raw = np.zeros(len(q))
+        if len(q) and len(b):
+            raw = bank_distance(unit_rows(q["_v"]), unit_rows(b["_b"]), k)
+        return q[[*ids, key]].assign(raw=raw)
+
+    kinds = dict(queries.dtypes)
+    out = ", ".join(f"`{c}` {kinds[c]}" for c in [*ids, key]) + ", raw double"
+    return (hash_spread(left, key, "_chunk").groupBy(key, "_chunk")
+            .cogroup(hash_spread(right, "_key", "_copy").groupBy("_key", "_copy")).applyInPandas(score, out))
 
 
 def bank_distance(h: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
@@ -70,7 +93,7 @@ def session_bank_scores(zgrid: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY
                              "raw": bank_distance(h, h[fit], k)})
 
     key_type = dict(zgrid.dtypes)["user_id"]
-    return rows.groupBy("user_id").applyInPandas(
+    return hash_spread(rows, "user_id").groupBy("user_id").applyInPandas(
         score, f"user_id {key_type}, hour_index bigint, raw double")
 
 

@@ -69,12 +69,18 @@ def assign_splits(df: DataFrame, hours: Column) -> DataFrame:
 
 def activity_ratio(grid: DataFrame) -> DataFrame:
     """calls over the mean of the previous 168 hours (1.0 without history), 0 when idle.
-    With fewer than six earlier hours the expanding mean covers exactly the same rows."""
-    past = F.avg("calls").over(by_user().rowsBetween(-fv.TRAILING_HOURS, -1))
-    rate = scores.clamp(F.col("calls") / F.greatest(F.coalesce(past, F.lit(1.0)),
-                                                    F.lit(fv.MIN_TRAILING_RATE)),
-                        0.0, fv.MAX_ACTIVITY_RATIO)
-    return grid.withColumn("activity_rate", F.when(F.col("active"), rate).otherwise(0.0))
+
+    With fewer than six earlier hours the expanding mean covers exactly the same rows.  The
+    trailing sum is a difference of two running totals: constant work per hour, where a
+    sliding frame would add up 168 rows again for every row.
+    """
+    n = fv.TRAILING_HOURS
+    total = grid.withColumn("_run", F.sum("calls").over(by_user().rowsBetween(Window.unboundedPreceding, 0)))
+    past = (F.lag("_run", 1).over(by_user()) - F.lag("_run", n + 1, 0).over(by_user()))
+    seen = F.least(F.col("hour_index"), F.lit(n))
+    mean = F.coalesce(F.try_divide(past, seen), F.lit(1.0))
+    rate = scores.clamp(F.col("calls") / F.greatest(mean, F.lit(fv.MIN_TRAILING_RATE)), 0.0, fv.MAX_ACTIVITY_RATIO)
+    return (total.withColumn("activity_rate", F.when(F.col("active"), rate).otherwise(0.0)).drop("_run"))
 
 
 def time_gaps(grid: DataFrame) -> DataFrame:

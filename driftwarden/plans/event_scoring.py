@@ -66,10 +66,10 @@ def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, a
     rows = rows.withColumns(feats)
     rows = rows.withColumn("_z", F.array(*[scores.zscore(F.col(c), F.col("_mu")[i], F.col("_sd")[i])
                                            for i, c in enumerate(feats)]))
-    rows = rows.withColumn("_h", vectors.unit(F.col("_z")))
-    cosines = F.transform("_bank", lambda b: vectors.dot(F.col("_h"), b))
-    rows = rows.withColumn("raw_bank", F.when(F.size("_bank") > 0, F.lit(1.0) - vectors.top_k_mean(cosines, fv.TOPK))
-                           .otherwise(0.0))
+    # six products written out: one short lambda per bank row instead of nested folds
+    similarity = vectors.let(vectors.unit(F.col("_z")), lambda h: vectors.top_k_mean(
+        F.transform("_bank", lambda b: vectors.dot_fixed(h, b, WIDTH)), fv.TOPK))
+    rows = rows.withColumn("raw_bank", F.when(F.size("_bank") > 0, F.lit(1.0) - similarity).otherwise(0.0))
     scaled = {f"g_{i}": (F.col(c) - F.col(f"_s.mu_{i}")) / F.when(F.col(f"_s.sd_{i}") == 0, 1.0).otherwise(F.col(f"_s.sd_{i}"))
               for i, c in enumerate(feats)}
     rows = forest.forest_score(rows.withColumns(scaled), model.forest, list(scaled))

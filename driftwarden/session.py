@@ -62,3 +62,13 @@ def spread(df: DataFrame) -> DataFrame:
     per-row work; wide scans are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def hash_spread(df: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """Shuffle by key into the configured number of partitions, for Python work per group.
+
+    It takes the place of the grouping's own shuffle; an explicit number keeps small but
+    expensive groups from being coalesced into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(n, most) if most else n, *keys)

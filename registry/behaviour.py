@@ -23,7 +23,7 @@ SELECT base_action, action, count(*) AS sessions, round(avg(sbrs), 6) AS mean_sb
         FROM lab JOIN ew USING (user_id, hour_index)))
 GROUP BY 1, 2""", "lab", "ew"))
 def enforcement_by_action(spark, sf_dir):
-    run = ewma.ewma_stream(fx.hourly(spark, sf_dir).select("user_id", "hour_index", "s", "x"), "x")
+    run = ewma.ewma_stream(fx.hourly_from_events(spark, sf_dir).select("user_id", "hour_index", "s", "x"), "x")
     risk = scores.sbrs("s", scores.clamp(F.col("ewma_deviation") / 8.0, 0.0, 1.0))
     return (run.select(F.when(F.col("ewma_deviation") > fv.LEGACY_EWMA_TAU, "BLOCK").otherwise("PERMIT")
                        .alias("base_action"), scores.band_action(risk).alias("action"), risk.alias("sbrs"))
@@ -39,7 +39,8 @@ SESSION_OUT = ["user_id", "hour_index", "calls", "s", "k", "x", "endpoint_class"
 
 @query("hourly_sessions", sql(f"SELECT {', '.join(SESSION_OUT)} FROM lab", "lab"))
 def hourly_sessions(spark, sf_dir):
-    return fx.labelled(spark, sf_dir).select(*SESSION_OUT)
+    h = fx.hourly_from_events(spark, sf_dir)
+    return sessions.assign_splits(h, sessions.horizon(h)).select(*SESSION_OUT)
 
 
 @query("hour_grid", sql("""SELECT user_id, count(*) AS hours, sum(calls) AS calls,
@@ -70,7 +71,7 @@ FEATURE_SQL = "SELECT user_id, hour_index, split, round(time_gap_sec, 6) AS time
 
 @query("session_features", sql(FEATURE_SQL, "feat"))
 def session_features(spark, sf_dir):
-    return fx.features(spark, sf_dir).select(
+    return sessions.derive_features(fx.grid(spark, sf_dir)).select(
         "user_id", "hour_index", "split", r6("time_gap_sec", "time_gap_sec"),
         *[r6(c, c) for c in fv.FEATURES])
 

@@ -518,7 +518,7 @@ def memory_bank_scores(spark, sf_dir):
     """Every vector against its label's bank; a bank member may be its own neighbour."""
     e = table(spark, sf_dir, "embeddings")
     bank = ordering.capped_sample(e, ["vec_id"], ["label"], fv.MEMORY_BANK_CAP, 42)
-    out = scoring.memory_bank_scores(e, bank, "label", "embedding")
+    out = scoring.memory_bank_scores(e, bank, "label", "embedding", ["vec_id"])
     return out.select("vec_id", "label", r6("raw", "raw"))
 
 

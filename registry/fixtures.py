@@ -51,6 +51,11 @@ CLASS_OF = {"read": "malicious_insider", "write": "malicious_insider",
 
 
 def hourly(spark, sf_dir) -> DataFrame:
+    """The session stage table: raw events are reduced once, everything else starts here."""
+    return shared(spark, sf_dir, "sessions", hourly_from_events)
+
+
+def hourly_from_events(spark, sf_dir) -> DataFrame:
     last = F.max_by(F.struct("k", "event_type"), F.struct("ts", "event_id"))
     raw = sessions.hourly_sessions(activity(spark, sf_dir), {
         "s": F.least(F.lit(100), F.floor(F.max("value")).cast("int")), "_last": last,
@@ -89,7 +94,7 @@ def grid(spark, sf_dir) -> DataFrame:
 
 
 def features(spark, sf_dir) -> DataFrame:
-    return sessions.derive_features(grid(spark, sf_dir))
+    return shared(spark, sf_dir, "features", lambda s, d: sessions.derive_features(grid(s, d)))
 
 
 def profiles(spark, sf_dir) -> DataFrame:

@@ -121,8 +121,8 @@ def run(df, spark, name):
     return spark.read.schema(df.schema).parquet(out)
 
 
-CLOSED = """SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS calls, round(sum(value), 2) AS x FROM events
-    GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+CLOSED = """SELECT * FROM (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS calls, round(sum(value), 2) AS x FROM events
+    GROUP BY 1, 2) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
 
 
 @query("streamed_hourly_counts", CLOSED)
