@@ -11,12 +11,13 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from . import layouts
 
-# File names per table, measured file first, legacy file as fallback.
+# File names per table: measured file first, simulated file as fallback.  Pass your own mapping
+# to read differently named files.
 FILES = {
-    "pii_scans": ("pii_scan_results_v2_real.csv", "pii_scan_results.csv"),
-    "anomaly_comparison": ("anomaly_detection_comparison_v2_real.csv", "anomaly_detection_comparison.csv"),
-    "ewma_baselines": ("ewma_user_baselines.csv",),
-    "blocked_audit": ("blocked_events_audit.csv",),
+    "pii_scans": ("pii_scans_measured.csv", "pii_scans.csv"),
+    "anomaly_comparison": ("session_comparison_measured.csv", "session_comparison.csv"),
+    "ewma_baselines": ("ewma_baselines.csv",),
+    "blocked_audit": ("blocked_audit.csv",),
     "events": ("events.json",),
     "system_log": ("system.log",),
 }
@@ -53,8 +54,8 @@ def read_table(spark: SparkSession, path: str, layout: Sequence[tuple[str, str]]
     return raw.select(*[parse.get(t, lambda c: c)(F.col(f"`{c}`")).alias(c) for c, t in layout])
 
 
-def load(spark: SparkSession, root: str, key: str) -> DataFrame:
-    return read_table(spark, resolve(spark, root, key), LAYOUTS[key])
+def load(spark: SparkSession, root: str, key: str, files: Mapping[str, Sequence[str]] = FILES) -> DataFrame:
+    return read_table(spark, resolve(spark, root, key, files), LAYOUTS[key])
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -114,12 +115,13 @@ def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return docs.filter(is_text), docs.filter(~is_text)
 
 
-def load_all(spark: SparkSession, root: str, with_counts: bool = True) -> dict[str, DataFrame]:
-    """Every stored table as a cached temp view, with its row count logged by an observation."""
-    tables = {k: load(spark, root, k) for k in ("pii_scans", "anomaly_comparison", "ewma_baselines", "blocked_audit")}
-    events, metadata = read_events_document(spark, resolve(spark, root, "events"))
+def load_all(spark: SparkSession, root: str, files: Mapping[str, Sequence[str]] = FILES,
+             with_counts: bool = True) -> dict[str, DataFrame]:
+    """Every stored table as a cached temp view, plus a table of row counts."""
+    tables = {k: load(spark, root, k, files) for k in ("pii_scans", "anomaly_comparison", "ewma_baselines", "blocked_audit")}
+    events, metadata = read_events_document(spark, resolve(spark, root, "events", files))
     tables |= {"events": events, "log_metadata": metadata,
-               "system_log": read_log(spark, resolve(spark, root, "system_log"))}
+               "system_log": read_log(spark, resolve(spark, root, "system_log", files))}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
         spark.catalog.cacheTable(name)
