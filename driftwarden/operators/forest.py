@@ -27,17 +27,23 @@ def expected_path(n) -> np.ndarray:
 def tree_samples(rows: DataFrame, keys: list[str], trees: int, size: int, seed: int) -> DataFrame:
     """`size` rows per tree without replacement.
 
-    A first hash cut keeps trees x size rows of the whole table; each tree then ranks a hash
-    preselection of that bounded pool.  The table is read once and never copied per tree.
+    The trees draw from a pool of at most trees x size rows with the smallest hashes.  A hash
+    cut at three times that share keeps nearly everything else out of the final sort, and
+    each tree ranks a hash preselection of the pool, so the table is never copied per tree.
     """
-    pool = (rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys)
-            .limit(trees * size).drop("_h"))
-    n = pool.agg(F.count(F.lit(1))).scalar()
     span = 1 << 30
+
+    def likely(df, n, wanted):
+        return df.filter(F.pmod(F.col("_h"), F.lit(span)).cast("double") * n < F.lit(float(span)) * 3 * wanted)
+
+    hashed = rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    pool = (likely(hashed, total, trees * size).orderBy(F.pmod(F.col("_h"), F.lit(span)), *keys)
+            .limit(trees * size).drop("_h"))
     drawn = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .withColumn("_h", F.xxhash64(*keys, "tree", F.lit(seed + 1)))
-             .filter(F.pmod(F.col("_h"), F.lit(span)) * n < F.lit(float(span)) * 3 * size))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", *keys))
+             .withColumn("_h", F.xxhash64(*keys, "tree", F.lit(seed + 1))))
+    drawn = likely(drawn, pool.agg(F.count(F.lit(1))).scalar(), size)
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.pmod(F.col("_h"), F.lit(span)), *keys))
     return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_h", "_rank")
 
 

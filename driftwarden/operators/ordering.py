@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_RANGES = 256
+SLICES = 64
 
 
 def _ranges(df: DataFrame, ranges: int | None) -> int:
@@ -43,8 +44,7 @@ def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
                .withColumn("_cuts", F.transform("_cuts", lambda s: s[value])))
 
     def attach(left, right, keys):
-        return (left.join(F.broadcast(right), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-                if keys else left.crossJoin(F.broadcast(right)))
+        return left.join(F.broadcast(right), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
 
     if by:
         ranged = attach(distinct.alias("l"), sampled.alias("r"), by)
@@ -144,13 +144,20 @@ def stratified_sample(df: DataFrame, key: str, category: str, fraction: float, s
 
 
 def capped_sample(df: DataFrame, key_cols: Sequence[str], by: Sequence[str], cap: int,
-                  seed: int) -> DataFrame:
+                  seed: int, bounded_groups: bool = False) -> DataFrame:
     """At most `cap` rows per group without replacement: smallest seeded digests win.
 
-    The rank filter is pushed below the shuffle, so a hot group sends at most `cap` rows
-    per task.
+    Unless the groups are known to be small, a group is first cut into slices by digest and
+    every slice keeps its `cap` best, so even a group with most of the table reaches its last
+    task as at most SLICES x cap rows.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_digest", *key_cols)
-    return (df.withColumn("_digest", digest).withColumn("_rn", F.row_number().over(order))
-            .filter(F.col("_rn") <= cap).drop("_digest", "_rn"))
+    rows, groups = df.withColumn("_digest", digest), list(by) or [F.lit(0)]
+
+    def best(rows, *partition):
+        order = Window.partitionBy(*partition).orderBy("_digest", *key_cols)
+        return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap).drop("_rn")
+
+    if not bounded_groups:
+        rows = best(rows.withColumn("_slice", F.pmod(F.xxhash64("_digest"), F.lit(SLICES))), *groups, "_slice").drop("_slice")
+    return best(rows, *groups).drop("_digest")

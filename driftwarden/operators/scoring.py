@@ -63,36 +63,39 @@ def bank_distance(h: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def session_bank_scores(zgrid: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY_BANK_CAP,
+def session_bank_scores(zrows: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY_BANK_CAP,
                         seed: int = 42, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """Memory-bank score of every active session with a full day of history.
 
-    Each user's dense hours (one row per hour, so bounded by the calendar) travel once; the
-    24-hour windows are views built inside the task, never shuffled.  The bank is the FIT
-    sessions, at most `cap` of them by seeded digest.  Windows are encoded by flattening,
-    or by the LSTM whose `weights` are given.
+    Input: `personal_frame` rows.  Only a user's active hours travel (one row per hour, so
+    bounded by the calendar); idle hours are filled in and the 24-hour windows are views built
+    inside the task, never shuffled.  The bank is the FIT sessions, at most `cap` of them by
+    seeded digest.  Windows are encoded by flattening, or by the LSTM whose `weights` are given.
     """
     z = [f"z_{i}" for i in range(len(fv.FEATURES))]
-    rows = zgrid.select("user_id", "hour_index", "active", "in_fit", *z,
-                        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("user_id").cast("string"),
-                                           F.col("hour_index").cast("string"))).alias("pick"))
+    live = zrows.filter("active") if "active" in zrows.columns else zrows
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("user_id").cast("string"), F.col("hour_index").cast("string")))
+    rows = live.select("user_id", "hour_index", "in_fit", "idle_z", *z, digest.alias("pick"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hour_index")
-        wins = np.lib.stride_tricks.sliding_window_view(
-            pdf[z].to_numpy(float), fv.SEQ_LEN, axis=0).transpose(0, 2, 1)
-        tail = pdf.iloc[fv.SEQ_LEN - 1:]
-        live = tail["active"].to_numpy(bool)
-        h = _encode(wins[live], weights)
+        hours = pdf["hour_index"].to_numpy()
+        dense = np.zeros((hours[-1] + 1, len(z)))
+        dense[:, 0] = pdf["idle_z"].iloc[0]
+        dense[hours] = pdf[z].to_numpy(float)
+        tail = pdf[hours >= fv.SEQ_LEN - 1]
+        if tail.empty:
+            return pd.DataFrame({"user_id": tail["user_id"], "hour_index": tail["hour_index"], "raw": np.zeros(0)})
+        views = np.lib.stride_tricks.sliding_window_view(dense, fv.SEQ_LEN, axis=0).transpose(0, 2, 1)
+        h = _encode(views[tail["hour_index"].to_numpy() - fv.SEQ_LEN + 1], weights)
         h = h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-9)
-        tail = tail[live]
         fit = np.flatnonzero(tail["in_fit"].to_numpy(bool))
         if len(fit) > cap:
             fit = fit[np.argsort(tail["pick"].to_numpy()[fit], kind="stable")[:cap]]
         return pd.DataFrame({"user_id": tail["user_id"], "hour_index": tail["hour_index"],
                              "raw": bank_distance(h, h[fit], k)})
 
-    key_type = dict(zgrid.dtypes)["user_id"]
+    key_type = dict(zrows.dtypes)["user_id"]
     return hash_spread(rows, "user_id").groupBy("user_id").applyInPandas(
         score, f"user_id {key_type}, hour_index bigint, raw double")
 

@@ -20,10 +20,12 @@ CONTEXT = fv.FEATURES[1:]
 
 
 def hourly_sessions(events: DataFrame, measures: dict[str, Column], ts: str = "ts",
-                    key: str = "user_id") -> DataFrame:
+                    key: str = "user_id", start: Column | None = None) -> DataFrame:
     """One row per user and active hour: timestamp, hour_index, calls and the measures.
-    hour_index counts hours from the first hour of the table."""
-    start = events.agg(F.unix_seconds(F.date_trunc("hour", F.min(ts)))).scalar()
+    hour_index counts hours from `start` (epoch seconds), by default the first hour of the
+    table, which costs one more scan of the timestamp column."""
+    if start is None:
+        start = events.agg(F.unix_seconds(F.date_trunc("hour", F.min(ts)))).scalar()
     hour = F.date_trunc("hour", F.col(ts))
     rows = (events.groupBy(F.col(key).alias("user_id"), hour.alias("timestamp"))
             .agg(F.count(F.lit(1)).alias("calls"), *[m.alias(n) for n, m in measures.items()]))
@@ -110,6 +112,46 @@ def derive_features(grid: DataFrame) -> DataFrame:
         **{c: F.when(F.col("active"), e).otherwise(0.0) for c, e in idle_zero.items()}})
 
 
+def session_features(active: DataFrame) -> DataFrame:
+    """The same features for active sessions only, without building the dense grid.
+
+    Idle hours add nothing to a trailing sum, so a range frame over the active rows gives the
+    trailing mean once it is divided by the number of hours covered.  With mostly idle users
+    this is an order of magnitude fewer rows than users x hours.
+    """
+    n = fv.TRAILING_HOURS
+    past = F.coalesce(F.sum("calls").over(by_user().rangeBetween(-n, -1)), F.lit(0))
+    mean = F.when(F.col("hour_index") > 0, past / F.least(F.col("hour_index"), F.lit(n))).otherwise(1.0)
+    gap = (F.col("hour_index") - F.lag("hour_index").over(by_user())) * 3600.0
+    out = active.withColumns({
+        "activity_rate": scores.clamp(F.col("calls") / F.greatest(mean, F.lit(fv.MIN_TRAILING_RATE)),
+                                      0.0, fv.MAX_ACTIVITY_RATIO), "_gap": gap})
+    median = F.percentile("_gap", F.lit(0.5)).over(Window.partitionBy("user_id"))
+    return out.withColumns({
+        "time_gap_sec": F.coalesce("_gap", median, F.lit(fv.DEFAULT_GAP_SEC)),
+        "activity_rate_per_hr": F.col("calls").cast("double"),
+        "file_type_category": scores.lookup("file_class", fv.FILE_CLASS_ORDINAL),
+        "endpoint_operation": scores.lookup("endpoint_class", fv.ENDPOINT_ORDINAL)}).drop("_gap")
+
+
+def session_stats(feats: DataFrame, fit_hours: Column) -> DataFrame:
+    """`personal_stats` from active sessions: idle FIT hours enter dimension 0 as zeros through
+    their number alone.  Users without a FIT session have no contextual mean."""
+    fit = F.col("in_fit")
+    aggs = [F.count_if(fit).alias("_k")]
+    for i, c in enumerate(fv.FEATURES):
+        v = F.when(fit, F.col(c))
+        aggs += [F.avg(v).alias(f"mu_{i}"), F.var_pop(v).alias(f"_v{i}")]
+    out = feats.groupBy("user_id").agg(*aggs).withColumn("_n", fit_hours.cast("double"))
+    k, n, m = F.col("_k").cast("double"), F.col("_n"), F.coalesce("mu_0", F.lit(0.0))
+    mean = k * m / n
+    spread = (k * (F.coalesce("_v0", F.lit(0.0)) + F.pow(m - mean, 2)) + (n - k) * F.pow(mean, 2)) / n
+    floor = F.lit(fv.SD_FLOOR)
+    return out.select("user_id", mean.alias("mu_0"), F.greatest(F.sqrt(spread), floor).alias("sd_0"), *[
+        x for i in range(1, len(fv.FEATURES)) for x in (
+            F.col(f"mu_{i}"), F.greatest(F.sqrt(f"_v{i}"), floor).alias(f"sd_{i}"))])
+
+
 def attach_profile(df: DataFrame, profiles: DataFrame) -> DataFrame:
     """Name, department and platform of each session's user.  One row per user and hour on
     the left, so no key is hot; Spark broadcasts the profiles when they are small enough."""
@@ -134,16 +176,19 @@ def global_stats(stats: DataFrame) -> DataFrame:
 
 
 def personal_frame(grid: DataFrame, stats: DataFrame) -> DataFrame:
-    """z_0..z_5 per user; contextual dimensions of idle hours pinned to 0."""
+    """z_0..z_5 per user; contextual dimensions of idle hours pinned to 0.  `idle_z` is the
+    user's z_0 of an idle hour.  Works on the dense grid and on active sessions alone."""
     joined = grid.join(stats, "user_id")
     z = [scores.zscore(c, f"mu_{i}", f"sd_{i}") for i, c in enumerate(fv.FEATURES)]
+    live = F.col("active") if "active" in grid.columns else F.lit(True)
     return joined.select(*grid.columns, z[0].alias("z_0"), *[
-        F.when(F.col("active"), z[i]).otherwise(0.0).alias(f"z_{i}") for i in range(1, len(z))])
+        F.when(live, z[i]).otherwise(0.0).alias(f"z_{i}") for i in range(1, len(z))],
+        scores.zscore(F.lit(0.0), "mu_0", "sd_0").alias("idle_z"))
 
 
 def global_scaler(grid: DataFrame) -> DataFrame:
     """One row: mean and population deviation of every feature over FIT and active rows."""
-    rows = grid.filter(F.col("in_fit") & F.col("active"))
+    rows = grid.filter(F.col("in_fit") & (F.col("active") if "active" in grid.columns else F.lit(True)))
     return rows.agg(*[a for i, c in enumerate(fv.FEATURES) for a in (
         F.avg(c).alias(f"mu_{i}"), F.stddev_pop(c).alias(f"sd_{i}"))])
 
@@ -186,4 +231,5 @@ def next_step_targets(zgrid: DataFrame, length: int = fv.SEQ_LEN) -> DataFrame:
 
 def scoreable(grid: DataFrame) -> DataFrame:
     """Active sessions with a full day of grid history."""
-    return grid.filter(F.col("active") & (F.col("hour_index") >= fv.SEQ_LEN - 1))
+    live = F.col("active") if "active" in grid.columns else F.lit(True)
+    return grid.filter(live & (F.col("hour_index") >= fv.SEQ_LEN - 1))

@@ -60,16 +60,16 @@ def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, a
                              "_p": scoring.one_row(model.params)})
     known = F.col("mu").isNotNull()
     rows = rows.withColumns({"_mu": F.when(known, F.col("mu")).otherwise(F.col("_g.mu")),
-                             "_sd": F.when(known, F.col("sd")).otherwise(F.col("_g.sd")),
-                             "_bank": F.coalesce("bank", "_gb")})
+                             "_sd": F.when(known, F.col("sd")).otherwise(F.col("_g.sd"))})
     feats = ev.feature_columns(F.col("_mu")[WIDTH - 1])
     rows = rows.withColumns(feats)
     rows = rows.withColumn("_z", F.array(*[scores.zscore(F.col(c), F.col("_mu")[i], F.col("_sd")[i])
                                            for i, c in enumerate(feats)]))
     # six products written out: one short lambda per bank row instead of nested folds
-    similarity = vectors.let(vectors.unit(F.col("_z")), lambda h: vectors.top_k_mean(
-        F.transform("_bank", lambda b: vectors.dot_fixed(h, b, WIDTH)), fv.TOPK))
-    rows = rows.withColumn("raw_bank", F.when(F.size("_bank") > 0, F.lit(1.0) - similarity).otherwise(0.0))
+    similarity = vectors.let(F.coalesce("bank", "_gb"), lambda rows_: F.when(F.size(rows_) > 0, F.lit(1.0) - vectors.let(
+        vectors.unit(F.col("_z")), lambda h: vectors.top_k_mean(
+            F.transform(rows_, lambda b: vectors.dot_fixed(h, b, WIDTH)), fv.TOPK))).otherwise(0.0))
+    rows = rows.withColumn("raw_bank", similarity).drop("bank", "_gb")
     scaled = {f"g_{i}": (F.col(c) - F.col(f"_s.mu_{i}")) / F.when(F.col(f"_s.sd_{i}") == 0, 1.0).otherwise(F.col(f"_s.sd_{i}"))
               for i, c in enumerate(feats)}
     rows = forest.forest_score(rows.withColumns(scaled), model.forest, list(scaled))

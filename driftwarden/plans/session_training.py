@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions import vectors
 from ..operators import ewma, forest, ordering, scoring, sessions, tuning
 from ..session import cut_lineage, stage_table
 
@@ -25,38 +24,49 @@ class Trained:
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def bank_tails(zgrid: DataFrame, seed: int = 42, cap: int = fv.MEMORY_BANK_CAP) -> DataFrame:
+def bank_tails(zrows: DataFrame, seed: int = 42, cap: int = fv.MEMORY_BANK_CAP) -> DataFrame:
     """FIT windows as unit vectors, reduced to their last hour: all that an event without
-    history, whose earlier hours are zero, can correlate with."""
-    windows = sessions.scoreable(sessions.history_windows(zgrid)).filter("in_fit")
-    capped = ordering.capped_sample(windows.select("user_id", "hour_index", "window"),
-                                    ["user_id", "hour_index"], ["user_id"], cap, seed)
-    flat = vectors.unit(F.flatten("window"))
-    return capped.select("user_id", "hour_index", F.slice(flat, -len(FRAME), len(FRAME)).alias("tail"))
+    history, whose earlier hours are zero, can correlate with.
 
+    Only the window's length is needed for that: squares of the active hours of the last day
+    plus the idle hours' square times their number.
+    """
+    z = F.array(*FRAME)
+    square = F.aggregate(z, F.lit(0.0), lambda s, x: s + x * x)
+    day = sessions.by_user().rangeBetween(-(fv.SEQ_LEN - 1), 0)
+    idle = F.lit(fv.SEQ_LEN) - F.count(F.lit(1)).over(day)
+    sized = zrows.withColumn("_sq", square).withColumn(
+        "_len", F.sqrt(F.sum("_sq").over(day) + idle * F.col("idle_z") * F.col("idle_z")))
+    fit = sessions.scoreable(sized).filter("in_fit").select(
+        "user_id", "hour_index", F.transform(z, lambda x: x / F.greatest(F.col("_len"), F.lit(1e-9))).alias("tail"))
+    return ordering.capped_sample(fit, ["user_id", "hour_index"], ["user_id"], cap, seed, bounded_groups=True)
 
-def raw_scores(feats: DataFrame, trees: int = fv.FOREST_TREES, seed: int = 42, weights=None) -> tuple[DataFrame, dict]:
+
+def raw_scores(feats: DataFrame, fit_hours: Column, trees: int = fv.FOREST_TREES, seed: int = 42,
+               weights=None) -> tuple[DataFrame, dict]:
     """Memory-bank, isolation and EWMA values of every scoreable session."""
-    stats = cut_lineage(sessions.personal_stats(feats))
+    stats = cut_lineage(sessions.session_stats(feats, fit_hours))
     scaler = cut_lineage(sessions.global_scaler(feats))
-    zgrid = sessions.personal_frame(feats, stats)
+    zrows = sessions.personal_frame(feats, stats)
     live = sessions.scoreable(feats)
-    bank = scoring.session_bank_scores(zgrid, seed=seed, weights=weights).withColumnRenamed("raw", "raw_bank")
-    fit_rows = sessions.global_frame(feats, scaler, feats.filter("active and in_fit"))
+    bank = scoring.session_bank_scores(zrows, seed=seed, weights=weights).withColumnRenamed("raw", "raw_bank")
+    fit_rows = sessions.global_frame(feats, scaler, feats.filter("in_fit"))
     grown = cut_lineage(forest.fit_forest(fit_rows, SCALED, ["user_id", "hour_index"], trees=trees, seed=seed))
     isolated = forest.forest_score(sessions.global_frame(feats, scaler, live).select("user_id", "hour_index", *SCALED),
                                    grown, SCALED).select("user_id", "hour_index", "raw_if")
-    series = ewma.ewma_stream(feats.filter("active").select("user_id", "hour_index", "activity_rate_per_hr"),
+    series = ewma.ewma_stream(feats.select("user_id", "hour_index", "activity_rate_per_hr"),
                               "activity_rate_per_hr").drop("activity_rate_per_hr")
     keys = ["user_id", "hour_index"]
     out = live.join(bank, keys).join(isolated, keys).join(series, keys)
-    return out, {"user_stats": stats, "scaler": scaler, "forest": grown, "banks": bank_tails(zgrid, seed)}
+    return out, {"user_stats": stats, "scaler": scaler, "forest": grown, "banks": cut_lineage(bank_tails(zrows, seed))}
 
 
-def train_and_score(grid: DataFrame, trees: int = fv.FOREST_TREES, seed: int = 42, weights=None) -> Trained:
-    """`grid`: dense hours with features' inputs, labels and splits (see `assign_splits`)."""
-    feats = stage_table(sessions.derive_features(grid), "features")
-    raw, tables = raw_scores(feats, trees, seed, weights)
+def train_and_score(active: DataFrame, hours: Column, trees: int = fv.FOREST_TREES, seed: int = 42,
+                    weights=None) -> Trained:
+    """`active`: one row per user and active hour with the features' inputs, labels and splits
+    (see `assign_splits`); `hours`: number of hours in the table."""
+    feats = stage_table(sessions.session_features(active), "features")
+    raw, tables = raw_scores(feats, sessions.split_bounds(hours)["fit_end"], trees, seed, weights)
     raw = stage_table(raw, "raw_scores")
     calib = raw.filter("in_calib")
     cal_a, cal_b = (cut_lineage(scoring.fit_calibrator(calib, c)) for c in ("raw_bank", "raw_if"))

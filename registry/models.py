@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from driftwarden import fixed_values as fv
 from driftwarden.operators import forest, scoring, sessions
 from driftwarden.plans import event_scoring, session_training
 from driftwarden.session import cut_lineage, shared_dir
@@ -31,7 +32,10 @@ BANK_SQL = {**VEC_SQL,
     SELECT *, row_number() OVER (PARTITION BY user_id, hour_index ORDER BY cos DESC) AS rn FROM cosines) WHERE rn <= 10
     GROUP BY user_id, hour_index""", "cosines", extra=BANK_SQL))
 def session_bank_scores(spark, sf_dir):
-    return scoring.session_bank_scores(fx.z_frame(spark, sf_dir)).select("user_id", "hour_index", r6("raw", "raw"))
+    f = active_features(spark, sf_dir)
+    fit_hours = sessions.split_bounds(sessions.horizon(fx.hourly(spark, sf_dir)))["fit_end"]
+    zrows = sessions.personal_frame(f, sessions.session_stats(f, fit_hours))
+    return scoring.session_bank_scores(zrows).select("user_id", "hour_index", r6("raw", "raw"))
 
 
 def demo_weights(hidden=16, seed=3):
@@ -48,14 +52,36 @@ def encoded_windows(spark, sf_dir):
     return out.select("user_id", "hour_index", F.transform("encoded", lambda x: F.round(x, 6)).alias("encoded"))
 
 
+def active_features(spark, sf_dir):
+    """Features of active sessions only; the dense grid is not built."""
+    return fx.shared(spark, sf_dir, "active_features", lambda s, d: sessions.session_features(fx.labelled(s, d)))
+
+
 def scaled(spark, sf_dir):
-    f = fx.features(spark, sf_dir)
+    f = active_features(spark, sf_dir)
     scaler = sessions.global_scaler(f)
     cols = ["user_id", "hour_index", *session_training.SCALED]
-    return (sessions.global_frame(f, scaler, f.filter("active and in_fit")).select(*cols),
+    return (sessions.global_frame(f, scaler, f.filter("in_fit")).select(*cols),
             sessions.global_frame(f, scaler, sessions.scoreable(f)).select(*cols))
 
 
+@query("active_session_features", fx.sql("SELECT user_id, hour_index, round(time_gap_sec, 6) AS time_gap_sec, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in fv.FEATURES) + " FROM feat WHERE active", "feat"))
+def active_session_features(spark, sf_dir):
+    """The dense grid's features, computed without the grid."""
+    f = sessions.session_features(fx.labelled(spark, sf_dir))
+    return f.select("user_id", "hour_index", r6("time_gap_sec", "time_gap_sec"), *[r6(c, c) for c in fv.FEATURES])
+
+
+@query("active_session_z", fx.sql("SELECT user_id, hour_index, " + ", ".join(f"round(z_{i}, 6) AS z_{i}" for i in range(6))
+                                  + ", round((0 - mu_0) / sd_0, 6) AS idle_z FROM zfr JOIN pstats USING (user_id) WHERE active", "zfr", "pstats"))
+def active_session_z(spark, sf_dir):
+    f = active_features(spark, sf_dir)
+    fit_hours = sessions.split_bounds(sessions.horizon(fx.hourly(spark, sf_dir)))["fit_end"]
+    z = sessions.personal_frame(f, sessions.session_stats(f, fit_hours))
+    return z.select("user_id", "hour_index", *[r6(f"z_{i}", f"z_{i}") for i in range(6)], r6("idle_z", "idle_z"))
+
+
 @query("isolation_scores")
 def isolation_scores(spark, sf_dir):
     fit, live = scaled(spark, sf_dir)
@@ -67,7 +93,9 @@ def isolation_scores(spark, sf_dir):
 def trained(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
-        _TRAINED[key] = session_training.train_and_score(fx.grid(spark, sf_dir))
+        h = fx.hourly(spark, sf_dir)
+        hours = sessions.horizon(h)
+        _TRAINED[key] = session_training.train_and_score(sessions.assign_splits(h, hours), hours)
     return _TRAINED[key]
 
 

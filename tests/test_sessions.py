@@ -82,6 +82,28 @@ def test_personal_frame_and_bank(spark, grid):
         assert np.allclose([raw[u, t] for t in hours], score)
 
 
+def test_sparse_path_equals_dense_path(spark, grid):
+    _, df = grid
+    dense = sessions.derive_features(df)
+    sparse = sessions.session_features(df.filter("active").drop("active"))
+    a = dense.filter("active").toPandas().sort_values(["user_id", "hour_index"])
+    b = sparse.toPandas().sort_values(["user_id", "hour_index"])
+    for c in (*fv.FEATURES, "time_gap_sec"):
+        assert np.allclose(a[c], b[c]), c
+    sa = sessions.personal_stats(dense).toPandas().sort_values("user_id")
+    sb = sessions.session_stats(sparse, sessions.split_bounds(F.lit(240))["fit_end"]).toPandas().sort_values("user_id")
+    for c in sa.columns[1:]:
+        assert np.allclose(sa[c], sb[c]), c
+    za = sessions.personal_frame(dense, sessions.personal_stats(dense))
+    windows = sessions.scoreable(sessions.history_windows(za)).filter("in_fit").toPandas()
+    want = {(r.user_id, r.hour_index): np.stack(r.window)[-1] / np.linalg.norm(np.stack(r.window)) for r in windows.itertuples()}
+    zb = sessions.personal_frame(sparse, sessions.session_stats(sparse, sessions.split_bounds(F.lit(240))["fit_end"]))
+    tails = session_training.bank_tails(zb).collect()
+    assert len(tails) == len(want)
+    for r in tails:
+        assert np.allclose(r.tail, want[r.user_id, r.hour_index])
+
+
 def test_windows_and_pairs(spark, grid):
     _, df = grid
     z = sessions.personal_frame(sessions.derive_features(df), sessions.personal_stats(sessions.derive_features(df)))
@@ -150,7 +172,7 @@ def test_calibrator_is_monotone_and_handles_constant(spark):
 def test_training_end_to_end(spark, grid, tmp_path):
     from driftwarden.sources import tables
     _, df = grid
-    fit = session_training.train_and_score(df, trees=20)
+    fit = session_training.train_and_score(df.filter("active").drop("active"), F.lit(240), trees=20)
     rows = fit.scored.toPandas()
     assert len(rows) == sessions.scoreable(df).count()
     assert rows[["a_lstm", "a_if", "a_hybrid"]].apply(lambda c: c.between(0, 1)).all().all()
