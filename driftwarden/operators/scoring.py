@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import scores, vectors
-from ..session import hash_spread
+from ..session import hash_spread, map_runs
 from . import ordering
 
 
@@ -78,7 +78,6 @@ def session_bank_scores(zrows: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY
     rows = live.select("user_id", "hour_index", "in_fit", "idle_z", *z, digest.alias("pick"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("hour_index")
         hours = pdf["hour_index"].to_numpy()
         dense = np.zeros((hours[-1] + 1, len(z)))
         dense[:, 0] = pdf["idle_z"].iloc[0]
@@ -96,8 +95,7 @@ def session_bank_scores(zrows: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY
                              "raw": bank_distance(h, h[fit], k)})
 
     key_type = dict(zrows.dtypes)["user_id"]
-    return hash_spread(rows, "user_id").groupBy("user_id").applyInPandas(
-        score, f"user_id {key_type}, hour_index bigint, raw double")
+    return map_runs(rows, "user_id", "hour_index", score, f"user_id {key_type}, hour_index bigint, raw double")
 
 
 # --- batch LSTM encoding -------------------------------------------------------

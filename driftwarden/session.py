@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +76,25 @@ def hash_spread(df: DataFrame, *keys: str, most: int | None = None) -> DataFrame
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(min(n, most) if most else n, *keys)
+
+
+def map_runs(df: DataFrame, key: str, order: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply `fn` to each key's rows in order, many keys per Arrow batch.
+
+    For many small groups this avoids one Arrow stream per group.  A key that goes on in the
+    next batch is held back, so a task holds one batch and the rows of one key.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            ids = pdf[key].to_numpy()
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(1, int)
+            done = [fn(pdf.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            held = pdf.iloc[starts[-1]:]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None and len(held):
+            yield fn(held)
+
+    return hash_spread(df, key).sortWithinPartitions(key, order).mapInPandas(run, schema)
