@@ -3,8 +3,8 @@
 A series is cut into blocks of consecutive time steps.  The effect of a block on the
 running state is affine (state -> decay * state + gain), so blocks are summarised
 independently, the few summaries of a user are chained, and every block is then replayed
-from its true starting state.  No task ever holds more than one block of one user plus the
-block summaries.  The closed form that divides by (1 - lambda) ** t is not used: it
+from its true starting state.  A task works on single blocks; only the narrow summaries of a
+user come together.  The closed form that divides by (1 - lambda) ** t is not used: it
 overflows on long series.
 """
 
@@ -23,12 +23,14 @@ def ewma_stream(df: DataFrame, value: str, key: str = "user_id", order: str = "h
     """Adds ewma_previous, ewma_new and ewma_deviation to one row per (key, order).
 
     The first row of a key seeds the state and has deviation 0.  `order` must be an integer
-    time step, unique within the key.  `lam` may name a column that is constant per key.
+    time step, unique within the key; rows without a key are dropped.  `lam` may name a column that is constant per key.
     """
     rest = [c for c in df.columns if c not in (key, order)]
     rate = F.col(lam) if isinstance(lam, str) else F.lit(lam)
     kept = F.lit(1.0) - rate if isinstance(lam, str) else F.lit(1.0 - lam)
-    blocks = (df.withColumn("_block", F.floor(F.col(order) / block))
+    # a non-null block and key leave both uses of the blocks with the same plan, hence one shuffle
+    blocks = (df.filter(F.col(key).isNotNull())
+              .withColumn("_block", F.coalesce(F.floor(F.col(order) / block), F.lit(0)))
               .groupBy(key, "_block")
               .agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("run")))
     if isinstance(lam, str):
@@ -41,12 +43,14 @@ def ewma_stream(df: DataFrame, value: str, key: str = "user_id", order: str = "h
     blocks = blocks.select(
         "*", fold(F.lit(None).cast("double")).alias("_seeded"), fold(F.lit(0.0)).alias("_gain"),
         F.pow(kept, F.size("run")).alias("_decay"))
-    earlier = (Window.partitionBy(key).orderBy("_block")
-               .rowsBetween(Window.unboundedPreceding, -1))
+    # only the narrow summaries are brought together per key; the blocks stay where they are
+    earlier = (Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     chain = F.collect_list(F.struct("_seeded", "_gain", "_decay")).over(earlier)
-    carried = blocks.withColumn("_state", F.aggregate(
-        chain, F.lit(None).cast("double"),
-        lambda s, b: F.coalesce(b["_decay"] * s + b["_gain"], b["_seeded"])))
+    states = (blocks.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), "_seeded", "_gain", "_decay")
+              .select("_k", "_b", F.aggregate(
+                  chain, F.lit(None).cast("double"),
+                  lambda s, b: F.coalesce(b["_decay"] * s + b["_gain"], b["_seeded"])).alias("_state")))
+    carried = blocks.join(states, (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")))
 
     empty = F.expr("cast(array() as array<struct<p:double,n:double,d:double>>)")
 

@@ -478,10 +478,10 @@ def renested_entities(spark, sf_dir):
 # --- fuzzy matching (Python) ------------------------------------------------------------
 @query("fuzzy_cascade_by_category")
 def fuzzy_cascade_by_category(spark, sf_dir):
-    g = gold(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("type", "value")).alias("gold"))
+    g = gold(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("type", "value"))).alias("gold"))
     d = docs(spark, sf_dir).drop("text")
     p = (matching.assemble(d, predictions(spark, sf_dir), fv.OCR_TAU).filter("type is not null").groupBy("doc_id")
-         .agg(F.collect_list(F.struct("type", "value")).alias("pred")))
+         .agg(F.array_sort(F.collect_list(F.struct("type", "value"))).alias("pred")))
     both = d.join(g, "doc_id", "left").join(p, "doc_id", "left")
     out = matching.match_fuzzy(both).join(d.select("doc_id", "category"), "doc_id")
     return prf6(matching.by_category(out, d))

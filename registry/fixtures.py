@@ -56,13 +56,19 @@ def hourly(spark, sf_dir) -> DataFrame:
 
 
 def hourly_from_events(spark, sf_dir) -> DataFrame:
-    last = F.max_by(F.struct("k", "event_type"), F.struct("ts", "event_id"))
+    # fixed-width buffers (a packed last event, a bit per event type) keep the aggregate hashed;
+    # the order is time, then event id
+    kinds = {name: i for i, name in enumerate(ENDPOINT_OF)}
+    kind = scores.lookup("event_type", kinds)
+    order = F.unix_micros("ts") * 1024 + F.col("event_id") % 1024
     raw = sessions.hourly_sessions(activity(spark, sf_dir), {
-        "s": F.least(F.lit(100), F.floor(F.max("value")).cast("int")), "_last": last,
-        "x": F.round(F.sum("value"), 2),
-        "collaboration_density": F.size(F.collect_set("event_type")) / 5.0})
-    k, s = F.col("_last.k"), F.col("s")
-    endpoint = scores.lookup(F.col("_last.event_type"), ENDPOINT_OF)
+        "s": F.least(F.lit(100), F.floor(F.max("value")).cast("int")),
+        "_last": F.max_by(F.col("k") * 8 + kind, order), "x": F.round(F.sum("value"), 2),
+        "collaboration_density": F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), kind))) / 5.0})
+    raw = raw.withColumns({"k": F.floor(F.col("_last") / 8).cast("int"),
+                           "event_type": F.element_at(F.array(*[F.lit(n) for n in kinds]), F.col("_last") % 8 + 1)})
+    k, s = F.col("k"), F.col("s")
+    endpoint = scores.lookup("event_type", ENDPOINT_OF)
     threat = (k >= 90) & (s >= 50)
     return raw.select(
         "user_id", "timestamp", "hour_index", "calls", "s", k.alias("k"), "x",

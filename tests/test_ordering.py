@@ -154,3 +154,12 @@ def test_knee_picks_published_beta(spark):
     curve = [(0.0, .6934498576056001), (0.5, .7841387856257744), (1.0, .8156699058675189), (1.5, .8239353029413683), (2.0, .8293658557794734),
              (2.5, .8326876671231983), (3.0, .8349529337594296), (12.0, .8389878040826975), (20.0, .8378399530424574)]
     assert tuning.knee(spark.createDataFrame(curve, "beta double, auc double")).first().beta == 2.5
+
+
+def test_ewma_shuffles_blocks_once(spark):
+    df = spark.range(5000).select((F.col("id") % 50).alias("user_id"), F.col("id").alias("hour_index"), F.rand(1).alias("x"))
+    q = ewma.ewma_stream(df, "x", block=64)
+    q.collect()
+    assert "ReusedExchange" in q._jdf.queryExecution().executedPlan().toString()
+    with_null = df.withColumn("user_id", F.when(F.col("user_id") > 0, F.col("user_id")))
+    assert ewma.ewma_stream(with_null, "x").count() == 4900
