@@ -142,6 +142,7 @@ def burst_report(test: DataFrame) -> DataFrame:
         rate(F.col("ewma_deviation") > fv.LEGACY_EWMA_TAU, burst).alias("ewma_legacy_flag_rate"),
         *[mean(F.col(c), burst).alias(f"mean_{c}") for c in ("a_lstm", "a_if", "a_hybrid", "sbrs_value")],
         mean(F.col("s").cast("double"), burst).alias("mean_sensitivity"),
+        *([mean(F.col("activity_rate"), burst).alias("mean_activity_rate")] if "activity_rate" in test.columns else []),
         rate(F.col("ewma_flag"), plain).alias("plain_fpr_ewma"),
         rate(F.col("hybrid_flag"), plain).alias("plain_fpr_hybrid"),
         *[F.count_if(burst & (F.col("hybrid_action") == a)).alias(f"n_{a.lower()}")

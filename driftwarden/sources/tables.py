@@ -179,7 +179,7 @@ def read_metrics(spark: SparkSession, path: str, paths: Mapping[str, str] = METR
 def write_metrics(parts: Mapping[str, DataFrame], path: str) -> None:
     """Nested metric document: one array of rows per part, each part a small report."""
     spark = next(iter(parts.values())).sparkSession
-    doc = spark.range(1).select(*[
+    doc = spark.range(0, 1, 1, 1).select(*[
         df.agg(F.collect_list(F.struct(*df.columns))).scalar().alias(name) for name, df in parts.items()])
     doc.write.json(path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores, vectors
-from driftwarden.operators import ewma, joins, ordering, scoring, sessions
+from driftwarden.operators import ewma, ordering, sessions
 from registry import Book, fixtures as fx
 from registry.fixtures import r6, sql
 
@@ -184,3 +184,21 @@ def padded_windows(spark, sf_dir):
             .withColumn("padded", vectors.left_pad_rows(F.col("h"), 23, 6))
             .select("user_id", "hour_index", F.size("padded").alias("steps"),
                     F.round(window_digest("padded"), 4).alias("digest")))
+
+
+ERROR_SQL = {**VEC_SQL, "err": """SELECT user_id, hour_index, list_sum(list_transform(vec, lambda v, i: (v - prev[i]) * (v - prev[i]))) / 6 AS error FROM (
+    SELECT *, w[24] AS prev FROM (SELECT *, list(vec) OVER (PARTITION BY user_id ORDER BY hour_index
+    ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS w FROM vecs) WHERE len(w) = 24 AND active)""",
+    "errtest": "SELECT round(error, 9) AS v, is_true_threat AS pos FROM err JOIN lab USING (user_id, hour_index) WHERE split = 'test'"}
+
+
+@query("prediction_error_auc", sql("""SELECT count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg,
+    round((sum(CASE WHEN pos THEN r END) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2e0)
+    / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)), 6) AS auc FROM (SELECT *, rank() OVER (ORDER BY v)
+    + (count(*) OVER (PARTITION BY v) - 1) / 2e0 AS r FROM errtest)""", "errtest", extra=ERROR_SQL))
+def prediction_error_auc(spark, sf_dir):
+    """Diagnostic: how well the error of the last-hour-repeats predictor separates threats."""
+    pairs = sessions.prediction_pairs(fx.z_frame(spark, sf_dir)).filter(F.col("active") & (F.col("split") == "test"))
+    error = F.round(vectors.mean_squared_error(F.element_at("window", -1), F.col("target")), 9)
+    out = ordering.rank_auc(pairs.select(error.alias("error"), "is_true_threat"), "error", "is_true_threat")
+    return out.select("n_pos", "n_neg", r6("auc", "auc"))

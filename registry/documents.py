@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores, text as tx, vectors
 from driftwarden.operators import matching, ordering, pii, scoring
+from driftwarden.plans import cascade_evaluation
 from driftwarden.session import spread, stage_table
 from registry import Book, fixtures as fx
 from registry.fixtures import r6, table
@@ -389,6 +390,31 @@ def best_ocr_threshold(spark, sf_dir):
     return matching.best_tau(calib_sweep(spark, sf_dir)).select(F.round("tau", 2).alias("tau"), r6("f1", "f1"))
 
 
+AT_BEST = {"calib": CALIB, "bestt": f"SELECT t / 1e2 AS tau FROM ({SWEEP}) ORDER BY f1 DESC, t LIMIT 1",
+    "rbest": f"""SELECT docs.*, CASE WHEN category = 'text_extractable' THEN '{B1}' WHEN confidence >= tau THEN '{B2}' ELSE '{B3}' END AS branch
+        FROM docs, bestt""",
+    "pbest": "SELECT rbest.*, type, tp, fp, fn FROM rbest JOIN mc USING (doc_id, branch)"}
+
+
+def evaluation(spark, sf_dir):
+    return cascade_evaluation.evaluate(docs(spark, sf_dir).drop("text"), counts(spark, sf_dir))
+
+
+@query("calibrated_cascade_by_category", dsql(category_sql("pbest"), "pbest", "docs", "mc", **AT_BEST))
+def calibrated_cascade_by_category(spark, sf_dir):
+    return prf6(evaluation(spark, sf_dir)["calibrated.by_category"])
+
+
+@query("calibrated_cascade_by_type", dsql(f"SELECT *, {PRF} FROM (SELECT type, {SUMS} FROM pbest GROUP BY type)", "pbest", "mc", **AT_BEST))
+def calibrated_cascade_by_type(spark, sf_dir):
+    return prf6(evaluation(spark, sf_dir)["calibrated.by_type"])
+
+
+@query("executed_only_by_type", dsql(f"SELECT *, {PRF} FROM (SELECT type, {SUMS} FROM ranpick GROUP BY type)", "ranpick", **RAN))
+def executed_only_by_type(spark, sf_dir):
+    return prf6(evaluation(spark, sf_dir)["given.executed_by_type"])
+
+
 CALLS = {"calls": """SELECT doc_id, category, CASE WHEN doc_id % 4 = 0 THEN 'big' ELSE 'small' END AS model, status,
     (status LIKE 'ok' OR status = 'malformed_json') AS billed_now, CASE WHEN doc_id % 9 <> 0 THEN length(text) END AS prompt_tokens,
     CASE WHEN doc_id % 9 <> 0 THEN doc_id % 100 END AS completion_tokens FROM docs WHERE status IS NOT NULL"""}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
 from driftwarden.operators import forest, scoring, sessions
-from driftwarden.plans import session_training
+from driftwarden.plans import evaluation_report, session_training
 from registry import fixtures as fx
 
 
@@ -104,6 +104,16 @@ def test_sparse_path_equals_dense_path(spark, grid):
         assert np.allclose(r.tail, want[r.user_id, r.hour_index])
 
 
+def test_bank_scores_with_encoder(spark, grid):
+    _, df = grid
+    feats = sessions.derive_features(df)
+    z = sessions.personal_frame(feats, sessions.personal_stats(feats))
+    rng = np.random.default_rng(0)
+    w = {"input": rng.normal(size=(16, 6)), "state": rng.normal(size=(16, 4)), "bias": rng.normal(size=16)}
+    raw = scoring.session_bank_scores(z, weights=w).toPandas()
+    assert len(raw) == sessions.scoreable(df).count() and raw.raw.between(-1e-9, 2).all()
+
+
 def test_windows_and_pairs(spark, grid):
     _, df = grid
     z = sessions.personal_frame(sessions.derive_features(df), sessions.personal_stats(sessions.derive_features(df)))
@@ -178,6 +188,14 @@ def test_training_end_to_end(spark, grid, tmp_path):
     assert rows[["a_lstm", "a_if", "a_hybrid"]].apply(lambda c: c.between(0, 1)).all().all()
     p = fit.tables["params"].first()
     assert np.allclose(rows.a_hybrid, p.alpha * rows.a_lstm + (1 - p.alpha) * rows.a_if)
+    latency = spark.range(100).select((F.col("id") * 1.0).alias("ms"))
+    doc = evaluation_report.metrics_document(fit.scored, fit.tables["params"], latency)
+    doc.write.json(str(tmp_path / "metrics"))
+    m = tables.read_metrics(spark, str(tmp_path / "metrics")).first()
+    test = rows[rows.split == "test"]
+    assert m.users == 3 and m.test_sessions == len(test) and m.test_positives == test.is_true_threat.sum()
+    tp = (test.hybrid_flag & test.is_true_threat).sum()
+    assert m.hybrid_recall == pytest.approx(tp / test.is_true_threat.sum()) and m.latency_p95_ms == pytest.approx(94.05)
     tables.save_model(fit.tables, str(tmp_path / "model"))
     back = tables.load_model(spark, str(tmp_path / "model"))
     assert back["params"].first() == p and back["forest"].count() == 20
