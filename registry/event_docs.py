@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores, text as tx
 from driftwarden.operators import enforcement, events as ev, ewma, joins, pii
+from driftwarden.session import spread
 from registry import Book, fixtures as fx
 from registry.fixtures import r6
 
@@ -22,7 +23,7 @@ def city(i):
 
 def documents(spark, sf_dir):
     """Events with every optional part missing somewhere."""
-    a, p = fx.activity(spark, sf_dir), fx.profiles(spark, sf_dir)
+    a, p = spread(fx.activity(spark, sf_dir)), fx.profiles(spark, sf_dir)
     k, v = F.col("k"), F.col("value")
     j = joins.lookup_join(a, p, "user_id")
 

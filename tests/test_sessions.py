@@ -23,7 +23,7 @@ def make_grid(spark, users=3, hours=240, seed=0):
             "permission_scope_delta", "collaboration_density", "s", "is_true_threat"]
     pdf = pd.DataFrame(rows, columns=cols)
     df = spark.createDataFrame(pdf).withColumns({
-        "threat_class": F.when(F.col("is_true_threat"), "malicious_insider"), "is_benign_burst": F.lit(False),
+        "threat_class": F.when(F.col("is_true_threat"), "malicious_insider"), "is_benign_burst": (F.col("calls") >= 5) & ~F.col("is_true_threat"),
         "episode_id": F.col("user_id").cast("string")})
     return pdf, sessions.assign_splits(df, F.lit(hours))
 
