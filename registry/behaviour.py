@@ -147,7 +147,7 @@ DIGEST = "list_sum(list_transform(w, lambda v, i: i * list_sum(v)))"
 def history_windows(spark, sf_dir):
     return (sessions.history_windows(fx.z_frame(spark, sf_dir)).filter("active")
             .select("user_id", "hour_index", F.size("window").cast("bigint").alias("steps"),
-                    F.round(window_digest("window"), 4).alias("digest")))
+                    fx.rd(window_digest("window"), 4).alias("digest")))
 
 
 @query("next_step_targets", sql(f"""SELECT user_id, hour_index, round({DIGEST}, 4) AS digest,
@@ -157,7 +157,7 @@ def history_windows(spark, sf_dir):
 def next_step_targets(spark, sf_dir):
     total = F.aggregate("target", F.lit(0.0), lambda s, x: s + x)
     return (sessions.next_step_targets(fx.z_frame(spark, sf_dir)).filter("in_fit")
-            .select("user_id", "hour_index", F.round(window_digest("window"), 4).alias("digest"),
+            .select("user_id", "hour_index", fx.rd(window_digest("window"), 4).alias("digest"),
                     r6(total, "target_sum")))
 
 
@@ -183,7 +183,7 @@ def padded_windows(spark, sf_dir):
     return (vecs.withColumn("h", hist).filter(F.col("active") & (F.size("h") > 0))
             .withColumn("padded", vectors.left_pad_rows(F.col("h"), 23, 6))
             .select("user_id", "hour_index", F.size("padded").alias("steps"),
-                    F.round(window_digest("padded"), 4).alias("digest")))
+                    fx.rd(window_digest("padded"), 4).alias("digest")))
 
 
 ERROR_SQL = {**VEC_SQL, "err": """SELECT user_id, hour_index, list_sum(list_transform(vec, lambda v, i: (v - prev[i]) * (v - prev[i]))) / 6 AS error FROM (
@@ -199,6 +199,6 @@ ERROR_SQL = {**VEC_SQL, "err": """SELECT user_id, hour_index, list_sum(list_tran
 def prediction_error_auc(spark, sf_dir):
     """Diagnostic: how well the error of the last-hour-repeats predictor separates threats."""
     pairs = sessions.prediction_pairs(fx.z_frame(spark, sf_dir)).filter(F.col("active") & (F.col("split") == "test"))
-    error = F.round(vectors.mean_squared_error(F.element_at("window", -1), F.col("target")), 9)
+    error = fx.rd(vectors.mean_squared_error(F.element_at("window", -1), F.col("target")), 9)
     out = ordering.rank_auc(pairs.select(error.alias("error"), "is_true_threat"), "error", "is_true_threat")
     return out.select("n_pos", "n_neg", r6("auc", "auc"))

@@ -115,7 +115,7 @@ def picked(spark, sf_dir, tau=fv.OCR_TAU):
 
 
 def prf6(df):
-    return df.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "weighted_recall") if c in df.columns})
+    return df.withColumns({c: fx.rd(c, 6) for c in ("precision", "recall", "f1", "weighted_recall") if c in df.columns})
 
 
 # --- recognisers --------------------------------------------------------------------
@@ -249,13 +249,13 @@ BOXES = """SELECT doc_id, unnest(range(1, len(lines) + 1)) AS box_no, unnest(lin
 
 
 @query("ocr_rollup", dsql("""SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY box_no)) AS transcript_md5,
-    round(sum(length(text) * ((box_no * 13 + doc_id) % 50 + 50) / 1e2) / greatest(sum(length(text)), 1), 6) AS confidence,
+    round(sum(length(text) * (((box_no * 13 + doc_id) % 50 + 50) / 101e0)) / greatest(sum(length(text)), 1), 6) AS confidence,
     count(*) AS boxes FROM boxes GROUP BY doc_id""", "boxes", boxes=BOXES))
 def ocr_rollup(spark, sf_dir):
     boxes = (table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "text"))
              .select("doc_id", (F.col("p") + 1).alias("box_no"), "text",
                      (((F.col("p") + 1) * 13 + F.col("doc_id")) % 50 + 50).alias("c"))
-             .withColumn("confidence", F.col("c") / 100.0))
+             .withColumn("confidence", F.col("c") / 101.0))
     out = pii.ocr_rollup(boxes)
     return out.select("doc_id", F.md5("transcript").alias("transcript_md5"), r6("confidence", "confidence"), "boxes")
 

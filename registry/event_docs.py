@@ -381,4 +381,4 @@ def blocked_audit_dump(spark, sf_dir):
     pos = ordering.positions(b, ["user_id", "hour_index"]).select("user_id", "hour_index", "position")
     return b.join(pos, ["user_id", "hour_index"]).select(
         F.format_string("BLK-%03d", "position").alias("event_id"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        "user_id", F.col("s").alias("score"), F.round("sbrs_value", 4).alias("sbrs"))
+        "user_id", F.col("s").alias("score"), fx.rd("sbrs_value", 4).alias("sbrs"))

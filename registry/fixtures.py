@@ -30,9 +30,14 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _SHARED[key]
 
 
-def r6(column, name: str | None = None):
+def rd(column, digits: int):
+    """Rounding as SQL engines do it on doubles: scale, round, scale back."""
     column = F.col(column) if isinstance(column, str) else column
-    out = F.round(column, 6)
+    return F.round(column * float(10 ** digits)) / float(10 ** digits)
+
+
+def r6(column, name: str | None = None):
+    out = rd(column, 6)
     return out.alias(name) if name else out
 
 

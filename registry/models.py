@@ -49,7 +49,7 @@ def encoded_windows(spark, sf_dir):
     """LSTM encoding of every scoreable window with a given weight table."""
     w = sessions.history_windows(fx.z_frame(spark, sf_dir)).filter("active").select("user_id", "hour_index", "window")
     out = scoring.encode_windows(w, "window", demo_weights())
-    return out.select("user_id", "hour_index", F.transform("encoded", lambda x: F.round(x, 6)).alias("encoded"))
+    return out.select("user_id", "hour_index", F.transform("encoded", lambda x: fx.rd(x, 6)).alias("encoded"))
 
 
 def active_features(spark, sf_dir):
@@ -182,7 +182,7 @@ def streamed_ewma(spark, sf_dir):
 
 
 def stream_scored(spark, sf_dir):
-    base = fx.activity(spark, sf_dir).groupBy("user_id").agg(F.round(F.avg("value"), 2).alias("ewma_baseline"))
+    base = fx.activity(spark, sf_dir).groupBy("user_id").agg(fx.rd(F.avg("value"), 2).alias("ewma_baseline"))
     return jobs.score_stream(stream(spark, sf_dir), base, F.least(F.lit(100.0), F.col("value")), F.col("value"))
 
 

@@ -47,11 +47,11 @@ def part(spark, sf_dir, split):
 
 def stored(spark, sf_dir, split):
     """Rows as read back from the stored table, where scores carry 4 decimals."""
-    return part(spark, sf_dir, split).withColumn("a_hybrid", F.round("a_hybrid", 4))
+    return part(spark, sf_dir, split).withColumn("a_hybrid", fx.rd("a_hybrid", 4))
 
 
 def rounded(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: fx.rd(c, 6) for c in cols})
 
 
 # --- scored rows -----------------------------------------------------------------
