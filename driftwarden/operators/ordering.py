@@ -25,12 +25,15 @@ def _ranges(df: DataFrame, ranges: int | None) -> int:
 
 
 def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
-                   by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+                   by: Sequence[str] = (), ranges: int | None = None, few_groups: bool = False) -> DataFrame:
     """One row per (by, value) with summed weights, `<w>_before` = total over smaller values
     and `<w>_total` = total of the group.
 
     Cut points: the `ranges` values with the smallest hash of each group, i.e. a uniform
-    sample of the distinct values.  At most `ranges` + 1 rows per group are broadcast.
+    sample of the distinct values.  Cut points and range offsets take at most `ranges` + 1 rows
+    per group.  They are broadcast when there is no grouping, or when the caller knows that the
+    groups are a handful of labels (`few_groups`); otherwise Spark picks the join by their
+    measured size.
     """
     by, n = list(by), _ranges(df, ranges)
     names = list(weights)
@@ -44,7 +47,8 @@ def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
                .withColumn("_cuts", F.transform("_cuts", lambda s: s[value])))
 
     def attach(left, right, keys):
-        return left.join(F.broadcast(right), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+        right = F.broadcast(right) if few_groups or not by else right
+        return left.join(right, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
 
     if by:
         ranged = attach(distinct.alias("l"), sampled.alias("r"), by)
@@ -74,9 +78,9 @@ def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-              ranges: int | None = None) -> DataFrame:
+              ranges: int | None = None, few_groups: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group, one column per name."""
-    rows = running_totals(df, value, {"n": F.count(F.lit(1))}, by, ranges)
+    rows = running_totals(df, value, {"n": F.count(F.lit(1))}, by, ranges, few_groups)
     picks = []
     for name, q in probs.items():
         pos = F.lit(float(q)) * (F.col("n_total") - 1)
@@ -91,10 +95,10 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
 
 
 def rank_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
-             ranges: int | None = None) -> DataFrame:
+             ranges: int | None = None, few_groups: bool = False) -> DataFrame:
     """Mann-Whitney AUC with average ranks for ties; NaN when a side is empty."""
     rows = running_totals(
-        df, score, {"pos": F.count_if(F.col(label)), "neg": F.count_if(~F.col(label))}, by, ranges)
+        df, score, {"pos": F.count_if(F.col(label)), "neg": F.count_if(~F.col(label))}, by, ranges, few_groups)
     wins = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2)
     out = rows.groupBy(*by).agg(F.sum(wins).alias("_wins"), F.max("pos_total").alias("n_pos"),
                                 F.max("neg_total").alias("n_neg"))
@@ -112,17 +116,17 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
 
 
 def positions(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (),
-              name: str = "position") -> DataFrame:
+              name: str = "position", few_groups: bool = False) -> DataFrame:
     """1-based position of every row in the order of unique `keys` (within `by`)."""
     keyed = df.select(*by, F.struct(*keys).alias("_key"))
-    rows = running_totals(keyed, "_key", {"n": F.count(F.lit(1))}, by)
+    rows = running_totals(keyed, "_key", {"n": F.count(F.lit(1))}, by, few_groups=few_groups)
     return rows.select(*by, *[F.col("_key")[k].alias(k) for k in keys],
                        (F.col("n_before") + 1).alias(name), F.col("n_total").alias("group_size"))
 
 
 def interleave(df: DataFrame, category: str, first: str, second: str, key: str) -> DataFrame:
     """Round-robin order of two categories, the longer one's remainder appended."""
-    pos = positions(df.filter(F.col(category).isin(first, second)), [key], [category], "rn")
+    pos = positions(df.filter(F.col(category).isin(first, second)), [key], [category], "rn", few_groups=True)
     sizes = (pos.groupBy().agg(
         F.coalesce(F.max(F.when(F.col(category) == first, F.col("group_size"))), F.lit(0)).alias("a"),
         F.coalesce(F.max(F.when(F.col(category) == second, F.col("group_size"))), F.lit(0)).alias("b"))

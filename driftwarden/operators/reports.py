@@ -112,7 +112,7 @@ def auc_table(test: DataFrame, score_cols: Sequence[str], label: str = "is_true_
         F.struct(F.lit(s).alias("score"), F.col(s).alias("value")) for s in score_cols])))
     rows = ordering.running_totals(long, "value", {
         "neg": F.count_if(~F.col(label)),
-        **{n: F.count_if(F.coalesce(groups[g], F.lit(False))) for n, g in names.items()}}, ["score"])
+        **{n: F.count_if(F.coalesce(groups[g], F.lit(False))) for n, g in names.items()}}, ["score"], few_groups=True)
     agg = rows.groupBy("score").agg(F.max("neg_total").alias("n_neg"), *[a for n in names for a in (
         F.sum(F.col(n).cast("double") * (F.col("neg_before") + F.col("neg") / 2)).alias(f"w_{n}"),
         F.max(f"{n}_total").alias(f"t_{n}"))])
@@ -248,7 +248,7 @@ def box_summary(df: DataFrame, score_cols: Sequence[str], label: str) -> DataFra
     long = df.select(F.col(label).alias("label"), F.inline(F.array(*[
         F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("value")) for s in score_cols])))
     five = ordering.quantiles(long, "value", {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0},
-                              ["score", "label"])
+                              ["score", "label"], few_groups=True)
     return five.join(long.groupBy("score", "label").agg(F.avg("value").alias("mean")), ["score", "label"])
 
 

@@ -107,7 +107,7 @@ def beta_auc(val: DataFrame, s: str = "s", a: str = "a_hybrid", betas=fv.BETAS)
     """AUC of the risk score against the threat label for every beta."""
     long = val.select("is_true_threat", s, a, F.explode(F.array(*[F.lit(float(b)) for b in betas])).alias("beta"))
     valued = long.withColumn("v", raw_sbrs(s, a, F.col("beta")))
-    return ordering.rank_auc(valued, "v", "is_true_threat", ["beta"])
+    return ordering.rank_auc(valued, "v", "is_true_threat", ["beta"], few_groups=True)
 
 
 def knee(curve: DataFrame, share: float = fv.KNEE_SHARE) -> DataFrame:
@@ -126,7 +126,8 @@ def derive_bands(val: DataFrame, beta, s: str = "s", a: str = "a_hybrid") -> Dat
 def score_percentiles(val: DataFrame, beta, s: str = "s", a: str = "a_hybrid") -> DataFrame:
     """Benign 50/90/99 and threat 10/50/90 percentiles of the risk score."""
     valued = val.withColumn("v", raw_sbrs(s, a, beta))
-    q = ordering.quantiles(valued, "v", {f"p{p}": p / 100 for p in (10, 50, 90, 99)}, ["is_true_threat"])
+    q = ordering.quantiles(valued, "v", {f"p{p}": p / 100 for p in (10, 50, 90, 99)}, ["is_true_threat"],
+                           few_groups=True)
     return q.select("is_true_threat", F.when(F.col("is_true_threat"), F.col("p10")).alias("p10"), "p50", "p90",
                     F.when(~F.col("is_true_threat"), F.col("p99")).alias("p99"))
 

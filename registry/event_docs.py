@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores, text as tx
-from driftwarden.operators import enforcement, events as ev, ewma, joins, pii
+from driftwarden.operators import enforcement, events as ev, ewma, joins
 from driftwarden.session import spread
 from registry import Book, fixtures as fx
 from registry.fixtures import r6

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores
 from driftwarden.plans import risk_calibration
-from driftwarden.operators import enforcement, joins, ordering, reports, scoring, sessions, tuning
+from driftwarden.operators import enforcement, ordering, reports, scoring, sessions, tuning
 from registry import Book, fixtures as fx
 from registry.fixtures import r6, sql
 
