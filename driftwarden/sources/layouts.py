@@ -8,9 +8,10 @@ PII_DETECTION = ("struct<engine:string,branch:string,ocr_confidence:string,high_
                  "medium_count:bigint,low_count:bigint,sensitivity_score:bigint,risk_category:string,"
                  f"processing_ms:double,entities_detected:array<{ENTITY}>>")
 ENFORCEMENT = "struct<action:string,reason:string>"
-EVENT_FIELDS = (f"event_id:string,timestamp:string,event_type:string,module:string,request:{REQUEST},"
-                f"pii_detection:{PII_DETECTION},enforcement:{ENFORCEMENT}")
-EVENT = EVENT_FIELDS.replace("event_id:", "event_id ", 1)
+_EVENT = (("event_id", "string"), ("timestamp", "string"), ("event_type", "string"), ("module", "string"),
+          ("request", REQUEST), ("pii_detection", PII_DETECTION), ("enforcement", ENFORCEMENT))
+EVENT_FIELDS = ",".join(f"{n}:{t}" for n, t in _EVENT)           # inside a struct
+EVENT = ", ".join(f"{n} {t}" for n, t in _EVENT)                 # as a table
 METADATA = ("struct<run_id:string,start_time:string,end_time:string,saas_platforms:array<string>,"
             "users_monitored:bigint,total_events:bigint,pii_branches:array<string>,"
             "anomaly_engines:array<string>>")

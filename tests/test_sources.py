@@ -92,6 +92,9 @@ def test_events_document(spark, root, tmp_path):
     (tmp_path / "broken.json").write_text(json.dumps({"events": []}))
     with pytest.raises(ValueError):
         tables.read_events_document(spark, str(tmp_path / "broken.json"))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(e) for e in (EVENT, BARE)))
+    lines = tables.read_event_lines(spark, str(tmp_path / "lines.json"))
+    assert lines.exceptAll(events).isEmpty() and lines.count() == 2
     payload = spark.createDataFrame([(json.dumps(EVENT),)], "payload string")
     assert tables.parse_payload(payload).first().request.file_name == "f.docx"
 
