@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from driftwarden.llm import words as W
 from driftwarden.llm.frames import groups
@@ -239,7 +240,7 @@ def remove_repeats(docs: DataFrame, matcher: Matcher) -> DataFrame:
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
     """The text without the spans listed for its digest; null where no word is left."""
     out = []
