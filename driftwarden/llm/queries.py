@@ -48,10 +48,10 @@ def decontamination(spark, sf_dir):
 
 
 @query("op10_top_k", """
-    WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
                FROM embeddings
                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-                 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
                       CAST(list_inner_product(CAST(q.vec AS DOUBLE[]), CAST(c.vec AS DOUBLE[])) AS BIGINT) AS score
                FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % 50 = 0),
