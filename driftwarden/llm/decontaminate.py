@@ -161,13 +161,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """`docs` (text and any other columns) without the rows that hold a benchmark item."""
-    context = docs.sparkSession.sparkContext
-    for block in item_blocks(benchmark):
-        shared = context.broadcast(block)
-
+    def leaks_of(shared):
         @F.pandas_udf("boolean")
-        def leaks(text: pd.Series, shared=shared) -> pd.Series:
+        def leaks(text: pd.Series) -> pd.Series:
             return pd.Series([bool(matches(t, shared.value, rate)) for t in text], dtype=bool)
+        return leaks(F.col("text").cast("string"))
 
-        docs = docs.filter(~leaks(F.col("text").cast("string")))
+    for block in item_blocks(benchmark):
+        docs = docs.filter(~leaks_of(docs.sparkSession.sparkContext.broadcast(block)))
     return docs

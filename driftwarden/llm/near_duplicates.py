@@ -230,7 +230,7 @@ def _links(classes: DataFrame, docs: DataFrame, n: int, share: Fraction, cut: fl
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut: float | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row of `docs` (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, kept, body per row of `docs` (doc_id, text; other columns are ignored).
 
     Words are lower-cased (A-Z); a text with fewer than `n` words has its whole sequence as one
     shingle; a null text or one without words has no shingles and is linked with nothing.
@@ -238,27 +238,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut:
     component_id is the smallest doc_id reachable over links, and kept marks the row that bears it.
     Repeated rows are linked like any copies.  A row without doc_id cannot name a component: it is
     linked with nothing, its component_id is null and it is kept.  An empty table gives no rows.
+    body is a 64-bit hash of the text, by which `keep_one` finds its rows.
     """
     share = Fraction(str(similarity)).limit_denominator(10_000)
     cut = similarity - 0.15 if cut is None else cut
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("body", F.xxhash64("text"))
 
     def sketch(batches):
         for pdf in batches:
             rows = []
-            for doc, values in zip(pdf["doc_id"], shingle_sets(pdf["text"], n)):
+            for doc, body, values in zip(pdf["doc_id"], pdf["body"], shingle_sets(pdf["text"], n)):
                 doc = None if pd.isna(doc) else int(doc)
                 if len(values) and doc is not None:
                     least = minima(values)
-                    rows.append((doc, len(values), W.fingerprint(values), pack(least), band_keys(least)))
+                    rows.append((doc, body, len(values), W.fingerprint(values), pack(least), band_keys(least)))
                 else:
-                    rows.append((doc, len(values), None, None, None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "fp", "sig", "bands"])
+                    rows.append((doc, body, len(values), None, None, None))
+            out = pd.DataFrame(rows, columns=["doc_id", "body", "n_shingles", "fp", "sig", "bands"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     sketched = stage_table(docs.mapInPandas(
-        sketch, "doc_id long, n_shingles long, fp binary, sig array<long>, bands array<long>"), "sketches")
+        sketch, "doc_id long, body long, n_shingles long, fp binary, sig array<long>, bands array<long>"), "sketches")
     classes = stage_table(sketched.filter("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -267,6 +269,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut:
         "component", F.coalesce("component", "cid"))
     least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(least, "component").select("fp", "component_id")
-    return (sketched.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return (sketched.select("doc_id", "body", "n_shingles", "fp").join(named, "fp", "left")
+            .select("doc_id", "body", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.85) -> DataFrame:
+    """`docs` (doc_id, text and any other columns) with one row of each group of near duplicates, that of the smallest doc_id.
+
+    Of equal rows (doc_id and text) one stays; rows without doc_id all stay; cases as in `near_duplicates`.
+    """
+    found = near_duplicates(docs, n, similarity).filter(F.col("doc_id").isNotNull())
+    linked = found.filter("n_shingles > 0 and kept").groupBy("doc_id", "component_id").agg(F.min("body").alias("body"))
+    stays = linked.select("doc_id", "body").union(found.filter("n_shingles = 0").select("doc_id", "body").distinct())
+    stays = stays.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"))
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__body", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(stays, ["__id", "__body"], "left_semi").dropDuplicates(["__id", "__body"])
+    return kept.unionByName(keyed.filter(F.col("__id").isNull())).select(*docs.columns)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import decontaminate, fm_index, near_duplicates, suffix_array, topk, toxicity
+from driftwarden.llm import (chat, decontaminate, fm_index, licences, mixing, near_duplicates, suffix_array, topk, toxicity,
+                             url_rules)
 
 QUERIES, ORACLE = {}, {}
 
@@ -22,6 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_source_mix")
+def source_mix(spark, sf_dir):
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0)).drop("copies")
+
+
+@query("op2_url_rules", """
+    WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+                 FROM pages),
+    parts AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1) AS raw,
+                     regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM cut),
+    urls AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+    rules(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                                            ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+    judged AS (SELECT u.*, (SELECT max({'n': length(rhost || rpath), 'rule': rhost || rpath, 'verdict': verdict}) FROM rules
+                            WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS best FROM urls u)
+    SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged""")
+def url_verdicts(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.given_rules(spark))
+
+
 @query("op3_toxicity")
 def toxicity_scores(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -29,7 +50,7 @@ def toxicity_scores(spark, sf_dir):
 
 @query("op4_minhash_near_dedup")
 def minhash_near_dedup(spark, sf_dir):
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=5, similarity=0.85)
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), n=5, similarity=0.85).drop("body")
 
 
 @query("op5_suffix_array_dedup")
@@ -42,6 +63,16 @@ def substring_dedup(spark, sf_dir):
     return fm_index.dedup_substrings(table(spark, sf_dir, "documents")).drop("fp", "spans")
 
 
+@query("op7_license_scan")
+def license_scan(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_chat_format")
+def chat_format(spark, sf_dir):
+    return chat.parse_transcripts(table(spark, sf_dir, "conversations"))
+
+
 @query("op9_decontamination")
 def decontamination(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,3 +90,9 @@ def decontamination(spark, sf_dir):
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5""")
 def top_k_search(spark, sf_dir):
     return topk.search_embeddings(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
