@@ -29,7 +29,7 @@ from driftwarden.session import stage_table
 
 WINDOW, GRAM = 50, 8
 SPAN = WINDOW - GRAM + 1
-PER_SALT = 512
+PER_SALT = 4096
 PER_SHARD = 8000
 NONE = np.iinfo(np.int64).max
 
@@ -207,9 +207,8 @@ def remove_repeats(docs: DataFrame, matcher: Matcher) -> DataFrame:
                         .mapInPandas(_match(matcher), f"digest binary, least long, members {SPANS}"), "found")
     salted = found.filter("digest is not null")
     least = salted.groupBy("digest").agg(F.min("least").alias("first"))
-    spans = (found.filter("digest is null").select(F.inline("members"))
-             .union(salted.join(least, "digest").select("first", F.inline("members"))
-                    .filter("doc_id > first").drop("first")))
+    later = salted.join(least, "digest").select(F.filter("members", lambda m: m["doc_id"] > F.col("first")).alias("members"))
+    spans = found.filter("digest is null").select("members").union(later).select(F.inline("members"))
     spans = spans.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def keep(batches):
