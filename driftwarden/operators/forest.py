@@ -25,26 +25,23 @@ def expected_path(n) -> np.ndarray:
 
 
 def tree_samples(rows: DataFrame, keys: list[str], trees: int, size: int, seed: int) -> DataFrame:
-    """`size` rows per tree without replacement.
+    """`size` rows per tree without replacement, drawn by every tree from all rows.
 
-    The trees draw from a pool of at most trees x size rows with the smallest hashes.  A hash
-    cut at three times that share keeps nearly everything else out of the final sort, and
-    each tree ranks a hash preselection of the pool, so the table is never copied per tree.
+    A row's draw for a tree is a hash of its keys and the tree.  A row goes only to the trees whose draw is
+    below three times the share a tree takes (a tree then gets 3 x size rows on average), and
+    the smallest `size` draws of a tree stay.
     """
     span = 1 << 30
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    narrow = rows.withColumn("_key", F.xxhash64(*keys, F.lit(seed + 1))).withColumn("_most", F.lit(3.0 * size * span) / total)
 
-    def likely(df, n, wanted):
-        return df.filter(F.pmod(F.col("_h"), F.lit(span)).cast("double") * n < F.lit(float(span)) * 3 * wanted)
+    def draw(tree):
+        return F.pmod(F.xxhash64("_key", tree), F.lit(span))
 
-    hashed = rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    pool = (likely(hashed, total, trees * size).orderBy(F.pmod(F.col("_h"), F.lit(span)), *keys)
-            .limit(trees * size).drop("_h"))
-    drawn = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .withColumn("_h", F.xxhash64(*keys, "tree", F.lit(seed + 1))))
-    drawn = likely(drawn, pool.agg(F.count(F.lit(1))).scalar(), size)
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.pmod(F.col("_h"), F.lit(span)), *keys))
-    return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_h", "_rank")
+    trees_of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.col("_most"))
+    drawn = narrow.withColumn("tree", F.explode(trees_of)).withColumn("_h", draw(F.col("tree")))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_h", *keys))
+    return drawn.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_h", "_rank", "_key", "_most")
 
 
 def grow(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> dict[str, list]:

@@ -17,21 +17,18 @@ def heavy_keys(facts: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFr
 def lookup_join(facts: DataFrame, dim: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
     """Left join of facts with a table that has one row per key, safe for hot keys.
 
-    Rows of the few heavy keys take their values from a broadcast of at most 1 / share
-    rows.  Every other row is shuffled on (key, 0).  Heavy rows go through the same shuffle
-    under a salt that matches nothing, so no task receives a whole heavy key.
+    Heavy keys are those of the facts, whether or not the table has them.  Their rows take their values
+    from a broadcast of at most 1 / share rows and are not shuffled, nor are rows without a
+    key, which match nothing.  All other rows are shuffled on the key.
     """
     values = [c for c in dim.columns if c != key]
-    heavy = heavy_keys(facts, key, share)
-    hot = (dim.join(F.broadcast(heavy), key, "left_semi")
-           .select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in values]))
-    tagged = facts.join(F.broadcast(hot), key, "left")
-    salt = F.when(F.col("_hot"), F.lit(1) + F.pmod(F.xxhash64(*facts.columns), F.lit(1 << 20))).otherwise(0)
-    tagged = tagged.withColumn("_salt", salt.cast("int"))
-    cold = dim.withColumn("_salt", F.lit(0))
-    joined = tagged.join(cold, [key, "_salt"], "left")
-    return joined.select(*[F.col(c) for c in facts.columns],
-                         *[F.coalesce(F.col(c), F.col(f"_hot_{c}")).alias(c) for c in values])
+    heavy = heavy_keys(facts.select(key), key, share).filter(F.col(key).isNotNull())
+    mark = heavy.withColumn("_hot", F.lit(True))
+    hot = F.broadcast(mark.join(dim.join(F.broadcast(heavy), key, "left_semi"), key, "left"))
+    still = facts.join(hot, key, "left").filter(F.col("_hot") | F.col(key).isNull())
+    cold = facts.filter(F.col(key).isNotNull()).join(F.broadcast(heavy), key, "left_anti").join(dim, key, "left")
+    columns = [*facts.columns, *values]
+    return still.select(*columns).union(cold.select(*columns))
 
 
 def with_fallback(df: DataFrame, per_key: DataFrame, key: str, fallback: DataFrame) -> DataFrame:

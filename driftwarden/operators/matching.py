@@ -20,11 +20,14 @@ ENTITY_LIST = "array<struct<type:string,value:string>>"
 
 
 def match_exact(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = ("doc_id",),
-                pred_keys: Sequence[str] = ()) -> DataFrame:
+                pred_keys: Sequence[str] = (), predictors: Sequence | None = None) -> DataFrame:
     """tp, fp, fn per (keys, pred_keys, type) for one-to-one matching on equal normalised values.
 
     With equality the greedy assignment is the multiset intersection: both sides are counted
-    by value before they meet, so a value repeated millions of times is one row.
+    by value before they meet, so a value repeated millions of times is one row.  With
+    `pred_keys`, gold is compared with every one of `predictors` (values or tuples of values of those
+    columns); one that predicts nothing misses all gold.  Without the list only predictors that
+    have rows are known.
     """
     keys, extra = list(keys), list(pred_keys)
     g = (tx.with_normalised(gold, "value", "_n").groupBy(*keys, "type", "_n")
@@ -32,7 +35,12 @@ def match_exact(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = ("doc_id
     p = (tx.with_normalised(pred, "value", "_n").groupBy(*keys, *extra, "type", "_n")
          .agg(F.count(F.lit(1)).alias("_p")))
     if extra:        # gold is compared with every predictor of the set
-        names = pred.select(*extra).distinct().agg(F.collect_set(F.struct(*extra))).scalar()
+        if predictors is None:
+            names = pred.select(*extra).distinct().agg(F.collect_set(F.struct(*extra))).scalar()
+        else:
+            rows = [p if isinstance(p, tuple) else (p,) for p in predictors]
+            names = F.array(*[F.struct(*[F.lit(v).cast(pred.schema[c].dataType).alias(c) for c, v in zip(extra, row)])
+                              for row in rows])
         g = g.withColumn("_e", F.explode(names)).select("*", "_e.*").drop("_e")
     both = g.join(p, [*keys, *extra, "type", "_n"], "full").fillna(0, ["_g", "_p"])
     tp = F.least("_g", "_p")

@@ -66,7 +66,9 @@ def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, a
     rows = rows.withColumn("_z", F.array(*[scores.zscore(F.col(c), F.col("_mu")[i], F.col("_sd")[i])
                                            for i, c in enumerate(feats)]))
     # six products written out: one short lambda per bank row instead of nested folds
-    similarity = vectors.let(F.coalesce("bank", "_gb"), lambda rows_: F.when(F.size(rows_) > 0, F.lit(1.0) - vectors.let(
+    # the bank of all users is for unknown ones; a known user without rows of their own scores 0
+    own = F.coalesce("bank", F.filter("_gb", lambda b: F.lit(False)))
+    similarity = vectors.let(F.when(known, own).otherwise(F.col("_gb")), lambda rows_: F.when(F.size(rows_) > 0, F.lit(1.0) - vectors.let(
         vectors.unit(F.col("_z")), lambda h: vectors.top_k_mean(
             F.transform(rows_, lambda b: vectors.dot_fixed(h, b, WIDTH)), fv.TOPK))).otherwise(0.0))
     rows = rows.withColumn("raw_bank", similarity).drop("bank", "_gb")

@@ -106,7 +106,7 @@ def predictions(spark, sf_dir):
 
 def counts(spark, sf_dir):
     return fx.shared(spark, sf_dir, "match_counts", lambda s, d: matching.match_exact(
-        gold(s, d), predictions(s, d), ["doc_id"], ["branch"]))
+        gold(s, d), predictions(s, d), ["doc_id"], ["branch"], [B1, B2, B3]))
 
 
 def picked(spark, sf_dir, tau=fv.OCR_TAU):

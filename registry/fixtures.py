@@ -22,9 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, times and sizes of the tables in a folder, so that changed tables are read anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files))
+
+
 def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Stage table written once per application and read by many reports."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Stage table written once per application and state of the tables, and read by many reports."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), name)
     if key not in _SHARED:
         _SHARED[key] = stage_table(build(spark, sf_dir), name)
     return _SHARED[key]
@@ -61,19 +68,13 @@ def hourly(spark, sf_dir) -> DataFrame:
 
 
 def hourly_from_events(spark, sf_dir) -> DataFrame:
-    # fixed-width buffers (a packed last event, a bit per event type) keep the aggregate hashed;
-    # the order is time, then event id
-    kinds = {name: i for i, name in enumerate(ENDPOINT_OF)}
-    kind = scores.lookup("event_type", kinds)
-    order = F.unix_micros("ts") * 1024 + F.col("event_id") % 1024
     raw = sessions.hourly_sessions(activity(spark, sf_dir), {
         "s": F.least(F.lit(100), F.floor(F.max("value")).cast("int")),
-        "_last": F.max_by(F.col("k") * 8 + kind, order), "x": F.round(F.sum("value"), 2),
-        "collaboration_density": F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), kind))) / 5.0})
-    raw = raw.withColumns({"k": F.floor(F.col("_last") / 8).cast("int"),
-                           "event_type": F.element_at(F.array(*[F.lit(n) for n in kinds]), F.col("_last") % 8 + 1)})
+        "_last": F.max_by(F.struct("k", "event_type"), F.struct("ts", "event_id")), "x": F.round(F.sum("value"), 2),
+        "collaboration_density": F.size(F.collect_set("event_type")) / 5.0})
+    raw = raw.withColumns({"k": F.col("_last.k"), "event_type": F.col("_last.event_type")})
     k, s = F.col("k"), F.col("s")
-    endpoint = scores.lookup("event_type", ENDPOINT_OF)
+    endpoint = scores.lookup("event_type", ENDPOINT_OF, "permission_change")
     threat = (k >= 90) & (s >= 50)
     return raw.select(
         "user_id", "timestamp", "hour_index", "calls", "s", k.alias("k"), "x",
@@ -174,8 +175,8 @@ SQL = {
         CASE WHEN k % 10 = 7 THEN k / 1e2 ELSE 0e0 END AS permission_scope_delta,
         (k >= 90 AND s >= 50) AS is_true_threat, (calls >= 2 AND s < 50) AS is_benign_burst,
         CASE WHEN k >= 90 AND s >= 50 THEN CASE et WHEN 'signup' THEN 'compromised_account'
-            WHEN 'error' THEN 'negligent_insider' WHEN 'purchase' THEN 'overscoped_thirdparty'
-            ELSE 'malicious_insider' END END AS threat_class,
+            WHEN 'error' THEN 'negligent_insider' WHEN 'view' THEN 'malicious_insider'
+            WHEN 'click' THEN 'malicious_insider' ELSE 'overscoped_thirdparty' END END AS threat_class,
         CAST(user_id AS VARCHAR) || '-' || strftime("timestamp", '%Y-%m-%d') AS episode_id
         FROM rawsess""",
     "cuts": """SELECT h, train_end, fit_end, floor(h * 85e-2) AS val_end, fit_end + 24 AS calib_lo FROM (

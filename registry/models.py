@@ -91,7 +91,7 @@ def isolation_scores(spark, sf_dir):
 
 
 def trained(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, fx.stamp(spark, sf_dir))
     if key not in _TRAINED:
         h = fx.hourly(spark, sf_dir)
         hours = sessions.horizon(h)

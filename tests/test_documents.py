@@ -159,3 +159,13 @@ def test_tau_sweep_equals_reassembly(spark):
     for step in (50, 73, 85, 100):
         m = matching.micro(matching.assemble(d, c, step / 100)).first()
         assert (sweep[step].tp, sweep[step].fp, sweep[step].fn) == (m.tp, m.fp, m.fn)
+
+
+def test_silent_predictors_miss_all_gold(spark):
+    gold = spark.createDataFrame([("d", "EMAIL", "a@b.c"), ("d", "NID", "1")], "doc_id string, type string, value string")
+    pred = spark.createDataFrame([("d", "EMAIL", "a@b.c", "x")], "doc_id string, type string, value string, branch string")
+    for rows, hits in ((pred, 1), (pred.limit(0), 0)):
+        out = {(r.branch, r.type): (r.tp, r.fp, r.fn) for r in matching.match_exact(
+            gold, rows, ["doc_id"], ["branch"], ["x", "y"]).collect()}
+        assert out[("y", "EMAIL")] == out[("y", "NID")] == (0, 0, 1)
+        assert out[("x", "EMAIL")] == (hits, 0, 1 - hits)

@@ -163,3 +163,14 @@ def test_ewma_shuffles_blocks_once(spark):
     assert "ReusedExchange" in q._jdf.queryExecution().executedPlan().toString()
     with_null = df.withColumn("user_id", F.when(F.col("user_id") > 0, F.col("user_id")))
     assert ewma.ewma_stream(with_null, "x").count() == 4900
+
+
+def test_lookup_join_spreads_unmatched_and_null_keys(spark):
+    facts = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"),
+                                      F.col("id").alias("v")).repartition(6)
+    dim = spark.createDataFrame([(1, "a"), (4, "b")], "k long, name string")
+    got = joins.lookup_join(facts, dim, "k", share=0.05)
+    assert got.count() == 30000
+    assert {(r.k, r.name) for r in got.filter("name is not null").collect()} == {(1, "a"), (4, "b")}
+    most = max(r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect())
+    assert most < 8000              # 10,000 rows have key 7, 10,000 have none

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -210,3 +212,16 @@ def test_grid_covers_every_hour(spark, sf):
     users, hours = h.select("user_id").distinct().count(), h.agg(F.max("hour_index") + 1).first()[0]
     assert g.count() == users * hours and g.filter("active").count() == h.count()
     assert g.filter("not active and (calls <> 0 or s <> 0)").count() == 0
+
+
+def test_hourly_last_event_and_event_types(spark, tmp_path):
+    from registry import fixtures
+    rows = [(1023, dt.datetime(2024, 1, 1, 0, 5), 1, "view", 1.0, '{"k": 1}'), (1024, dt.datetime(2024, 1, 1, 0, 5), 1, "click", 2.0, '{"k": 2}'),
+            (5, dt.datetime(2024, 1, 1, 1, 0), 1, "unheard", 1.0, '{"k": 3}'), (6, dt.datetime(2024, 1, 1, 1, 1), 1, "view", 1.0, '{"k": 4}')]
+    path = str(tmp_path)
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/events.parquet")
+    got = sorted((r.hour_index, r.k, r.endpoint_class, r.collaboration_density) for r in fixtures.hourly(spark, path).collect())
+    assert got == [(0, 2, "write", 0.2 * 2), (1, 4, "read", 0.2 * 2)]
+    spark.createDataFrame(rows[:2], schema).write.mode("overwrite").parquet(f"{path}/events.parquet")
+    assert fixtures.hourly(spark, path).count() == 1            # a changed table is read anew
