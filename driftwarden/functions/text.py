@@ -123,12 +123,12 @@ RULES = (
     Rule("PASSWORD", r"\b(?=[A-Za-z0-9]{8,20}\b)(?=[^\s]*[a-z])(?=[^\s]*[A-Z])(?=[^\s]*\d)[A-Za-z0-9]+\b",
          0.5, ("password", "passwd", "pwd", "credential", "temp"),
          needs="[0-9]"),
-    Rule("CREDIT_CARD", r"[0-9]{4}(?:[- ]?[0-9]{4}){3}", 0.3, ("card", "credit", "visa"), "luhn",
+    Rule("CREDIT_CARD", r"[0-9]{4}(?:[- ]?[0-9]{4}){3}|\b[0-9]{4}[- ]?[0-9]{6}[- ]?[0-9]{4,5}\b|\b4[0-9]{12}\b", 0.3, ("card", "credit", "visa"), "luhn",
          "[0-9]{4}"),
     Rule("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 0.85,
          ("email", "mail"), needs="@"),
-    Rule("PHONE_NUMBER", r"\+?[0-9]{0,2}[ ]?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", 0.6, ("phone", "tel", "call"),
-         needs="[0-9]\\) ?[0-9]"),
+    Rule("PHONE_NUMBER", r"\+?[0-9]{0,2}[ ]?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|\+[0-9]{1,3}[- ]?[0-9]{3}[- ]?[0-9]{7}\b", 0.6,
+         ("phone", "tel", "call"), needs=r"[0-9]\) ?[0-9]|\+[0-9]"),
     Rule("DATE_TIME", r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", 0.6, ("birth", "dob"),
          needs="[0-9]-[0-9]"),
     Rule("PERSON", r"(?m)(?<=^Name: )[^\n]+", 0.85, needs="Name: "),

@@ -119,8 +119,8 @@ def prf6(df):
 
 
 # --- recognisers --------------------------------------------------------------------
-RULE_SQL = {"CREDIT_CARD": "[0-9]{4}(?:[- ]?[0-9]{4}){3}", "EMAIL_ADDRESS": GOLD_PATTERNS["EMAIL"],
-            "PHONE_NUMBER": r"\+?[0-9]{0,2}[ ]?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
+RULE_SQL = {"CREDIT_CARD": r"[0-9]{4}(?:[- ]?[0-9]{4}){3}|\b[0-9]{4}[- ]?[0-9]{6}[- ]?[0-9]{4,5}\b|\b4[0-9]{12}\b", "EMAIL_ADDRESS": GOLD_PATTERNS["EMAIL"],
+            "PHONE_NUMBER": r"\+?[0-9]{0,2}[ ]?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|\+[0-9]{1,3}[- ]?[0-9]{3}[- ]?[0-9]{7}\b",
             "NID": r"\b[0-9]{5}[- ]?[0-9]{7}[- ]?[0-9]\b", "DATE_TIME": "(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}",
             "PERSON": r"(?:^|\n)Name: [^\n]+", "LOCATION": r"(?:^|\n)Address: [^\n]+",
             "PASSWORD": r"\b[A-Za-z0-9]{8,20}\b"}

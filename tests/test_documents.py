@@ -169,3 +169,16 @@ def test_silent_predictors_miss_all_gold(spark):
             gold, rows, ["doc_id"], ["branch"], ["x", "y"]).collect()}
         assert out[("y", "EMAIL")] == out[("y", "NID")] == (0, 0, 1)
         assert out[("x", "EMAIL")] == (hits, 0, 1 - hits)
+
+
+def test_international_phones_and_shorter_cards(spark):
+    text = ("Name: Ada Byron\nAddress: 1 Long Road\nCNIC 12345-1234567-1, born 1990-01-02, mail a.b@c.org\n"
+            "phone +92 312 3456789 card 3782 822463 10005 temp password aB3dE6gH9")
+    df = spark.createDataFrame([(1, text), (2, "call +923123456789, card 4222222222222"), (3, "no 378282246310006")], "doc_id bigint, text string")
+    found = {}
+    for r in pii.recognise(df).collect():
+        found.setdefault(r.doc_id, {}).setdefault(r.recogniser, set()).add(r.value)
+    assert set(found[1]) >= {r.recogniser for r in tx.RULES}
+    assert found[1]["PHONE_NUMBER"] == {"+92 312 3456789"} and found[1]["CREDIT_CARD"] == {"3782 822463 10005"}
+    assert found[2]["PHONE_NUMBER"] == {"+923123456789"} and found[2]["CREDIT_CARD"] == {"4222222222222"}
+    assert "CREDIT_CARD" not in found.get(3, {})
