@@ -155,7 +155,7 @@ def _verified(num: int, den: int):
             order = np.argsort(code, kind="stable")
             owner, code = owner[order], code[order]
             shared = np.zeros((len(sets), len(sets)), np.float32)
-            width = max(1024, (1 << 23) // max(1, len(sets)))
+            width = max(1024, (1 << 22) // max(1, len(sets)))
             for first in range(0, int(code[-1]) + 1 if len(code) else 0, width):
                 a, b = np.searchsorted(code, [first, first + width])
                 grid = np.zeros((len(sets), width), np.float32)
@@ -226,7 +226,7 @@ def _links(classes: DataFrame, docs: DataFrame, n: int, share: Fraction, cut: fl
     verified = (grouped.repartition("cluster", "ci", "cj").sortWithinPartitions("cluster", "ci", "cj")
                 .select("cluster", "ci", "cj", "side", "cid", "home", "members")
                 .mapInPandas(_verified(num, den), "a long, b long"))
-    return star.union(verified)
+    return star.union(stage_table(verified, "verified"))      # so that no task runs two Python workers
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut: float | None = None) -> DataFrame:
