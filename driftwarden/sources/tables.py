@@ -11,13 +11,13 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from . import layouts
 
-# File names per table: measured file first, simulated file as fallback.  Pass your own mapping
-# to read differently named files.
+# File names per table, measured file first, simulated file as fallback.  Pass your own
+# mapping to read differently named files.
 FILES = {
-    "pii_scans": ("pii_scans_measured.csv", "pii_scans.csv"),
-    "anomaly_comparison": ("session_comparison_measured.csv", "session_comparison.csv"),
-    "ewma_baselines": ("ewma_baselines.csv",),
-    "blocked_audit": ("blocked_audit.csv",),
+    "pii_scans": ("pii_scan_results_v2_real.csv", "pii_scan_results.csv"),
+    "anomaly_comparison": ("anomaly_detection_comparison_v2_real.csv", "anomaly_detection_comparison.csv"),
+    "ewma_baselines": ("ewma_user_baselines.csv",),
+    "blocked_audit": ("blocked_events_audit.csv",),
     "events": ("events.json",),
     "system_log": ("system.log",),
 }
@@ -48,7 +48,7 @@ def resolve(spark: SparkSession, root: str, key: str, files: Mapping[str, Sequen
 def read_table(spark: SparkSession, path: str, layout: Sequence[tuple[str, str]]) -> DataFrame:
     """Delimited text with a header, read as text and coerced; bad values become null."""
     schema = ", ".join(f"`{c}` string" for c, _ in layout)
-    raw = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
+    raw = spark.read.schema(schema).options(header=True, encoding="UTF-8", escape='"').csv(path)     # doubled quotes
     parse = {"timestamp": tx.parse_timestamp, "boolean": tx.parse_bool,
              "double": tx.parse_number, "bigint": lambda c: tx.parse_number(c, "bigint")}
     return raw.select(*[parse.get(t, lambda c: c)(F.col(f"`{c}`")).alias(c) for c, t in layout])
@@ -76,7 +76,7 @@ def write_table(df: DataFrame, path: str, layout: Sequence[tuple[str, str]], del
         return
     cols = [(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if dict(df.dtypes)[c].startswith("timestamp")
              else F.col(c)) for c, _ in layout]
-    df.select(*cols).write.option("header", True).csv(path)
+    df.select(*cols).write.options(header=True, escape='"').csv(path)
 
 
 def rewrite(spark: SparkSession, path: str, layout: Sequence[tuple[str, str]], change) -> str:

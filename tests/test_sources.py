@@ -31,15 +31,15 @@ def write_csv(path, rows):
 
 @pytest.fixture()
 def root(tmp_path):
-    write_csv(tmp_path / "pii_scans.csv", SCANS)
-    write_csv(tmp_path / "blocked_audit.csv", [dict(zip([c for c, _ in fv.BLOCKED_AUDIT_COLUMNS], (
+    write_csv(tmp_path / "pii_scan_results.csv", SCANS)
+    write_csv(tmp_path / "blocked_events_audit.csv", [dict(zip([c for c, _ in fv.BLOCKED_AUDIT_COLUMNS], (
         "BLK-001", "2026-04-13 08:45:00", "USR001", "A", "Finance", "p.xlsx", "75", "0.82", "HIGH-RISK PII — cards", "Drive", "J-1", "60")))])
-    write_csv(tmp_path / "ewma_baselines.csv", [dict(zip([c for c, _ in fv.BASELINE_COLUMNS], (
+    write_csv(tmp_path / "ewma_user_baselines.csv", [dict(zip([c for c, _ in fv.BASELINE_COLUMNS], (
         "USR001", "A", "Finance", w, "0.3", "6.4", cur, "0.03", "2.0", "NORMAL", "2026-04-13 11:01:00")))
         for w, cur in (("1h", "0"), ("7d", "5.5"))])
     comparison = ("ANOM-0001", "2026-04-13 11:19:00", "USR008", "O", "Legal", "Drive", "a.pdf", "179", "20.112", "2.427", "7.7325", "7.2838",
                   "True", "0.0208", "0.1222", "0.0614", "False", "34", "0.3504", "SENSITIVE", "BLOCK", "ALERT", "False", "False", "True")
-    write_csv(tmp_path / "session_comparison.csv", [dict(zip([c for c, _ in fv.COMPARISON_COLUMNS], comparison))])
+    write_csv(tmp_path / "anomaly_detection_comparison.csv", [dict(zip([c for c, _ in fv.COMPARISON_COLUMNS], comparison))])
     (tmp_path / "events.json").write_text(json.dumps({"log_metadata": META, "events": [EVENT, BARE]}), encoding="utf-8")
     (tmp_path / "system.log").write_text("line one\nline two\n")
     return str(tmp_path)
@@ -56,8 +56,8 @@ def test_tables_coerce_bad_values_to_null(spark, root):
 
 
 def test_measured_file_is_preferred(spark, root, tmp_path):
-    assert tables.resolve(spark, root, "pii_scans").endswith("pii_scans.csv")
-    write_csv(tmp_path / "pii_scans_measured.csv", SCANS[:1])
+    assert tables.resolve(spark, root, "pii_scans").endswith("pii_scan_results.csv")
+    write_csv(tmp_path / "pii_scan_results_v2_real.csv", SCANS[:1])
     assert tables.load(spark, root, "pii_scans").count() == 1
     with pytest.raises(FileNotFoundError, match="nowhere"):
         tables.resolve(spark, root + "/nowhere", "events")
