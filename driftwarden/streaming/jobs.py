@@ -39,28 +39,41 @@ def unique_events(events: DataFrame, key: str = "event_id") -> DataFrame:
 
 def ewma_updates(sessions: DataFrame, value: str, lam: float = fv.EWMA_LAMBDA, key: str = "user_id",
                  time: str = "hour") -> DataFrame:
-    """EWMA per user with the last state kept between micro-batches; rows of one batch are
-    folded in time order.  Input: one row per user and hour."""
+    """EWMA per user with the last state and its hour kept between micro-batches; rows of one batch are
+    folded in time order.  Input: one row per user and hour.
+
+    An hour that is not after the last one folded comes too late to take its place: it leaves the state
+    alone and is returned with null EWMA values, so that it can be counted or replayed.  A table of
+    hours that another stream writes has to be read without a limit of files per trigger: a micro-batch
+    then holds whole commits, which come in the order of time.
+    """
     key_type = dict(sessions.dtypes)[key]
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # hours of one user in one micro-batch: bounded by the trigger's time span
         pdf = pd.concat(list(frames)).sort_values(time)
-        last = state.get[0] if state.exists else None
+        last, folded = state.get if state.exists else (None, None)
         prev, new, dev = [], [], []
-        for x in pdf[value].astype(float):
+        for x, hour in zip(pdf[value].astype(float), pdf[time].astype("datetime64[us]").astype("int64")):
+            if folded is not None and hour <= folded:
+                prev.append(None)
+                new.append(None)
+                dev.append(None)
+                continue
             start = x if last is None else last
             prev.append(start)
             dev.append(0.0 if last is None else (x - start) / max(start, fv.EWMA_STATE_FLOOR))
             last = x if last is None else lam * x + (1.0 - lam) * start
             new.append(last)
-        state.update((last,))
+            folded = int(hour)
+        state.update((last, folded))
         yield pd.DataFrame({key: group[0], time: pdf[time], value: pdf[value].astype(float),
-                            "ewma_previous": prev, "ewma_new": new, "ewma_deviation": dev})
+                            **{n: pd.Series(v, dtype=float, index=pdf.index) for n, v in
+                               (("ewma_previous", prev), ("ewma_new", new), ("ewma_deviation", dev))}})
 
     return sessions.groupBy(key).applyInPandasWithState(
         fold, f"{key} {key_type}, {time} timestamp, {value} double, ewma_previous double, ewma_new double, "
-              "ewma_deviation double", "state double", "append", GroupStateTimeout.NoTimeout)
+              "ewma_deviation double", "state double, folded long", "append", GroupStateTimeout.NoTimeout)
 
 
 def score_stream(events: DataFrame, baselines: DataFrame, sensitivity: Column, rate: Column,
@@ -75,20 +88,39 @@ def score_stream(events: DataFrame, baselines: DataFrame, sensitivity: Column, r
                             "action": scores.band_action("sbrs_value")})
 
 
-def enforce(scored: DataFrame, audit_path: str, queue_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """BLOCK rows to the audit table, ALERT rows to the review queue.
+def enforce(scored: DataFrame, audit_path: str, queue_path: str, checkpoint: str, key: str = "event_id",
+            **trigger) -> StreamingQuery:
+    """BLOCK rows to the audit table, ALERT rows to the review queue; both only grow.
 
-    Every micro-batch writes its own batch directory in overwrite mode, so a replayed batch
-    replaces itself and rows are neither lost nor doubled.
+    Every micro-batch owns the folder of its query and number, so a batch that is run again replaces
+    itself.  A new checkpoint is a new query with folders of its own: it replaces nothing, and rows whose
+    `key` another query has written are left out.  Within one query only the other queries' folders
+    are read, by their key column.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        kinds = batch.select(key).schema
+        batch.persist()
         for action, path in (("BLOCK", audit_path), ("ALERT", queue_path)):
-            batch.filter(F.col("action") == action).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            rows = batch.filter(F.col("action") == action)
+            others = [q for q in _children(spark, path) if q != f"query={query_id}"]
+            if others:
+                written = spark.read.schema(kinds).parquet(*[f"{path}/{q}/batch=*" for q in others])
+                rows = rows.join(written, key, "left_anti").select(*batch.columns)
+            rows.write.mode("overwrite").parquet(f"{path}/query={query_id}/batch={batch_id}")
+        batch.unpersist()
 
     return (scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _children(spark, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
 def to_table(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     return (df.writeStream.format("parquet").outputMode("append").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

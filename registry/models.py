@@ -181,6 +181,26 @@ def streamed_ewma(spark, sf_dir):
                       r6("ewma_new", "ewma_new"), r6("ewma_deviation", "ewma_deviation"))
 
 
+@query("streamed_hourly_ewma", fx.sql("""SELECT user_id, "timestamp" AS hour, round(p, 6) AS ewma_previous, round(n, 6) AS ewma_new,
+    round(d, 6) AS ewma_deviation FROM ew JOIN lab USING (user_id, hour_index)
+    WHERE "timestamp" + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""", "ew", "lab"))
+def streamed_hourly_ewma(spark, sf_dir):
+    """Events in four deliveries -> table of closed hours -> EWMA state, one micro-batch or more after each delivery."""
+    root, e = folder(spark, "hourly_ewma"), fx.table(spark, sf_dir, "events")
+    lo, hi = e.agg(F.min("ts").alias("lo")).scalar().cast("timestamp"), e.agg(F.max("ts").alias("hi")).scalar().cast("timestamp")
+    share = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(lo)) / F.greatest(F.unix_micros(hi) - F.unix_micros(lo), F.lit(1))
+    for i in range(4):
+        e.filter(F.least(F.floor(share * 4), F.lit(3)) == i).write.mode("append").parquet(f"{root}/events")
+        events = jobs.event_time(spark.readStream.schema(e.schema).parquet(f"{root}/events"))
+        hours = jobs.hourly_counts(events, {"x": F.round(F.sum("value"), 2)}).select("user_id", "hour", "x")
+        jobs.to_table(hours, f"{root}/hours", f"{root}/hours-checkpoint").awaitTermination()
+        updates = jobs.ewma_updates(spark.readStream.schema(hours.schema).parquet(f"{root}/hours"), "x")
+        jobs.to_table(updates, f"{root}/ewma", f"{root}/ewma-checkpoint").awaitTermination()
+    out = spark.read.schema(updates.schema).parquet(f"{root}/ewma")
+    return out.select("user_id", F.col("hour").cast("timestamp_ntz").alias("hour"), r6("ewma_previous", "ewma_previous"),
+                      r6("ewma_new", "ewma_new"), r6("ewma_deviation", "ewma_deviation"))
+
+
 def stream_scored(spark, sf_dir):
     base = fx.activity(spark, sf_dir).groupBy("user_id").agg(fx.rd(F.avg("value"), 2).alias("ewma_baseline"))
     return jobs.score_stream(stream(spark, sf_dir), base, F.least(F.lit(100.0), F.col("value")), F.col("value"))
@@ -200,9 +220,10 @@ def streamed_scores(spark, sf_dir):
 
 @query("streamed_enforcement", f"SELECT action, event_id FROM ({SCORED_STREAM}) WHERE action <> 'PERMIT'")
 def streamed_enforcement(spark, sf_dir):
-    """BLOCK audit and ALERT queue written by an idempotent batch sink."""
+    """BLOCK audit and ALERT queue written by an idempotent batch sink; a second query over the same events adds nothing."""
     root = folder(spark, "enforcement")
     scored = stream_scored(spark, sf_dir).select("event_id", "user_id", "sbrs_value", "action")
-    jobs.enforce(scored, f"{root}/audit", f"{root}/queue", f"{root}/checkpoint").awaitTermination()
+    for run_of in ("first", "second"):
+        jobs.enforce(scored, f"{root}/audit", f"{root}/queue", f"{root}/checkpoint-{run_of}").awaitTermination()
     parts = [spark.read.parquet(f"{root}/{p}").select("action", "event_id") for p in ("audit", "queue")]
     return parts[0].unionByName(parts[1])
