@@ -10,18 +10,23 @@ exact whatever the cut points are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_RANGES = 256
 SLICES = 64
 
 
 def _ranges(df: DataFrame, ranges: int | None) -> int:
-    if ranges:
-        return ranges
-    return max(4, min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many ranges as a shuffle has partitions, so they grow with the cluster's own setting."""
+    return ranges or max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _place(cuts: str, heads: str, value: str, step: int) -> Column:
+    """How many of the sorted `cuts` are not above the value: first among `heads`, every `step`-th, then in the stretch after it."""
+    start = F.greatest(F.size(F.filter(heads, lambda c: c <= F.col(value))) - 1, F.lit(0)) * step
+    return start + F.size(F.filter(F.slice(cuts, start + 1, F.lit(step)), lambda c: c <= F.col(value)))
 
 
 def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
@@ -29,8 +34,8 @@ def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
     """One row per (by, value) with summed weights, `<w>_before` = total over smaller values
     and `<w>_total` = total of the group.
 
-    Cut points: the `ranges` values with the smallest hash of each group, i.e. a uniform
-    sample of the distinct values.  Cut points and range offsets take at most `ranges` + 1 rows
+    Cut points: a uniform sample of about `ranges` distinct values of each group, those with the smallest
+    hashes of each of sqrt(`ranges`) slices, so that no task sees every partition's candidates.  Cut points and range offsets take at most `ranges` + 1 rows
     per group.  They are broadcast when there is no grouping, or when the caller knows that the
     groups are a handful of labels (`few_groups`); otherwise Spark picks the join by their
     measured size.
@@ -40,11 +45,14 @@ def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
     distinct = (df.filter(F.col(value).isNotNull())
                 .groupBy(*by, value).agg(*[w.alias(k) for k, w in weights.items()]))
 
-    sample_order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.xxhash64(F.col(value)))
+    step = math.isqrt(n - 1) + 1
+    sample_order = Window.partitionBy(*by, "_slice").orderBy(F.xxhash64(F.col(value), F.lit(1)))
     # the weights are carried along so that this branch reads the same shuffle as the others
-    sampled = (distinct.withColumn("_rn", F.row_number().over(sample_order)).filter(F.col("_rn") <= n)
+    sampled = (distinct.withColumn("_slice", F.pmod(F.xxhash64(F.col(value)), F.lit(step)))
+               .withColumn("_rn", F.row_number().over(sample_order)).filter(F.col("_rn") <= -(-n // step))
                .groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(value, *names))).alias("_cuts"))
-               .withColumn("_cuts", F.transform("_cuts", lambda s: s[value])))
+               .withColumn("_cuts", F.transform("_cuts", lambda s: s[value]))
+               .withColumn("_heads", F.filter("_cuts", lambda c, i: i % step == 0)))
 
     def attach(left, right, keys):
         right = F.broadcast(right) if few_groups or not by else right
@@ -52,11 +60,11 @@ def running_totals(df: DataFrame, value: str, weights: dict[str, Column],
 
     if by:
         ranged = attach(distinct.alias("l"), sampled.alias("r"), by)
-        ranged = ranged.select("l.*", "r._cuts")
+        ranged = ranged.select("l.*", "r._cuts", "r._heads")
     else:
-        ranged = distinct.withColumn("_cuts", sampled.select("_cuts").scalar())
-    ranged = (ranged.withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value))))
-              .drop("_cuts"))
+        ranged = (distinct.withColumn("_both", sampled.select(F.struct("_cuts", "_heads")).scalar())
+                  .select("*", "_both._cuts", "_both._heads").drop("_both"))
+    ranged = ranged.withColumn("_range", _place("_cuts", "_heads", value, step)).drop("_cuts", "_heads")
 
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range")
     offsets = (ranged.groupBy(*by, "_range").agg(*[F.sum(k).alias(k) for k in names]))
