@@ -236,9 +236,14 @@ def normalised_entities(spark, sf_dir):
 
 
 @query("entity_derivation_check", esql("""SELECT count(*) FILTER (WHERE has_pii) AS verified,
-    sum(CASE WHEN has_pii THEN 1 + CAST(k % 8 = 3 AS INT) ELSE 0 END)::BIGINT AS derived, CAST(0 AS BIGINT) AS mismatches FROM evd""", "evd"))
+    sum(CASE WHEN has_pii THEN 1 + CAST(k % 8 = 3 AS INT) ELSE 0 END)::BIGINT AS derived, count(*) FILTER (WHERE has_pii AND k % 9 = 4) AS mismatches FROM evd""", "evd"))
 def entity_derivation_check(spark, sf_dir):
-    return ev.derivation_check(documents(spark, sf_dir))
+    """Stated contributions of some files are wrong by one."""
+    wrong = F.regexp_extract("request.file_name", "([0-9]+)$", 1).cast("int") % 9 == 4
+    entities = F.transform("pii_detection.entities_detected", lambda e: e.withField(
+        "contribution", F.when(wrong, e["contribution"] + 1).otherwise(e["contribution"])))
+    found = F.when(F.col("pii_detection").isNotNull(), F.col("pii_detection").withField("entities_detected", entities))
+    return ev.derivation_check(documents(spark, sf_dir).withColumn("pii_detection", found))
 
 
 @query("sensitivity_scores", """SELECT event_id, CAST(least(10 * h + 5 * m + l, 100) AS INT) AS score, CASE WHEN least(10 * h + 5 * m + l, 100) >= 70

@@ -34,6 +34,7 @@ def stacked(flags, name="detector", source="test"):
 
 SPLITS = {"test": "SELECT * FROM scored WHERE split = 'test'", "val": "SELECT * FROM scored WHERE split = 'val'",
           "val4": "SELECT * REPLACE (round(a_hybrid, 4) AS a_hybrid) FROM scored WHERE split = 'val'",
+          "all4": "SELECT * REPLACE (round(a_hybrid, 4) AS a_hybrid) FROM scored",
           "test4": "SELECT * REPLACE (round(a_hybrid, 4) AS a_hybrid) FROM scored WHERE split = 'test'"}
 
 
@@ -45,9 +46,10 @@ def part(spark, sf_dir, split):
     return fx.scored(spark, sf_dir).filter(F.col("split") == split)
 
 
-def stored(spark, sf_dir, split):
-    """Rows as read back from the stored table, where scores carry 4 decimals."""
-    return part(spark, sf_dir, split).withColumn("a_hybrid", fx.rd("a_hybrid", 4))
+def stored(spark, sf_dir, split=None):
+    """Rows as read back from the stored table, where scores carry 4 decimals; without a split all of them."""
+    rows = part(spark, sf_dir, split) if split else fx.scored(spark, sf_dir)
+    return rows.withColumn("a_hybrid", fx.rd("a_hybrid", 4))
 
 
 def rounded(df, *cols):
@@ -94,9 +96,10 @@ def emitted_rows(spark, sf_dir):
 @query("risk_refresh", osql("""SELECT user_id, hour_index, round_even(v * 1e4, 0) / 1e4 AS sbrs_value,
     CASE WHEN v >= 184e-2 THEN 'HIGH-RISK' WHEN v >= 122e-2 THEN 'SENSITIVE' ELSE 'SAFE' END AS sbrs_category,
     CASE WHEN v >= 184e-2 THEN 'BLOCK' WHEN v >= 122e-2 THEN 'ALERT' ELSE 'PERMIT' END AS hybrid_action
-    FROM (SELECT *, s * (1e0 + 25e-1 * a_hybrid) / 100e0 AS v FROM test4)""", "test4"))
+    FROM (SELECT *, s * (1e0 + 25e-1 * a_hybrid) / 100e0 AS v FROM all4)""", "all4"))
 def risk_refresh(spark, sf_dir):
-    out = enforcement.refresh_risk(stored(spark, sf_dir, "test"), "s", "a_hybrid")
+    """Every stored row, whatever its split."""
+    out = enforcement.refresh_risk(stored(spark, sf_dir), "s", "a_hybrid")
     return out.select("user_id", "hour_index", "sbrs_value", "sbrs_category", "hybrid_action")
 
 
@@ -105,7 +108,8 @@ def risk_refresh(spark, sf_dir):
     "doc_bands_alert_or_block": "round_even(v * 1e4, 0) / 1e4 >= 5e-1"}, "rule",
     "(SELECT *, s * (1e0 + 25e-1 * a_hybrid) / 100e0 AS v FROM test4)"), "test4"))
 def risk_refresh_metrics(spark, sf_dir):
-    out = enforcement.refresh_risk(stored(spark, sf_dir, "test"), "s", "a_hybrid")
+    """All rows are refreshed, the report is about the test split."""
+    out = enforcement.refresh_risk(stored(spark, sf_dir), "s", "a_hybrid").filter("split = 'test'")
     return rounded(reports.detector_table(out, {
         "hybrid_alert_or_block": F.col("hybrid_action") != "PERMIT",
         "hybrid_block_only": F.col("hybrid_action") == "BLOCK",
@@ -114,12 +118,20 @@ def risk_refresh_metrics(spark, sf_dir):
 
 @query("output_constraints", sql("""SELECT unnest(['score_in_unit_interval', 'sensitivity_0_100', 'action_matches_band',
     'correct_matches_flag', 'base_action_matches_flag', 'calls_at_least_two']) AS rule, unnest([
-    count(*) FILTER (WHERE NOT a_hybrid BETWEEN 0 AND 1), count(*) FILTER (WHERE NOT s BETWEEN 0 AND 100),
-    0, 0, 0, count(*) FILTER (WHERE calls < 2)]) AS violations FROM scored""", "scored"))
+    count(*) FILTER (WHERE hour_index % 7 = 1), count(*) FILTER (WHERE hour_index % 7 = 2), count(*) FILTER (WHERE hour_index % 7 = 3),
+    count(*) FILTER (WHERE hour_index % 7 = 4), count(*) FILTER (WHERE hour_index % 7 = 5),
+    count(*) FILTER (WHERE calls < 2)]) AS violations FROM scored""", "scored"))
 def output_constraints(spark, sf_dir):
-    s = fx.scored(spark, sf_dir).select(
-        "*", F.col("a_hybrid").alias("hybrid_anomaly_score"), F.col("s").alias("pii_sensitivity_score"),
-        F.col("ewma_flag").alias("ewma_anomaly_flagged"), F.col("hybrid_flag").alias("hybrid_anomaly_flagged"))
+    """Every rule is broken on purpose in the rows of one hour out of seven."""
+    def broken(i, bad, good):
+        return F.when(F.col("hour_index") % 7 == i, bad).otherwise(good)
+
+    s = fx.scored(spark, sf_dir).withColumns({
+        "hybrid_anomaly_score": broken(1, F.col("a_hybrid") + 1.5, F.col("a_hybrid")),
+        "pii_sensitivity_score": broken(2, F.lit(None), F.col("s")),
+        "hybrid_action": broken(3, F.lit("NONE"), F.col("hybrid_action")),
+        "hybrid_correct": broken(4, ~F.col("hybrid_correct"), F.col("hybrid_correct")),
+        "ewma_anomaly_flagged": broken(5, ~F.col("ewma_flag"), F.col("ewma_flag")), "hybrid_anomaly_flagged": F.col("hybrid_flag")})
     rules = {k: make() for k, make in enforcement.CONSTRAINTS.items()}
     return enforcement.violations(s, {**rules, "calls_at_least_two": F.col("calls") >= 2})
 
