@@ -19,7 +19,7 @@ CHUNK_ROWS = 20_000
 def memory_bank_scores(queries: DataFrame, bank: DataFrame, key: str, vector: str, ids: list[str],
                        k: int = fv.TOPK, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(ids, key, raw) with raw = 1 - mean of the k largest cosines with the key's bank; 0 for
-    an empty bank.
+    an empty bank or a key without one.
 
     Queries of a key are cut into chunks of about `chunk_rows` and each chunk meets a copy of
     the key's bank, whose size is capped (see `capped_sample`).  A key with a third of all
@@ -63,14 +63,12 @@ def bank_distance(h: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def session_bank_scores(zrows: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY_BANK_CAP,
-                        seed: int = 42, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """Memory-bank score of every active session with a full day of history.
+def _per_user_codes(zrows: DataFrame, cap: int, seed: int, weights: dict[str, np.ndarray] | None, use, result: str) -> DataFrame:
+    """use(rows, codes, bank positions) per user: the active sessions with a full day of history, their
+    encoded windows as unit vectors, and which of them make the bank.
 
-    Input: `personal_frame` rows.  Only a user's active hours travel (one row per hour, so
-    bounded by the calendar); idle hours are filled in and the 24-hour windows are views built
-    inside the task, never shuffled.  The bank is the FIT sessions, at most `cap` of them by
-    seeded digest.  Windows are encoded by flattening, or by the LSTM whose `weights` are given.
+    Only a user's active hours travel (one row per hour, so bounded by the calendar); idle hours are
+    filled in and the 24-hour windows are views built inside the task, never shuffled.
     """
     z = [f"z_{i}" for i in range(len(fv.FEATURES))]
     live = zrows.filter("active") if "active" in zrows.columns else zrows
@@ -84,18 +82,40 @@ def session_bank_scores(zrows: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY
         dense[hours] = pdf[z].to_numpy(float)
         tail = pdf[hours >= fv.SEQ_LEN - 1]
         if tail.empty:
-            return pd.DataFrame({"user_id": tail["user_id"], "hour_index": tail["hour_index"], "raw": np.zeros(0)})
+            return use(tail[["user_id", "hour_index"]], np.zeros((0, 1)), np.zeros(0, int))
         views = np.lib.stride_tricks.sliding_window_view(dense, fv.SEQ_LEN, axis=0).transpose(0, 2, 1)
         h = _encode(views[tail["hour_index"].to_numpy() - fv.SEQ_LEN + 1], weights)
         h = h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-9)
         fit = np.flatnonzero(tail["in_fit"].to_numpy(bool))
         if len(fit) > cap:
             fit = fit[np.argsort(tail["pick"].to_numpy()[fit], kind="stable")[:cap]]
-        return pd.DataFrame({"user_id": tail["user_id"], "hour_index": tail["hour_index"],
-                             "raw": bank_distance(h, h[fit], k)})
+        return use(tail[["user_id", "hour_index"]], h, fit)
 
     key_type = dict(zrows.dtypes)["user_id"]
-    return map_runs(rows, "user_id", "hour_index", score, f"user_id {key_type}, hour_index bigint, raw double")
+    return map_runs(rows, "user_id", "hour_index", score, f"user_id {key_type}, hour_index bigint, {result}")
+
+
+def session_bank_scores(zrows: DataFrame, k: int = fv.TOPK, cap: int = fv.MEMORY_BANK_CAP,
+                        seed: int = 42, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """Memory-bank score of every active session with a full day of history.
+
+    Input: `personal_frame` rows.  The bank is the FIT sessions, at most `cap` of them by
+    seeded digest.  Windows are encoded by flattening, or by the LSTM whose `weights` are given.
+    """
+    def rated(rows, codes, bank):
+        return rows.assign(raw=bank_distance(codes, codes[bank], k))
+
+    return _per_user_codes(zrows, cap, seed, weights, rated, "raw double")
+
+
+def bank_codes(zrows: DataFrame, cap: int = fv.MEMORY_BANK_CAP, seed: int = 42,
+               weights: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """(user_id, hour_index, code): the banks that `session_bank_scores` compares with, as encoded unit vectors."""
+    def picked(rows, codes, bank):
+        rows = rows.iloc[bank]
+        return rows.assign(code=pd.Series(list(codes[bank]), index=rows.index, dtype=object))
+
+    return _per_user_codes(zrows, cap, seed, weights, picked, "code array<double>")
 
 
 # --- batch LSTM encoding -------------------------------------------------------
@@ -128,6 +148,12 @@ def encoder_weights(table: DataFrame) -> dict[str, np.ndarray]:
             for n, g in pdf.groupby("name")}
 
 
+def weight_table(spark, weights: dict[str, np.ndarray]) -> DataFrame:
+    """The table that `encoder_weights` reads."""
+    rows = [(name, i, [float(x) for x in row]) for name, m in weights.items() for i, row in enumerate(np.atleast_2d(m))]
+    return spark.createDataFrame(rows, "name string, row int, values array<double>")
+
+
 def encode_windows(df: DataFrame, window: str, weights: dict[str, np.ndarray]) -> DataFrame:
     """Adds `encoded`, the LSTM's last hidden state, vectorised over Arrow batches."""
     shared = df.sparkSession.sparkContext.broadcast(weights)

@@ -14,6 +14,7 @@ from .. import fixed_values as fv
 from ..functions import scores, vectors
 from ..operators import events as ev, forest, joins, ordering, scoring
 from ..operators.enforcement import check_parameters
+from ..session import stage_table
 
 WIDTH = len(fv.FEATURES)
 
@@ -22,13 +23,16 @@ WIDTH = len(fv.FEATURES)
 class ServingModel:
     """Model tables: user_stats (user_id, mu_i, sd_i), scaler (one row), banks (user_id,
     hour_index, tail), forest, calibrators (name, lo, hi), params (alpha, tau_hybrid,
-    tau_ewma)."""
+    tau_ewma); for events with history or an encoder also codes (user_id, hour_index, code: encoded
+    unit windows), and encoder (name, row, values) unless windows are flattened."""
     user_stats: DataFrame
     scaler: DataFrame
     banks: DataFrame
     forest: DataFrame
     calibrators: DataFrame
     params: DataFrame
+    codes: DataFrame | None = None
+    encoder: DataFrame | None = None
 
 
 def user_context(model: ServingModel, baselines: DataFrame, events: DataFrame) -> DataFrame:
@@ -49,15 +53,74 @@ def fallback_context(model: ServingModel, seed: int = 0) -> tuple[DataFrame, Dat
     return stats, bank.agg(F.collect_list("tail").alias("bank"))
 
 
+def _windows(rows: DataFrame, history: DataFrame | None) -> DataFrame:
+    """`rows` with `_window`, the 24 z vectors that end with the event; hours without history are at the user's own level (0)."""
+    still = F.array_repeat(F.lit(0.0), WIDTH)
+    if history is None:
+        return rows.withColumn("_window", F.concat(F.array_repeat(still, fv.SEQ_LEN - 1), F.array("_z")))
+    hours = (history.filter(F.col("hours_before").between(1, fv.SEQ_LEN - 1))
+             .groupBy("event_id", F.col("hours_before").cast("int").alias("hours_before"))
+             .agg(F.max(F.array(*[F.col(c).cast("double") for c in fv.SERVING_FEATURES])).alias("x"))
+             .groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("hours_before", "x"))).alias("_past")))
+    rows = joins.lookup_join(rows, hours, "event_id")
+
+    def placed(t):
+        x = F.try_element_at("_past", t)
+        return F.when(x.isNull(), still).otherwise(F.array(*[F.coalesce(scores.zscore(x[i], F.col("_mu")[i], F.col("_sd")[i]), F.lit(0.0))
+                                                             for i in range(WIDTH)]))
+
+    past = F.transform(F.sequence(F.lit(fv.SEQ_LEN - 1), F.lit(1), F.lit(-1)), placed)
+    return rows.withColumn("_window", F.concat(past, F.array("_z"))).drop("_past")
+
+
+def _coded_distance(rows: DataFrame, model: ServingModel, history: DataFrame | None) -> DataFrame:
+    """`rows` with `raw_bank` from encoded windows.  Only (row number, bank, code) go to the banks, in bounded
+    chunks, and the score comes back by the row's number; unknown users share the bank of all users."""
+    if model.codes is None:
+        raise ValueError("history and encoders need the model's table of encoded banks (codes)")
+    rows = stage_table(rows.withColumn("_row", F.monotonically_increasing_id()), "events_in_context")
+    bank_of = F.when(F.col("mu").isNotNull(), F.concat(F.lit("user "), F.col("user_id").cast("string"))).otherwise("all")
+    queries = _windows(rows.select("_row", bank_of.alias("_of"), "event_id", "_mu", "_sd", "_z"), history)
+    if model.encoder is None:
+        queries = queries.withColumn("code", F.flatten("_window"))
+    else:
+        queries = scoring.encode_windows(queries, "_window", scoring.encoder_weights(model.encoder)).withColumnRenamed("encoded", "code")
+    everyone = ordering.capped_sample(model.codes, ["user_id", "hour_index"], [], fv.GLOBAL_BANK_CAP, 0)
+    banks = (model.codes.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("_of"), "code")
+             .union(everyone.select(F.lit("all").alias("_of"), "code")))
+    queries = stage_table(queries.select("_row", "_of", "code"), "event_codes")
+    raw = scoring.memory_bank_scores(queries, banks, "_of", "code", ["_row"])
+    return rows.join(raw.select("_row", F.col("raw").alias("raw_bank")), "_row").drop("_row")
+
+
+def _tail_distance(rows: DataFrame, bank: DataFrame) -> DataFrame:
+    """`rows` with `raw_bank` for events without history, whose earlier hours are zero: their flattened
+    windows meet the banks in the last hour only, six products a bank row."""
+    rows = rows.withColumn("_gb", bank.scalar())
+    known = F.col("mu").isNotNull()
+    # six products written out: one short lambda per bank row instead of nested folds
+    # the bank of all users is for unknown ones; a known user without rows of their own scores 0
+    own = F.coalesce("bank", F.filter("_gb", lambda b: F.lit(False)))
+    similarity = vectors.let(F.when(known, own).otherwise(F.col("_gb")), lambda rows_: F.when(F.size(rows_) > 0, F.lit(1.0) - vectors.let(
+        vectors.unit(F.col("_z")), lambda h: vectors.top_k_mean(
+            F.transform(rows_, lambda b: vectors.dot_fixed(h, b, WIDTH)), fv.TOPK))).otherwise(0.0))
+    return rows.withColumn("raw_bank", similarity).drop("bank", "_gb")
+
+
 def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, alpha: float | None = None,
-                 beta: float = fv.SBRS_BETA) -> DataFrame:
-    """One nested row per event: event, pii, anomaly, sbrs, raw_enforcement."""
+                 beta: float = fv.SBRS_BETA, history: DataFrame | None = None) -> DataFrame:
+    """One nested row per event: event, pii, anomaly, sbrs, raw_enforcement.
+
+    `history` (event_id, hours_before, the six serving features in natural units) holds earlier hours of
+    the event's user; those 1 to 23 hours before the event fill its window.
+    """
     check_parameters(alpha, beta)
+    coded = history is not None or model.encoder is not None
     stats, bank = fallback_context(model)
     keyed = events.withColumn("user_id", F.col("request.user_id"))
-    rows = joins.lookup_join(keyed, user_context(model, baselines, events), "user_id")
-    rows = rows.withColumns({"_g": scoring.one_row(stats), "_gb": bank.scalar(), "_s": scoring.one_row(model.scaler),
-                             "_p": scoring.one_row(model.params)})
+    context = user_context(model, baselines, events)
+    rows = joins.lookup_join(keyed, context.drop("bank") if coded else context, "user_id")
+    rows = rows.withColumn("_g", scoring.one_row(stats))
     known = F.col("mu").isNotNull()
     rows = rows.withColumns({"_mu": F.when(known, F.col("mu")).otherwise(F.col("_g.mu")),
                              "_sd": F.when(known, F.col("sd")).otherwise(F.col("_g.sd"))})
@@ -65,13 +128,8 @@ def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, a
     rows = rows.withColumns(feats)
     rows = rows.withColumn("_z", F.array(*[scores.zscore(F.col(c), F.col("_mu")[i], F.col("_sd")[i])
                                            for i, c in enumerate(feats)]))
-    # six products written out: one short lambda per bank row instead of nested folds
-    # the bank of all users is for unknown ones; a known user without rows of their own scores 0
-    own = F.coalesce("bank", F.filter("_gb", lambda b: F.lit(False)))
-    similarity = vectors.let(F.when(known, own).otherwise(F.col("_gb")), lambda rows_: F.when(F.size(rows_) > 0, F.lit(1.0) - vectors.let(
-        vectors.unit(F.col("_z")), lambda h: vectors.top_k_mean(
-            F.transform(rows_, lambda b: vectors.dot_fixed(h, b, WIDTH)), fv.TOPK))).otherwise(0.0))
-    rows = rows.withColumn("raw_bank", similarity).drop("bank", "_gb")
+    rows = _coded_distance(rows, model, history) if coded else _tail_distance(rows, bank)
+    rows = rows.withColumns({"_s": scoring.one_row(model.scaler), "_p": scoring.one_row(model.params)})
     scaled = {f"g_{i}": (F.col(c) - F.col(f"_s.mu_{i}")) / F.when(F.col(f"_s.sd_{i}") == 0, 1.0).otherwise(F.col(f"_s.sd_{i}"))
               for i, c in enumerate(feats)}
     rows = forest.forest_score(rows.withColumns(scaled), model.forest, list(scaled))

@@ -1,7 +1,7 @@
 """Train on the FIT hours, tune on validation, score every session.
 
 Stages are tables in the shared folder: features -> raw scores -> scored sessions, plus the
-small model tables (user statistics, banks, forest, scaler, calibrators, parameters).
+small model tables (user statistics, banks, forest, scaler, calibrators, parameters, encoder).
 """
 
 from __future__ import annotations
@@ -43,8 +43,9 @@ def bank_tails(zrows: DataFrame, seed: int = 42, cap: int = fv.MEMORY_BANK_CAP)
 
 
 def raw_scores(feats: DataFrame, fit_hours: Column, trees: int = fv.FOREST_TREES, seed: int = 42,
-               weights=None) -> tuple[DataFrame, dict]:
-    """Memory-bank, isolation and EWMA values of every scoreable session."""
+               weights=None, codes: bool = False) -> tuple[DataFrame, dict]:
+    """Memory-bank, isolation and EWMA values of every scoreable session.  `codes`: keep the encoded banks for
+    events with history; an encoder always needs them."""
     stats = cut_lineage(sessions.session_stats(feats, fit_hours))
     scaler = cut_lineage(sessions.global_scaler(feats))
     zrows = sessions.personal_frame(feats, stats)
@@ -58,15 +59,20 @@ def raw_scores(feats: DataFrame, fit_hours: Column, trees: int = fv.FOREST_TREES
                               "activity_rate_per_hr").drop("activity_rate_per_hr")
     keys = ["user_id", "hour_index"]
     out = live.join(bank, keys).join(isolated, keys).join(series, keys)
-    return out, {"user_stats": stats, "scaler": scaler, "forest": grown, "banks": cut_lineage(bank_tails(zrows, seed))}
+    model = {"user_stats": stats, "scaler": scaler, "forest": grown, "banks": cut_lineage(bank_tails(zrows, seed))}
+    if codes or weights is not None:
+        model["codes"] = stage_table(scoring.bank_codes(zrows, seed=seed, weights=weights), "codes")
+    if weights is not None:
+        model["encoder"] = scoring.weight_table(feats.sparkSession, weights)
+    return out, model
 
 
 def train_and_score(active: DataFrame, hours: Column, trees: int = fv.FOREST_TREES, seed: int = 42,
-                    weights=None) -> Trained:
+                    weights=None, codes: bool = False) -> Trained:
     """`active`: one row per user and active hour with the features' inputs, labels and splits
     (see `assign_splits`); `hours`: number of hours in the table."""
     feats = stage_table(sessions.session_features(active), "features")
-    raw, tables = raw_scores(feats, sessions.split_bounds(hours)["fit_end"], trees, seed, weights)
+    raw, tables = raw_scores(feats, sessions.split_bounds(hours)["fit_end"], trees, seed, weights, codes)
     raw = stage_table(raw, "raw_scores")
     calib = raw.filter("in_calib")
     cal_a, cal_b = (cut_lineage(scoring.fit_calibrator(calib, c)) for c in ("raw_bank", "raw_if"))

@@ -186,10 +186,11 @@ def write_metrics(parts: Mapping[str, DataFrame], path: str) -> None:
 
 # --- model tables ---------------------------------------------------------------------------
 MODEL_TABLES = ("user_stats", "scaler", "banks", "forest", "calibrators", "params")
+ENCODER_TABLES = ("codes", "encoder")       # banks as encoded windows, the encoder's weights; a model may have none
 
 
 def save_model(tables: Mapping[str, DataFrame], path: str) -> None:
-    for name in MODEL_TABLES:
+    for name in (*MODEL_TABLES, *(n for n in ENCODER_TABLES if n in tables)):
         tables[name].write.parquet(f"{path}/{name}")
 
 
@@ -197,7 +198,8 @@ def load_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     missing = [n for n in MODEL_TABLES if not exists(spark, f"{path}/{n}")]
     if missing:
         raise EngineUnavailable(f"model tables {missing} not found in {path}; train the engine first")
-    return {n: spark.read.parquet(f"{path}/{n}") for n in MODEL_TABLES}
+    found = [n for n in ENCODER_TABLES if exists(spark, f"{path}/{n}")]
+    return {n: spark.read.parquet(f"{path}/{n}") for n in (*MODEL_TABLES, *found)}
 
 
 def default_params(spark: SparkSession, path: str) -> DataFrame:

@@ -148,6 +148,11 @@ def esql(body, *names):
     return fx.sql(body, *names, extra=SQL)
 
 
+def esql_with(body, extra, *names):
+    """The same with further expressions."""
+    return fx.sql(body, *names, extra={**SQL, **extra})
+
+
 # --- listings ---------------------------------------------------------------------
 @query("event_listing", esql("""SELECT event_id, "timestamp", event_type, module, user_id, user_name, department, platform, file_name,
     file_type, api_action, enforcement_action FROM evd WHERE event_type = 'purchase'""", "evd"))

@@ -1,9 +1,13 @@
+import dataclasses
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
+from driftwarden.operators import scoring
 from driftwarden.plans import event_scoring
-from driftwarden.sources import layouts
+from driftwarden.sources import layouts, tables
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +72,83 @@ def test_unseen_users_take_global_bank(spark, model, events, baselines):
     stats, bank = event_scoring.fallback_context(model)
     assert stats.first().sd == [1.0] * 6 and len(bank.first().bank) == 13 <= fv.GLOBAL_BANK_CAP
     assert event_scoring.user_context(model, baselines, events).filter(F.col("user_id") == "USR002").first().bank == [[0, 0, 0, 1.0, 0, 0]]
+
+
+def coded(spark, model, codes, weights=None):
+    table = spark.createDataFrame(codes, "user_id string, hour_index bigint, code array<double>")
+    return event_scoring.ServingModel(model.user_stats, model.scaler, model.banks, model.forest, model.calibrators, model.params,
+                                      table, scoring.weight_table(spark, weights) if weights else None)
+
+
+def past(spark, rows):
+    return spark.createDataFrame(rows, "event_id string, hours_before int, " + ", ".join(f"{c} double" for c in fv.SERVING_FEATURES))
+
+
+def window_code(steps):
+    """Flattened unit window with the given vectors at the hours before its end."""
+    out = np.zeros((fv.SEQ_LEN, 6))
+    for before, x in steps.items():
+        out[-1 - before] = x
+    return (out / np.linalg.norm(out)).reshape(-1).tolist()
+
+
+def test_history_fills_the_window(spark, model, events, baselines):
+    now, before = [3.0, 1.0, 0.5, 0.0, 0.0, 0.0], [2.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    banked = coded(spark, model, [("USR001", 30, window_code({0: now, 2: before}))])
+    history = past(spark, [("E1", 2, *before), ("E1", 24, *[9.0] * 6), ("E1", 0, *[9.0] * 6), ("E1", None, *[9.0] * 6), (None, 1, *[9.0] * 6), ("E1", 2, *before)])
+    rows = {r.event.event_id: r.anomaly for r in event_scoring.score_events(events, banked, baselines, history=history).collect()}
+    assert set(rows) == {"E1", "E2", "E3", "E4"}
+    assert rows["E1"].lstm_score == pytest.approx(0.0, abs=1e-4)             # the very window of the bank
+    plain = event_scoring.score_events(events, banked, baselines, history=history.limit(0)).filter("event.event_id = 'E1'").first().anomaly
+    cosine = np.dot(window_code({0: now}), window_code({0: now, 2: before}))
+    assert plain.lstm_score == pytest.approx(1 - cosine, abs=1e-4)
+    with pytest.raises(ValueError):
+        event_scoring.score_events(events, model, baselines, history=history)
+
+
+def test_flattened_windows_agree_with_their_last_hour(spark, model, events, baselines):
+    """Without history the encoded banks give what their last hours give."""
+    code = window_code({0: [1.0, 2.0, 0.0, 0.0, 1.0, 0.0], 5: [0.5, 0.0, 1.0, 0.0, 0.0, 0.0]})
+    banked = coded(spark, model, [("USR001", 30, code)])
+    tails = event_scoring.ServingModel(model.user_stats, model.scaler, spark.createDataFrame(
+        [("USR001", 30, code[-6:])], "user_id string, hour_index bigint, tail array<double>"), model.forest, model.calibrators, model.params)
+    by_code = event_scoring.score_events(events, banked, baselines, history=past(spark, []))
+    by_tail = event_scoring.score_events(events, tails, baselines)
+    key = "event.event_id"
+    got, want = ([r.anomaly.lstm_score for r in df.orderBy(key).collect()] for df in (by_code, by_tail))
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_encoder_is_stored_and_used(spark, model, events, baselines, tmp_path):
+    rng = np.random.default_rng(5)
+    weights = {"input": rng.normal(0, 1, (8, 6)), "state": rng.normal(0, 1, (8, 2)), "bias": rng.normal(0, 1, 8)}
+    window = np.zeros((1, fv.SEQ_LEN, 6))
+    window[0, -1] = [3.0, 1.0, 0.5, 0.0, 0.0, 0.0]
+    h = scoring._encode(window, weights)[0]
+    banked = coded(spark, model, [("USR001", 30, h.tolist()), ("USR001", 31, (-h).tolist())], weights)
+    tables.save_model({f.name: getattr(banked, f.name) for f in dataclasses.fields(banked)}, str(tmp_path))
+    loaded = event_scoring.ServingModel(**tables.load_model(spark, str(tmp_path)))
+    a = event_scoring.score_events(events, loaded, baselines).filter("event.event_id = 'E1'").first().anomaly
+    assert a.lstm_score == pytest.approx(1.0, abs=1e-4)                       # the mean cosine with h and -h is 0
+
+
+def test_users_without_codes_score_zero(spark, model, events, baselines):
+    banked = coded(spark, model, [("USR002", 30, window_code({0: [1.0] * 6}))])
+    rows = {r.event.event_id: r.anomaly.lstm_score for r in event_scoring.score_events(events, banked, baselines, history=past(spark, [])).collect()}
+    assert rows["E1"] == 0.0 and rows["E3"] > 0.0                            # known without a bank; unknown: everyone's bank
+    empty = coded(spark, model, [])
+    assert {r.anomaly.lstm_score for r in event_scoring.score_events(events, empty, baselines, history=past(spark, [])).collect()} == {0.0}
+
+
+def test_banks_are_the_windows_that_sessions_meet(spark):
+    z = [f"z_{i}" for i in range(6)]
+    rows = [("a", h, h % 3 > 0, 0.25, *[float((h * (i + 2)) % 5 - 2) for i in range(6)]) for h in range(0, 60, 2)] + [("b", 3, True, 0.0, *[1.0] * 6)]
+    frame = spark.createDataFrame(rows, "user_id string, hour_index bigint, in_fit boolean, idle_z double, " + ", ".join(f"{c} double" for c in z))
+    codes = scoring.bank_codes(frame, cap=5)
+    got = codes.collect()
+    assert len(got) == 5 and all(np.linalg.norm(r.code) == pytest.approx(1.0) and r.hour_index % 3 > 0 and r.hour_index >= 23 for r in got)
+    every = scoring.bank_codes(frame.withColumn("in_fit", F.lit(True)), cap=1000)
+    again = {(r._of, r.hour_index): r.raw for r in scoring.memory_bank_scores(
+        every.select(F.col("user_id").alias("_of"), "hour_index", "code"), codes.select(F.col("user_id").alias("_of"), "code"), "_of", "code", ["hour_index"]).collect()}
+    want = {(r.user_id, r.hour_index): r.raw for r in scoring.session_bank_scores(frame, cap=5).collect()}
+    assert again == pytest.approx(want)
