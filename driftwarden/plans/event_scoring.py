@@ -35,12 +35,14 @@ class ServingModel:
     encoder: DataFrame | None = None
 
 
-def user_context(model: ServingModel, baselines: DataFrame, events: DataFrame) -> DataFrame:
+def user_context(model: ServingModel, baselines: DataFrame, events: DataFrame, homes: DataFrame | None = None) -> DataFrame:
+    """One row per user; `homes` (user_id, home), if not to be taken from the events."""
     stats = model.user_stats.select(
         "user_id", F.array(*[f"mu_{i}" for i in range(WIDTH)]).alias("mu"),
         F.array(*[f"sd_{i}" for i in range(WIDTH)]).alias("sd"))
     banks = model.banks.groupBy("user_id").agg(F.collect_list("tail").alias("bank"))   # capped per user
-    out = ev.baseline_of_users(baselines).join(ev.home_of_users(events), "user_id", "full")
+    homes = ev.home_of_users(events) if homes is None else homes
+    out = ev.baseline_of_users(baselines).join(homes, "user_id", "full")
     return out.join(stats, "user_id", "full").join(banks, "user_id", "full")
 
 
@@ -108,9 +110,12 @@ def _tail_distance(rows: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, alpha: float | None = None,
-                 beta: float = fv.SBRS_BETA, history: DataFrame | None = None) -> DataFrame:
+                 beta: float = fv.SBRS_BETA, history: DataFrame | None = None, homes: DataFrame | None = None) -> DataFrame:
     """One nested row per event: event, pii, anomaly, sbrs, raw_enforcement.
 
+    `homes` (user_id, home) holds the users' habitual origins where `events` are only a part of
+    all events, as in a micro-batch; else they are taken from `events`.
+
     `history` (event_id, hours_before, the six serving features in natural units) holds earlier hours of
     the event's user; those 1 to 23 hours before the event fill its window.
     """
@@ -118,7 +123,7 @@ def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, a
     coded = history is not None or model.encoder is not None
     stats, bank = fallback_context(model)
     keyed = events.withColumn("user_id", F.col("request.user_id"))
-    context = user_context(model, baselines, events)
+    context = user_context(model, baselines, events, homes)
     rows = joins.lookup_join(keyed, context.drop("bank") if coded else context, "user_id")
     rows = rows.withColumn("_g", scoring.one_row(stats))
     known = F.col("mu").isNotNull()

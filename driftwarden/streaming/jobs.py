@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed_values as fv
 from ..functions import scores
+from ..plans.event_scoring import ServingModel, score_events
 
 
 def event_time(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -88,6 +89,22 @@ def score_stream(events: DataFrame, baselines: DataFrame, sensitivity: Column, r
                             "action": scores.band_action("sbrs_value")})
 
 
+def score_with_model(events: DataFrame, model: ServingModel, baselines: DataFrame, homes: DataFrame, path: str, checkpoint: str,
+                     **trigger) -> StreamingQuery:
+    """Nested events scored by the model tables, a micro-batch at a time, into folders query=/batch= below `path`.
+
+    What is looked up per user (statistics, banks, baselines, homes) are tables, so a micro-batch only reads its
+    own events.  A batch that is run again replaces its folder; a new checkpoint is a new query.
+    """
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        scored = score_events(batch, model, baselines, homes=homes)
+        scored.write.mode("overwrite").parquet(f"{path}/query={query_id}/batch={batch_id}")
+
+    return (events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def enforce(scored: DataFrame, audit_path: str, queue_path: str, checkpoint: str, key: str = "event_id",
             **trigger) -> StreamingQuery:
     """BLOCK rows to the audit table, ALERT rows to the review queue; both only grow.

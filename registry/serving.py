@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
-from driftwarden.operators import forest, scoring, sessions
+from driftwarden.functions import vectors
+from driftwarden.operators import events as ev, forest, scoring, sessions
 from driftwarden.plans import event_scoring, session_training
+from driftwarden.session import shared_dir, stage_table
+from driftwarden.streaming import jobs
 from registry import Book, event_docs, fixtures as fx
 from registry.behaviour import VEC_SQL
 from registry.fixtures import r6
@@ -98,8 +104,7 @@ def ruled_model(spark, sf_dir, encoded: bool):
                                    *[F.lit(0.0 if i == WIDTH - 1 else 0.5).alias(f"sd_{i}") for i in range(WIDTH)])
     calibrators = spark.createDataFrame([("bank", 0.2, 1.4), ("forest", 0.3, 0.7)], "name string, lo double, hi double")
     params = spark.range(1).select(F.lit(0.4).alias("alpha"), F.lit(0.5).alias("tau_hybrid"), F.lit(2.5).alias("tau_ewma"))
-    tails = codes.select("user_id", "hour_index", F.slice("code", -WIDTH, WIDTH).alias("tail")) if not encoded else codes.select(
-        "user_id", "hour_index", F.col("code").alias("tail"))
+    tails = codes.select("user_id", "hour_index", F.slice(vectors.unit(F.col("code")), -WIDTH, WIDTH).alias("tail"))
     return event_scoring.ServingModel(stats, scaler, tails, ruled_forest(spark), calibrators, params, codes,
                                       scoring.weight_table(spark, ruled_weights()) if encoded else None)
 
@@ -113,7 +118,7 @@ def earlier_hours(spark, sf_dir):
                        *[(((F.col("event_id") + F.col("hours_before") * i) % 7) / 10.0).alias(c) for i, c in enumerate(fv.SERVING_FEATURES)])
 
 
-def _scores_sql(encoded: bool):
+def _scores_sql(encoded: bool, history: bool = True):
     code = _encode_sql("w") if encoded else "flatten(w)"
     size = HIDDEN if encoded else fv.SEQ_LEN * WIDTH
     x = [f"round_even(f.{c} * 1e4, 0) / 1e4" for c in fv.SERVING_FEATURES[:5]] + ["round_even(coalesce(s.mu, g.mu)[6] * 1e4, 0) / 1e4"]
@@ -141,7 +146,7 @@ def _scores_sql(encoded: bool):
         "sevent": f"""SELECT f.event_id, CAST(substr(f.event_id, 5) AS BIGINT) AS eid, CASE WHEN s.mu IS NULL THEN 'all' ELSE e.user_id END AS owner, e.score,
             coalesce(s.mu, g.mu) AS mu, coalesce(s.sd, g.sd) AS sd, [{', '.join(x)}] AS x
             FROM evf f JOIN scan e USING (event_id) LEFT JOIN sstat s ON s.user_id = e.user_id, gstat g""",
-        "swin": f"""SELECT *, list_concat(list_transform(range(23, 0, -1), lambda t: CASE WHEN eid % 3 <> 0 AND t <= eid % 5 + 1 THEN [{past}]
+        "swin": f"""SELECT *, list_concat(list_transform(range(23, 0, -1), lambda t: CASE WHEN {str(history).lower()} AND eid % 3 <> 0 AND t <= eid % 5 + 1 THEN [{past}]
             ELSE [{', '.join(['0e0'] * WIDTH)}] END), [[{now}]]) AS w, [{scaled}] AS g FROM sevent""",
         "scodes": f"SELECT event_id, owner, {code} AS code FROM swin",
         "snear": """SELECT event_id, 1e0 - avg(cos) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY cos DESC) AS rn FROM (
@@ -151,11 +156,14 @@ def _scores_sql(encoded: bool):
     }, "srate")
 
 
+REPORTED = ("event.event_id", "pii.sensitivity_score", "anomaly.lstm_score", "anomaly.isolation_forest_score",
+            "anomaly.hybrid_anomaly_score", "anomaly.hybrid_flagged", "sbrs.sbrs_value")
+
+
 def ruled_scores(spark, sf_dir, encoded: bool):
     out = event_scoring.score_events(event_docs.documents(spark, sf_dir), ruled_model(spark, sf_dir, encoded),
                                      event_docs.baselines(spark, sf_dir), history=earlier_hours(spark, sf_dir))
-    return out.select("event.event_id", "pii.sensitivity_score", "anomaly.lstm_score", "anomaly.isolation_forest_score",
-                      "anomaly.hybrid_anomaly_score", "anomaly.hybrid_flagged", "sbrs.sbrs_value")
+    return out.select(*REPORTED)
 
 
 @query("event_scores_with_history", _scores_sql(encoded=False))
@@ -168,3 +176,19 @@ def event_scores_with_history(spark, sf_dir):
 def event_scores_with_encoder(spark, sf_dir):
     """The same with windows encoded by the stored LSTM."""
     return ruled_scores(spark, sf_dir, encoded=True)
+
+
+@query("streamed_event_scores", _scores_sql(encoded=False, history=False))
+def streamed_event_scores(spark, sf_dir):
+    """A stream of event documents in three deliveries, scored against stored model tables."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = event_docs.documents(spark, sf_dir)
+    docs.repartition(3, "event_id").write.parquet(f"{root}/events")
+    model = ruled_model(spark, sf_dir, encoded=False)
+    stored = {f.name: stage_table(t, f.name) for f in dataclasses.fields(model) if (t := getattr(model, f.name)) is not None}
+    homes = stage_table(ev.home_of_users(spark.read.schema(docs.schema).parquet(f"{root}/events")), "homes")
+    baselines = stage_table(event_docs.baselines(spark, sf_dir), "baselines")
+    events = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    jobs.score_with_model(events, event_scoring.ServingModel(**stored), baselines, homes,
+                          f"{root}/scores", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/scores/query=*/batch=*").select(*REPORTED)
