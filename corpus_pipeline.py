@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    return near_duplicates.keep_one(docs, n=5, similarity=0.85)
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8 or more), that with the smallest doc_id."""
+    return near_duplicates.keep_one(docs, n=5, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

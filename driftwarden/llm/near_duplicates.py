@@ -12,8 +12,8 @@
 4. A cluster is verified on full shingle sets in blocks of at most 2 x `CHUNK` classes.  A block
    returns a spanning forest of its true links, which has the same components as all of them.
 
-A link of similarity s is missed with probability (1 - s**ROWS) ** BANDS (4e-7 at 0.85) plus
-the chance that the estimate is below `cut` (4.5 standard deviations at 0.85).
+A link of similarity s is missed with probability (1 - s**ROWS) ** BANDS (4e-7 at 0.85, 5e-5 at 0.8) plus
+the chance that the estimate is below `cut` (4.6 standard deviations, 1e-5 at 0.85; 4.1 and 5e-5 at 0.8).
 """
 
 from __future__ import annotations

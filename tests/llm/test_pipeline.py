@@ -31,3 +31,11 @@ def test_awkward_table(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies int").limit(0).write.mode(
         "overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicate_stage_links_at_four_fifths(spark, sf):
+    words = [f"w{i}" for i in range(304)]                       # 300 shingles; a word changed inside costs 5 of them
+    near = [f"x{i}" if i in (50, 100, 150, 200, 250, 300) else w for i, w in enumerate(words)]       # 270 of 330: 0.818
+    far = [f"y{i}" if i in (40, 80, 120, 160, 200, 240, 280) else w for i, w in enumerate(words)]    # 265 of 335: 0.791
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, sf).collect()) == [1, 3]
