@@ -192,7 +192,8 @@ def _links(classes: DataFrame, docs: DataFrame, n: int, share: Fraction, cut: fl
         for pdf in batches:
             found = [x.view(np.int64) for x in shingle_sets(pdf["text"], n)]
             same = np.array([W.fingerprint(x.view(np.uint64)) == bytes(f) for x, f in zip(found, pdf["fp"])], bool)
-            yield pd.DataFrame({"cid": pdf["cid"][same], "members": [x for x, s in zip(found, same) if s]})
+            if same.any():          # rows of another text under the doc_id drop out
+                yield pd.DataFrame({"cid": pdf["cid"][same], "members": [x for x, s in zip(found, same) if s]})
 
     texts = (docs.join(wanted, "doc_id").select("cid", "fp", "text")
              .mapInPandas(sets, "cid long, members array<long>"))
@@ -229,17 +230,8 @@ def _links(classes: DataFrame, docs: DataFrame, n: int, share: Fraction, cut: fl
     return star.union(stage_table(verified, "verified"))      # so that no task runs two Python workers
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut: float | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, body per row of `docs` (doc_id, text; other columns are ignored).
-
-    Words are lower-cased (A-Z); a text with fewer than `n` words has its whole sequence as one
-    shingle; a null text or one without words has no shingles and is linked with nothing.
-    Two rows are linked when their sets' Jaccard similarity is `similarity` or more;
-    component_id is the smallest doc_id reachable over links, and kept marks the row that bears it.
-    Repeated rows are linked like any copies.  A row without doc_id cannot name a component: it is
-    linked with nothing, its component_id is null and it is kept.  An empty table gives no rows.
-    body is a 64-bit hash of the text, by which `keep_one` finds its rows.
-    """
+def _grouped(docs: DataFrame, n: int, similarity: float, cut: float | None) -> DataFrame:
+    """The rows of `near_duplicates` with `linked`, one number per linked group (null without shingles or doc_id)."""
     share = Fraction(str(similarity)).limit_denominator(10_000)
     cut = similarity - 0.15 if cut is None else cut
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -268,19 +260,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut:
     labels = classes.select("cid", "fp", "doc_id").join(found, "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = labels.join(least, "component").select("fp", "component_id")
+    named = labels.join(least, "component").select("fp", "component_id", F.col("component").alias("linked"))
     return (sketched.select("doc_id", "body", "n_shingles", "fp").join(named, "fp", "left")
-            .select("doc_id", "body", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            .select("doc_id", "body", "n_shingles", "linked", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut: float | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, body per row of `docs` (doc_id, text; other columns are ignored).
+
+    Words are lower-cased (A-Z); a text with fewer than `n` words has its whole sequence as one
+    shingle; a null text or one without words has no shingles and is linked with nothing.
+    Two rows are linked when their sets' Jaccard similarity is `similarity` or more;
+    component_id is the smallest doc_id reachable over links, and kept marks the row that bears it.
+    Repeated rows are linked like any copies; unlike texts under one doc_id are groups of their own, though the same
+    doc_id may name them.  A row without doc_id cannot name a component: it is
+    linked with nothing, its component_id is null and it is kept.  An empty table gives no rows.
+    body is a 64-bit hash of the text, by which `keep_one` finds its rows.
+    """
+    return _grouped(docs, n, similarity, cut).drop("linked")
+
+
 def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.85) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with one row of each group of near duplicates, that of the smallest doc_id.
 
-    Of equal rows (doc_id and text) one stays; rows without doc_id all stay; cases as in `near_duplicates`.
+    Of equal rows (doc_id and text) one stays; unlike texts under one doc_id all stay; rows without doc_id all
+    stay; cases as in `near_duplicates`.
     """
-    found = near_duplicates(docs, n, similarity).filter(F.col("doc_id").isNotNull())
-    linked = found.filter("n_shingles > 0 and kept").groupBy("doc_id", "component_id").agg(F.min("body").alias("body"))
+    found = _grouped(docs, n, similarity, None).filter(F.col("doc_id").isNotNull())
+    linked = found.filter("n_shingles > 0 and kept").groupBy("doc_id", "linked").agg(F.min("body").alias("body"))
     stays = linked.select("doc_id", "body").union(found.filter("n_shingles = 0").select("doc_id", "body").distinct())
     stays = stays.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"))
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__body", F.xxhash64(F.col("text").cast("string")))

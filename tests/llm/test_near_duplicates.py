@@ -65,6 +65,14 @@ def test_one_stays(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(want)
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (1, other), (1, other + " b"), (5, other), (6, one), (7, ""), (7, None)]
+    got = [tuple(r) for r in nd.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 4 and {(1, one), (7, ""), (7, None)} < set(got)
+    assert len({(1, other), (1, other + " b")} & set(got)) == 1
+
+
 def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
