@@ -2,9 +2,10 @@
 
 A template is a run of words; the index lists, for every word of a template that tells something, its place there.  One
 pass over the texts keeps the places of such words only.  A word's weight is its inverse document frequency in
-the corpus.  Per file and template the heaviest word that the file has proposes where the template may
-start; the postings of the template's other words are intersected with that by relative position, as
-bits of a mask; the bits of the mandatory key phrase must all be there.
+the corpus.  Per template the heaviest word of the mandatory key phrase, which every place must have, proposes where
+the template may start; the postings of the template's other words are intersected with that by relative position, as
+bits of a mask; the bits of the key phrase must all be there.  A key phrase that names the licence is enough; after any other
+one a weighted share of `SHARE` of the template must be there too.
 
 A base phrase is a template that is all key phrase.  DataFrame functions only.
 """
@@ -28,26 +29,33 @@ class Template:
     text: str
     key: str
     base: bool = False
+    named: bool = False     # the key phrase names the licence
 
     @property
     def words(self) -> list[str]:
         return self.text.split()
 
+    @property
+    def key_places(self) -> range:
+        words, key = self.words, self.key.split()
+        at = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
+        return range(at, at + len(key))
+
 
 # fixed values: base phrases, and opening words of public licence texts with the phrase each must have
 BASE = (Template("cc-by", "cc by", "cc by", True),
         Template("gpl", "general public license", "general public license", True),
         Template("reserved", "all rights reserved", "all rights reserved", True))
 TEMPLATES = (
-    Template("mit", "released under the mit license", "mit license"),
+    Template("mit", "released under the mit license", "mit license", named=True),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
-    Template("apache", "licensed under the apache license version 2 0", "apache license"),
+    Template("apache", "licensed under the apache license version 2 0", "apache license", named=True),
     Template("bsd", "redistribution and use in source and binary forms with or without modification", "binary forms"),
-    Template("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-    Template("lgpl", "gnu lesser general public license", "lesser general public license"),
+    Template("mpl", "subject to the terms of the mozilla public license", "mozilla public license", named=True),
+    Template("lgpl", "gnu lesser general public license", "lesser general public license", named=True),
     Template("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license",
-             "gnu general public license"),
-    Template("cc-by", "licensed under a creative commons attribution", "creative commons attribution"),
+             "gnu general public license", named=True),
+    Template("cc-by", "licensed under a creative commons attribution", "creative commons attribution", named=True),
     Template("public-domain", "free and unencumbered software released into the public domain", "unencumbered software"),
 )
 COMMON = frozenset("a an and any are can in into is it of or the this to under with without you".split())
@@ -55,15 +63,13 @@ SHARE = 0.6
 
 
 def postings(templates: tuple[Template, ...]) -> list[tuple[str, int, int]]:
-    """(word, template, place) of the words that are looked up."""
+    """(word, template, place) of the words that are looked up: those of the key phrase and those that are not common."""
     return [(w, t, i) for t, template in enumerate(templates) for i, w in enumerate(template.words)
-            if template.base or w not in COMMON]
+            if i in template.key_places or w not in COMMON]
 
 
 def key_bits(template: Template) -> int:
-    words, key = template.words, template.key.split()
-    at = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
-    return sum(1 << i for i in range(at, at + len(key)))
+    return sum(1 << i for i in template.key_places)
 
 
 def _file_hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -86,7 +92,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
 
     n_base counts the places of base phrases, first_word and last_word are the smallest and largest of their
     starts (null without any), labels are sorted and joined by commas (empty without any), score is the best weighted
-    share of a template found at one place, 1 for a base phrase, 0 without any.  A null or empty text has no
+    share of a template found at one place (below `SHARE` only if the key phrase names the licence), 1 for a base phrase, 0 without any.  A null or empty text has no
     words; null ids stay, repeated rows are each scanned; an empty table gives no rows.
     """
     known = (*BASE, *templates)
@@ -98,23 +104,18 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
             .groupBy("word").agg(F.count("*").alias("n")).collect()}           # as many rows as the vocabulary has words
     weight = {w: math.log((total + 1) / (seen.get(w, 0) + 0.5)) for w in vocabulary}
 
-    # the heaviest word of each template that the file has (ties: the smaller word)
-    present = F.array_distinct(F.transform("hits", lambda h: h["word"]))
-    by_weight = [sorted({w for w, u, _ in index if u == t}, key=lambda w: (-weight[w], w)) for t in range(len(known))]
-    leads = F.array(*[F.element_at(F.concat(F.array_intersect(F.array(*[F.lit(w) for w in ws]), F.col("present")),
-                                            F.array(F.lit(None).cast("string"))), 1) for ws in by_weight])
+    # the place of the heaviest word of each key phrase (ties: the first)
+    leads = [max(t.key_places, key=lambda i: weight[t.words[i]]) for t in known]
     entries = {}
     for w, t, i in index:
-        entries.setdefault(w, []).append(F.struct(F.lit(t).alias("template"), F.lit(i).alias("place")))
+        entries.setdefault(w, []).append(F.struct(F.lit(t).alias("template"), F.lit(i).alias("place"), F.lit(i == leads[t]).alias("lead")))
     word_entries = F.create_map(*[x for w, e in sorted(entries.items()) for x in (F.lit(w), F.array(*e))])
 
-    hits = (files.filter(F.size("hits") > 0).withColumn("present", present)
-            .select("row", leads.alias("leads"), F.explode("hits").alias("hit"))
-            .select("row", "leads", "hit", F.explode(F.element_at(word_entries, F.col("hit.word"))).alias("entry")))
+    hits = (files.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("hit"))
+            .select("row", "hit", F.explode(F.element_at(word_entries, F.col("hit.word"))).alias("entry")))
     starts = (hits.select("row", F.col("entry.template").alias("template"), (F.col("hit.pos") - F.col("entry.place")).alias("start"),
-                          F.expr("shiftleft(1L, entry.place)").alias("bit"),
-                          (F.element_at("leads", F.col("entry.template") + 1) == F.col("hit.word")).alias("lead"))
-              .filter("start >= 0").groupBy("row", "template", "start")
+                          F.expr("shiftleft(1L, entry.place)").alias("bit"), F.col("entry.lead").alias("lead"))
+              .groupBy("row", "template", "start")      # before the text's first word if only the end of a template is there
               .agg(F.bit_or("bit").alias("mask"), F.max("lead").alias("lead")).filter("lead"))
     template = F.col("template")
     keys = _by_template([key_bits(t) for t in known], template).cast("long")
@@ -125,7 +126,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
         whole = sum(own.values()) or 1.0
         held = sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(v / whole)).otherwise(0.0) for i, v in sorted(own.items()))
         gained = F.when(template == t, F.lit(1.0) if words.base else F.least(held, F.lit(1.0))).otherwise(gained)
-    places = places.withColumn("share", gained).filter(F.col("share") >= SHARE)
+    named = _by_template([t.named for t in known], template)
+    places = places.withColumn("share", gained).filter(named | (F.col("share") >= SHARE))
     based, label = template < len(BASE), _by_template([t.label for t in known], template)
     found = places.groupBy("row").agg(
         F.count_if(based).alias("n_base"), F.min(F.when(based, F.col("start"))).alias("first_word"),

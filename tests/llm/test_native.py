@@ -95,6 +95,18 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).collect() == []
 
 
+def test_licence_key_phrases(spark):
+    grant = "permission is hereby granted free of charge to any person acquiring a copy"
+    texts = [grant, grant + " " + "x " * 50 + "obtaining", "licensed under the MIT license", "released in binary forms", "of obtaining released"]
+    texts += ["mit license", "license hereby granted free permission charge person copy mit"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(df).collect()}
+    assert [got[i].labels for i in range(6)] == ["mit", "mit", "mit", "", "", "mit"]
+    assert got[0].score == got[1].score and 0 < got[2].score < licences.SHARE
+    common = (licences.Template("odd", "to be or not", "to be or", named=True),)
+    assert [r.labels for r in licences.scan(df.limit(1).selectExpr("1L doc_id", "'to be or maybe' text"), common).collect()] == ["odd"]
+
+
 def test_transcripts(spark, monkeypatch):
     rnd = random.Random(9)
     rows = []
