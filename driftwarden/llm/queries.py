@@ -70,7 +70,7 @@ def license_scan(spark, sf_dir):
 
 @query("op8_chat_format")
 def chat_format(spark, sf_dir):
-    return chat.parse_transcripts(table(spark, sf_dir, "conversations"))
+    return chat.parse_transcripts(table(spark, sf_dir, "conversations"), across=True)
 
 
 @query("op9_decontamination")

@@ -142,6 +142,22 @@ def test_transcripts(spark, monkeypatch):
     assert [(r.conv_id, r.turn, r.text) for r in lines] == [(1, 0, "User: a"), (1, 2, "Bot: b")]
 
 
+def test_lines_become_turns(spark, monkeypatch):
+    raw = [(1, "User: hi\nBot: one\ntwo\n\nthree\nHuman: and?\nAI: yes\nUser: is a word"), (2, "\n".join(["User: q"] + ["Bot: x"] + ["y"] * 40))]
+    want = [(1, "user", "hi"), (1, "assistant", "one\ntwo\n\nthree"), (1, "user", "and?"), (1, "assistant", "yes"), (1, "user", "is a word"),
+            (2, "user", "q"), (2, "assistant", "\n".join(["x"] + ["y"] * 40))]
+    want = sorted((c, r, f"<|{r}|>\n{t}\n<|end|>") for c, r, t in want)
+    seen = lambda df: sorted((r.conv_id, r.parsed_role, r.rendered) for r in df.collect())
+    whole = spark.createDataFrame([(c, 0, None, t) for c, t in raw], "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "BLOCK", 7)
+    assert seen(chat.parse_transcripts(whole, across=True)) == want
+    taught = spark.createDataFrame([(c, t, chat.ROLES[1 + t % 2], ["User: a", "Bot: b\nc\nd\ne"][t % 2]) for c in range(30) for t in range(4)], whole.schema)
+    model = chat.learn(chat.with_previous(chat.chained(taught)))
+    lines = chat.split_transcripts(spark.createDataFrame([raw[1]], "conv_id long, text string"))
+    assert seen(chat.parse_transcripts(lines, model, raw=True)) == [x for x in want if x[0] == 2]
+    assert len(chat.parse_transcripts(lines, model).collect()) == 42
+
+
 def test_top_k(spark, monkeypatch):
     rnd = random.Random(1)
     rows = [(i, [rnd.choice([0.0, 0.5, 1.0, -.3]) for _ in range(3)]) for i in range(300)]
