@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import (chat, decontaminate, fm_index, licences, mixing, near_duplicates, suffix_array, topk, toxicity,
-                             url_rules)
+from driftwarden.llm import (chat, decontaminate, fm_index, licences, merkle, mixing, near_duplicates, simhash, suffix_array, topk,
+                             toxicity, url_rules)
 
 QUERIES, ORACLE = {}, {}
 
@@ -92,6 +92,69 @@ def top_k_search(spark, sf_dir):
     return topk.search_embeddings(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+@query("op11_simhash_near_dedup")
+def simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+CRC = """list_reduce(list_concat([4294967295], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+            lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [1, 2, 3, 4, 5, 6, 7, 8]),
+                                          lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
+
+def crc_sql(value: str) -> str:
+    """SQL for the unsigned CRC-32 of a number's decimal digits."""
+    return f"xor({CRC.format(value)}, 4294967295)"
+
+
+@query("op12_merkle_manifest", f"""
+    WITH RECURSIVE coded AS (
+        SELECT doc_id, source,
+               coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+               text, CASE WHEN {crc_sql('doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+    leaves AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                      sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS changed FROM coded),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos FROM leaves),
+    lower_nodes AS (SELECT source, 0 AS lvl, pos, leaf AS digest, count(*) OVER (PARTITION BY source) AS n FROM placed
+        UNION ALL
+        SELECT source, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3
+        FROM lower_nodes WHERE n > 1 GROUP BY source, lvl, pos // 3),
+    subroots AS (SELECT source, digest AS subroot, lvl AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+                 FROM lower_nodes WHERE n = 1),
+    upper_nodes AS (SELECT 0 AS lvl, pos, subroot AS digest, count(*) OVER () AS n FROM subroots
+        UNION ALL
+        SELECT lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3
+        FROM upper_nodes WHERE n > 1 GROUP BY lvl, pos // 3),
+    steps AS (SELECT a.source, a.lvl, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+                     coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+              FROM lower_nodes a JOIN lower_nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3
+              WHERE a.n > 1 GROUP BY ALL),
+    upper_steps AS (SELECT a.lvl, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+                           coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+                    FROM upper_nodes a JOIN upper_nodes b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+    walk AS (SELECT doc_id, leaf, changed, source, pos, 0 AS lvl, false AS up, changed AS node, '' AS proof FROM placed
+        UNION ALL
+        SELECT w.doc_id, w.leaf, w.changed, w.source,
+               CASE WHEN s.lvl IS NOT NULL THEN w.pos // 3 WHEN NOT w.up THEN r.pos ELSE w.pos // 3 END,
+               CASE WHEN s.lvl IS NULL AND NOT w.up THEN 0 ELSE w.lvl + 1 END,
+               w.up OR s.lvl IS NULL,
+               CASE WHEN s.lvl IS NOT NULL THEN sha256(s.before || w.node || s.after)
+                    WHEN NOT w.up THEN w.node ELSE sha256(u.before || w.node || u.after) END,
+               w.proof || CASE WHEN s.lvl IS NOT NULL THEN s.before || s.after WHEN NOT w.up THEN '' ELSE u.before || u.after END
+        FROM walk w JOIN subroots r ON w.source IS NOT DISTINCT FROM r.source
+        LEFT JOIN steps s ON NOT w.up AND w.source IS NOT DISTINCT FROM s.source AND w.lvl = s.lvl AND w.pos = s.pos
+        LEFT JOIN upper_steps u ON w.up AND w.lvl = u.lvl AND w.pos = u.pos
+        WHERE NOT w.up OR u.lvl IS NOT NULL),
+    done AS (SELECT * FROM walk WHERE up AND lvl = (SELECT max(lvl) FROM upper_nodes)),
+    root AS (SELECT digest AS root FROM upper_nodes WHERE n = 1)
+    SELECT d.doc_id, d.leaf, r.subroot, root.root, sha256(d.proof) AS proof_sha256, d.node AS folded_root, d.node = root.root AS verified
+    FROM done d JOIN subroots r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN root""")
+def merkle_manifest(spark, sf_dir):
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
