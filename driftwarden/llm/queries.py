@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwarden.llm import (chat, decontaminate, fm_index, licences, merkle, mixing, near_duplicates, simhash, suffix_array, topk,
-                             toxicity, url_rules)
+from driftwarden.llm import (chat, decontaminate, fm_index, licences, merkle, mixing, near_duplicates, prefix_trie, simhash,
+                             suffix_array, topk, toxicity, url_rules)
 
 QUERIES, ORACLE = {}, {}
 
@@ -155,6 +155,33 @@ def merkle_manifest(spark, sf_dir):
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
+@query("op13_conversation_prefix_trie", f"""
+    WITH placed AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+            ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT conv_id, {crc_sql('conv_id')} % 4 AS h, conv_id - conv_id % 20 AS donor FROM (SELECT DISTINCT conv_id FROM placed)),
+    turns AS (SELECT c.conv_id, 0 AS part, p.pos, p.role, p.text FROM convs c JOIN placed p ON p.conv_id = c.donor AND p.pos < c.h
+        UNION ALL SELECT c.conv_id, 1, p.pos, p.role, p.text FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.pos >= c.h),
+    seqs AS (SELECT c.conv_id, list({{'role': t.role, 'text': t.text}} ORDER BY part, pos) FILTER (t.pos IS NOT NULL) AS seq
+             FROM convs c LEFT JOIN turns t USING (conv_id) GROUP BY c.conv_id),
+    prefixes AS (SELECT conv_id, d, coalesce(seq[1:d], []) AS prefix, d = coalesce(len(seq), 0) AS ends
+                 FROM (SELECT *, unnest(range(coalesce(len(seq), 0) + 1)) AS d FROM seqs)),
+    members AS (SELECT *, min(conv_id) OVER (PARTITION BY d, prefix) AS node FROM prefixes),
+    nodes AS (SELECT node, d, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(prefix[d].text), '[^\\x20\\x09-\\x0D]+')) END AS words,
+                     sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+              FROM members GROUP BY node, d),
+    below AS (SELECT m.node AS top, m.d AS top_d, b.* FROM nodes b JOIN members m ON m.conv_id = b.node AND m.d <= b.d),
+    kids AS (SELECT top AS node, top_d AS d, count(*) AS k FROM below WHERE d = top_d + 1 GROUP BY ALL),
+    sums AS (SELECT top AS node, top_d AS d, CAST(sum((n - 1) * words) AS BIGINT) AS saved, count(*) FILTER (k IS NULL) AS leaves
+             FROM below LEFT JOIN kids USING (node, d) GROUP BY ALL)
+    SELECT n.node AS conv_id, n.d AS depth, up.node AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, leaves AS n_leaves,
+           saved AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN sums USING (node, d) LEFT JOIN kids k USING (node, d)
+    LEFT JOIN members up ON up.conv_id = n.node AND up.d = n.d - 1""")
+def conversation_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
