@@ -2,7 +2,7 @@
 
 1. A row's leaf is the digest of its columns.  Leaves are placed in their source's order (`ranks.numbered`, so
    a source may hold any share of the rows).
-2. Blocks of `BLOCK` neighbouring leaves are built in tasks, every `FAN` consecutive nodes into one; a block stores one record
+2. Blocks of FAN ** LEVELS neighbouring leaves are built in tasks, every `FAN` consecutive nodes into one; a block stores one record
    (digest, children's digests) per inner node, addressed by the digest, so equal subtrees of a block are stored once.  The blocks'
    tops are the leaves of the next pass, until every source has one node, its subroot.  Subroots, in order of source, form one more tree.
 3. Leaf requests go down: the root's blocks first, then the blocks below, each with the path that leads to it.  In a block a
@@ -25,9 +25,7 @@ from driftwarden.llm.frames import groups
 from driftwarden.llm.ranks import numbered
 from driftwarden.session import hash_spread, stage_table
 
-FAN, LEVELS = 3, 8
-BLOCK = FAN ** LEVELS
-REQUESTS = 2048
+FAN, LEVELS, REQUESTS = 3, 8, 2048
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -52,37 +50,39 @@ def _digest(parts: list[str]) -> str:
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
 
-def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of nodes in order -> records (digest, children) of their inner nodes; the top's is marked."""
-    for pdf in groups(batches, ["tree", "block"]):
-        level, n = pdf["digest"].tolist(), int(pdf["n"].iloc[0])
-        records: dict[str, list[str]] = {}
-        for _ in range(min(LEVELS, _height(n))):
-            runs = [level[i:i + FAN] for i in range(0, len(level), FAN)]
-            level = [_digest(run) for run in runs]
-            records.update(zip(level, runs))
-        records.setdefault(level[0], [])        # a lone leaf
-        out = pd.DataFrame({"digest": list(records), "children": list(records.values())})
-        out["top"] = out["digest"] == level[0]
-        out.insert(0, "block", pdf["block"].iloc[0])
-        out.insert(0, "tree", pdf["tree"].iloc[0])
-        yield out
-
-
-def build(nodes: DataFrame, most: int) -> list[tuple[DataFrame, DataFrame]]:
+def _build(levels: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of nodes in order -> records (digest, children) of their inner nodes; the top's is marked."""
+        for pdf in groups(batches, ["tree", "block"]):
+            level, n = pdf["digest"].tolist(), int(pdf["n"].iloc[0])
+            records: dict[str, list[str]] = {}
+            for _ in range(min(levels, _height(n))):
+                runs = [level[i:i + FAN] for i in range(0, len(level), FAN)]
+                level = [_digest(run) for run in runs]
+                records.update(zip(level, runs))
+            records.setdefault(level[0], [])        # a lone leaf
+            out = pd.DataFrame({"digest": list(records), "children": list(records.values())})
+            out["top"] = out["digest"] == level[0]
+            out.insert(0, "block", pdf["block"].iloc[0])
+            out.insert(0, "tree", pdf["tree"].iloc[0])
+            yield out
+    return run
+
+
+def build(nodes: DataFrame, most: int, levels: int = LEVELS) -> list[tuple[DataFrame, DataFrame]]:
     """(nodes, records) of every pass, leaves first, from `nodes` (tree, pos, n, digest) of trees with at most `most` nodes each.
 
     The last pass has one block per tree, whose top is the tree's root.
     """
-    passes = []
+    passes, size = [], FAN ** levels
     while True:
-        nodes = nodes.withColumn("block", F.floor(F.col("pos") / BLOCK))
+        nodes = nodes.withColumn("block", F.floor(F.col("pos") / size))
         sorted_ = hash_spread(nodes.select("tree", "block", "pos", "n", "digest"), "tree", "block").sortWithinPartitions(
             "tree", "block", "pos")
         records = stage_table(sorted_.mapInPandas(
-            _build, "tree string, block long, digest string, children array<string>, top boolean"), "records")
+            _build(levels), "tree string, block long, digest string, children array<string>, top boolean"), "records")
         passes.append((nodes, records))
-        most = -(-most // BLOCK)
+        most = -(-most // size)
         if most <= 1:
             return passes
         sizes = records.filter("top").select("tree", "block", "digest")
@@ -90,36 +90,38 @@ def build(nodes: DataFrame, most: int) -> list[tuple[DataFrame, DataFrame]]:
         nodes = sizes.join(counts, "tree").select("tree", F.col("block").alias("pos"), "n", "digest")
 
 
-def _descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per block its path, its records and its requests -> the requests with their whole paths."""
-    for pdf in groups(batches, ["tree", "block"]):
-        kind = pdf["kind"].to_numpy()
-        head, stored = pdf[kind == 0].iloc[0], pdf[kind == 1]
-        records = {d: list(c) for d, c in zip(stored["digest"], stored["children"])}
-        top = stored["digest"][stored["top"].astype(bool)].iloc[0]
-        first, then = list(head["before"]), list(head["after"])
-        wanted = pdf[kind == 2]
-        for at in range(0, len(wanted), REQUESTS):
-            asked = wanted.iloc[at:at + REQUESTS]
-            before, after = [], []
-            for pos, n in zip(asked["pos"].tolist(), asked["n"].tolist()):
-                rank, node, left, right = int(pos) % BLOCK, top, [], []
-                for level in reversed(range(min(LEVELS, _height(int(n))))):
-                    children, digit = records[node], rank // FAN ** level % FAN
-                    left.append("".join(children[:digit]))
-                    right.append("".join(children[digit + 1:]))
-                    node = children[digit]
-                before.append(left[::-1] + first)
-                after.append(right[::-1] + then)
-            yield pd.DataFrame({"tree": asked["tree"], "pos": asked["pos"], "payload": asked["payload"], "subroot": head["subroot"],
-                                "before": before, "after": after})
+def _descend(levels: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per block its path, its records and its requests -> the requests with their whole paths."""
+        for pdf in groups(batches, ["tree", "block"]):
+            kind = pdf["kind"].to_numpy()
+            head, stored = pdf[kind == 0].iloc[0], pdf[kind == 1]
+            records = {d: list(c) for d, c in zip(stored["digest"], stored["children"])}
+            top = stored["digest"][stored["top"].astype(bool)].iloc[0]
+            first, then = list(head["before"]), list(head["after"])
+            wanted = pdf[kind == 2]
+            for at in range(0, len(wanted), REQUESTS):
+                asked = wanted.iloc[at:at + REQUESTS]
+                before, after = [], []
+                for pos, n in zip(asked["pos"].tolist(), asked["n"].tolist()):
+                    rank, node, left, right = int(pos) % FAN ** levels, top, [], []
+                    for level in reversed(range(min(levels, _height(int(n))))):
+                        children, digit = records[node], rank // FAN ** level % FAN
+                        left.append("".join(children[:digit]))
+                        right.append("".join(children[digit + 1:]))
+                        node = children[digit]
+                    before.append(left[::-1] + first)
+                    after.append(right[::-1] + then)
+                yield pd.DataFrame({"tree": asked["tree"], "pos": asked["pos"], "payload": asked["payload"],
+                                    "subroot": head["subroot"], "before": before, "after": after})
+    return run
 
 
 def _nothing() -> Column:
     return F.array().cast("array<string>")
 
 
-def descend(passes: list[tuple[DataFrame, DataFrame]], paths: DataFrame, payload: str) -> DataFrame:
+def descend(passes: list[tuple[DataFrame, DataFrame]], paths: DataFrame, payload: str, levels: int = LEVELS) -> DataFrame:
     """tree, pos, payload, subroot, before, after for every leaf of the trees.
 
     `paths` (tree, subroot, before, after) leads from every tree's root upwards; `payload` is a column of the leaves.
@@ -138,7 +140,7 @@ def descend(passes: list[tuple[DataFrame, DataFrame]], paths: DataFrame, payload
         together = (rows(paths, 0, "subroot", "before", "after").unionByName(rows(records, 1, "digest", "children", "top"))
                     .unionByName(rows(asked, 2, "pos", "n", "payload")))
         found = hash_spread(together, "tree", "block").sortWithinPartitions("tree", "block", "kind").mapInPandas(
-            _descend, "tree string, pos long, payload string, subroot string, before array<string>, after array<string>")
+            _descend(levels), "tree string, pos long, payload string, subroot string, before array<string>, after array<string>")
         if nodes is passes[0][0]:
             return found
         paths = stage_table(found, "paths").select("tree", F.col("pos").alias("block"), "subroot", "before", "after")
@@ -149,7 +151,7 @@ def folded(leaf: Column) -> Column:
     return F.aggregate(F.arrays_zip("before", "after"), leaf, lambda node, step: F.sha2(F.concat(step["before"], node, step["after"]), 256))
 
 
-def prove(docs: DataFrame, changed: Column | None = None) -> DataFrame:
+def prove(docs: DataFrame, changed: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, changed_leaf, subroot, root, before, after per row of `docs` (doc_id, source, lang, n_chars, text; other
     columns are ignored).
 
@@ -170,18 +172,18 @@ def prove(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     if most is None:
         return placed.select("doc_id", F.col("digest").alias("leaf"), "changed_leaf", F.col("digest").alias("subroot"),
                              F.col("digest").alias("root"), _nothing().alias("before"), _nothing().alias("after"))
-    passes = build(placed.select("tree", "pos", "n", "digest", "payload"), most)
+    passes = build(placed.select("tree", "pos", "n", "digest", "payload"), most, levels)
     subroots = passes[-1][1].filter("top").select("tree", F.col("digest").alias("subroot"))
     ordered = numbered(sources.select("tree", "source").join(subroots, "tree"), [], ["source"])
     ordered = stage_table(ordered.select(F.lit("").alias("tree"), "pos", "n", F.col("subroot").alias("digest"),
                                          F.col("tree").alias("payload")), "subroots")
-    upper = build(ordered, ordered.count())
+    upper = build(ordered, ordered.count(), levels)
     root = upper[-1][1].filter("top").first()["digest"]
     above = ordered.select(F.lit("").alias("tree")).distinct().select(
         "tree", F.lit(None).cast("string").alias("subroot"), _nothing().alias("before"), _nothing().alias("after"))
-    paths = descend(upper, above, "payload").select("payload", "pos", "before", "after").join(
+    paths = descend(upper, above, "payload", levels).select("payload", "pos", "before", "after").join(
         ordered.select("pos", F.col("digest").alias("subroot")), "pos").select(F.col("payload").alias("tree"), "subroot", "before", "after")
-    found = descend(passes, stage_table(paths, "source_paths"), "payload").withColumn("row", F.from_json("payload", schema))
+    found = descend(passes, stage_table(paths, "source_paths"), "payload", levels).withColumn("row", F.from_json("payload", schema))
     return found.select("row.doc_id", F.col("row.digest").alias("leaf"), "row.changed_leaf", "subroot", F.lit(root).alias("root"),
                         "before", "after")
 
@@ -191,10 +193,10 @@ def without_line_breaks(docs: DataFrame) -> Column:
     return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
 
 
-def verify(docs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: every row's proof, checked against the row as changed
     by `without_line_breaks`; cases as in `prove`."""
-    proofs = prove(docs, without_line_breaks(docs))
+    proofs = prove(docs, without_line_breaks(docs), levels)
     siblings = F.array_join(F.transform(F.arrays_zip("before", "after"), lambda s: F.concat(s["before"], s["after"])), "")
     checked = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
                             folded(F.coalesce("changed_leaf", "leaf")).alias("folded_root"))

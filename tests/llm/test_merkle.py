@@ -69,18 +69,16 @@ def fixture(n=160):
     return rows + [(900, "lone", None, None, None, 1, "x"), rows[3], rows[3], rows[3], (901, "hot", "en", 1, "word\n" * 40_000, 1, "x")]
 
 
-def answers(spark, rows):
-    got = merkle.verify(spark.createDataFrame(rows, SCHEMA).repartition(3))
+def answers(spark, rows, levels=8):
+    got = merkle.verify(spark.createDataFrame(rows, SCHEMA).repartition(3), levels)
     return sorted(map(str, ((r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in got.collect())))
 
 
 @pytest.mark.parametrize("height, requests", [(8, 2048), (1, 2), (2, 5)])
 def test_against_trees_by_hand(spark, monkeypatch, height, requests):
-    monkeypatch.setattr(merkle, "LEVELS", height)        # low blocks make several passes
-    monkeypatch.setattr(merkle, "BLOCK", 3 ** height)
     monkeypatch.setattr(merkle, "REQUESTS", requests)
     rows = fixture()
-    assert answers(spark, rows) == brute(rows)
+    assert answers(spark, rows, height) == brute(rows)         # low blocks make several passes
 
 
 @pytest.mark.parametrize("rows", [[(5, "s", "en", 1, "a\nb", 1, "x")], [(5, None, None, None, None, 1, "x")],
