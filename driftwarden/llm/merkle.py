@@ -164,6 +164,7 @@ def prove(docs: DataFrame, changed: Column | None = None, levels: int = LEVELS)
     other = F.lit(None).cast("string") if changed is None else F.when(changed.isNotNull(), leaf_digest(changed))
     leaves = rows.select("doc_id", "source", encoded(F.col("source")).alias("tree"), leaf_digest(F.col("text")).alias("digest"),
                          other.alias("changed_leaf"))
+    leaves = stage_table(leaves, "digests")         # texts are read once, before the ranges are sampled
     placed = stage_table(numbered(leaves, ["tree"], ["doc_id", "digest"]).withColumn("payload", F.to_json(F.struct(
         "doc_id", "digest", "changed_leaf"))), "leaves")
     sources = stage_table(placed.groupBy("tree").agg(F.first("source").alias("source"), F.max("n").alias("n")), "sources")
