@@ -38,6 +38,23 @@ def top_k_mean(values: Column, k: int) -> Column:
                lambda best: F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(best))
 
 
+def running(values: Column, start: Column, step, piece: int = 32) -> Column:
+    """The states of a fold after every element, as an array of doubles.
+
+    Elements are folded in pieces: states are appended within a piece, and whole pieces to the result, so an element
+    costs a copy of `piece` states at most and not of all before it.
+    """
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / piece).cast("int")), lambda i: F.slice(values, i * piece + 1, F.lit(piece)))
+
+    def fold(state, rows):
+        return F.aggregate(rows, F.struct(state.alias("s"), F.expr("cast(array() as array<double>)").alias("out")), lambda acc, x: let(
+            step(acc["s"], x), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))))
+
+    whole = F.aggregate(pieces, F.struct(start.alias("s"), F.expr("cast(array() as array<array<double>>)").alias("out")), lambda acc, rows: let(
+        fold(acc["s"], rows), lambda done: F.struct(done["s"].alias("s"), F.concat(acc["out"], F.array(done["out"])).alias("out"))))
+    return F.when(F.size(values) > 0, F.flatten(whole["out"])).otherwise(F.expr("cast(array() as array<double>)"))
+
+
 def mean_squared_error(pred: Column, actual: Column) -> Column:
     total = F.aggregate(F.zip_with(pred, actual, lambda p, a: (p - a) * (p - a)),
                         F.lit(0.0), lambda s, x: s + x)

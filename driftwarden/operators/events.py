@@ -112,10 +112,19 @@ def baseline_of_users(baselines: DataFrame, position: str = "position") -> DataF
     return baselines.groupBy("user_id").agg(best.alias("_b")).select("user_id", F.col("_b.v").alias("ewma_baseline"))
 
 
+def origin_counts(events: DataFrame, order: str = "event_id") -> DataFrame:
+    """How often each user's events come from each place; counts of parts of the events can be added up."""
+    geo = events.select(F.col("request.user_id").alias("user_id"), F.col("request.geo_location").alias("home"), order)
+    return joins.value_counts(geo.filter(F.col("home") != ""), "user_id", "home", order)
+
+
+def home_of_counts(counts: DataFrame) -> DataFrame:
+    return joins.modal_of_counts(counts, "user_id", "home").drop("n")
+
+
 def home_of_users(events: DataFrame, order: str = "event_id") -> DataFrame:
     """Most frequent origin per user, first seen on ties."""
-    geo = events.select(F.col("request.user_id").alias("user_id"), F.col("request.geo_location").alias("home"), order)
-    return joins.modal_value(geo.filter(F.col("home") != ""), "user_id", "home", order).drop("n")
+    return home_of_counts(origin_counts(events, order))
 
 
 def feature_columns(collab: Column) -> dict[str, Column]:

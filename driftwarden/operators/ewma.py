@@ -1,74 +1,107 @@
-"""Exponentially weighted baselines as a blocked scan.
-
-A series is cut into blocks of consecutive time steps.  The effect of a block on the
-running state is affine (state -> decay * state + gain), so blocks are summarised
-independently, the few summaries of a user are chained, and every block is then replayed
-from its true starting state.  A task works on single blocks; only the narrow summaries of a
-user come together.  The closed form that divides by (1 - lambda) ** t is not used: it
-overflows on long series.
+"""Exponentially weighted baselines as a scan over a tree of blocks.
+
+The effect of consecutive rows on the running state is affine (state -> decay * state + gain), and such maps compose.
+A series is cut into blocks of consecutive time steps, blocks into blocks of blocks, and so on.  Going up, every
+node's map is composed of its children's; going down, every node hands its children the state that
+they begin with; at the bottom the rows of a block are replayed from it.  A task holds one node's children.
+Only key, time step and value travel.  The closed form that divides by (1 - lambda) ** t is not
+used: it overflows on long series.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions import scores
+from ..functions import scores, vectors
+from ..session import stage_table
+
+BLOCK, FAN, LEVELS = 512, 512, 2
+
+
+def _composed(kids: Column) -> tuple[Column, Column]:
+    """(gain, decay) of the maps of an array, one after the other."""
+    whole = F.aggregate(kids, F.struct(F.lit(0.0).alias("g"), F.lit(1.0).alias("d")), lambda s, k: F.struct(
+        (k["d"] * s["g"] + k["g"]).alias("g"), (k["d"] * s["d"]).alias("d")))
+    return whole["g"], whole["d"]
+
+
+def _begins(kids: Column, start: Column) -> Column:
+    """The state that each map of an array begins with."""
+    after = vectors.running(kids, start, lambda s, k: k["d"] * s + k["g"])
+    return vectors.let(after, lambda a: F.concat(F.array(start), F.slice(a, 1, F.size(a) - 1)))
+
 
-BLOCK = 512
+def block_starts(blocks: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """(k, b, start): the state before every block of a key, from its (k, b, first, g, d): first value, gain and decay.
+
+    The state before a key's first block is its first value.  `levels` of nodes with `fan` children stand above the blocks; one node
+    per key, the top, holds what is left: one child for each block * fan ** levels time steps that have rows.
+    """
+    tiers = [blocks.select("k", "b", "first", "g", "d")]
+    child = F.array_sort(F.collect_list(F.struct("b", "g", "d", "first")))
+    for _ in range(levels):
+        up = tiers[-1].groupBy("k", F.floor(F.col("b") / fan).alias("p")).agg(child.alias("kids"))
+        gain, decay = _composed(F.col("kids"))
+        tiers.append(up.select("k", F.col("p").alias("b"), "kids", F.col("kids")[0]["first"].alias("first"), gain.alias("g"), decay.alias("d")))
+    top = tiers[-1].groupBy("k").agg(child.alias("kids")).withColumn("start", F.col("kids")[0]["first"])
+
+    def down(nodes):
+        zipped = F.arrays_zip(F.col("kids.b").alias("b"), _begins(F.col("kids"), F.col("start")).alias("start"))
+        return nodes.select("k", F.inline(zipped))
+
+    starts = down(top)
+    for tier in reversed(tiers[1:]):
+        starts = down(tier.select("k", "b", "kids").join(starts, ["k", "b"]))
+    return starts
 
 
-def ewma_stream(df: DataFrame, value: str, key: str = "user_id", order: str = "hour_index",
-                lam: float | str = fv.EWMA_LAMBDA, block: int = BLOCK) -> DataFrame:
-    """Adds ewma_previous, ewma_new and ewma_deviation to one row per (key, order).
+ADDED = ("ewma_previous", "ewma_new", "ewma_deviation")
 
-    The first row of a key seeds the state and has deviation 0.  `order` must be an integer
-    time step, unique within the key; rows without a key are dropped.  `lam` may name a column that is constant per key.
+
+def steps(df: DataFrame, value: str, key: str = "user_id", order: str = "hour_index", lam: float | str = fv.EWMA_LAMBDA,
+          block: int = BLOCK, fan: int = FAN, levels: int = LEVELS, per_block: dict[str, Callable] | None = None) -> DataFrame:
+    """(key, order, value as double, ewma_previous, ewma_new, ewma_deviation) for one row per (key, order).
+
+    The first row of a key seeds the state and has deviation 0.  `order` must be an integer time step, unique within the key; rows
+    without key or value are left out.  `lam` may name a column that is constant per key.  Series that cover more than
+    block * fan ** levels steps (15,000 years of hours) should pass more levels.  `df` is evaluated once, and its blocks are
+    written to a stage table.  `per_block` names further
+    columns with an aggregate each, whose value for the block comes with every row.
     """
-    rest = [c for c in df.columns if c not in (key, order)]
-    rate = F.col(lam) if isinstance(lam, str) else F.lit(lam)
+    further = per_block or {}
+    rate = F.col("lam") if isinstance(lam, str) else F.lit(float(lam))
     kept = F.lit(1.0) - rate if isinstance(lam, str) else F.lit(1.0 - lam)
-    # a non-null block and key leave both uses of the blocks with the same plan, hence one shuffle
-    blocks = (df.filter(F.col(key).isNotNull())
-              .withColumn("_block", F.coalesce(F.floor(F.col(order) / block), F.lit(0)))
-              .groupBy(key, "_block")
-              .agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("run")))
-    if isinstance(lam, str):
-        blocks = blocks.withColumn(lam, F.col("run")[0][lam])
-
-    def fold(start: Column) -> Column:
-        return F.aggregate("run", start, lambda s, r: F.coalesce(
-            rate * r[value].cast("double") + kept * s, r[value].cast("double")))
-
-    blocks = blocks.select(
-        "*", fold(F.lit(None).cast("double")).alias("_seeded"), fold(F.lit(0.0)).alias("_gain"),
-        F.pow(kept, F.size("run")).alias("_decay"))
-    # only the narrow summaries are brought together per key; the blocks stay where they are
-    earlier = (Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    chain = F.collect_list(F.struct("_seeded", "_gain", "_decay")).over(earlier)
-    states = (blocks.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), "_seeded", "_gain", "_decay")
-              .select("_k", "_b", F.aggregate(
-                  chain, F.lit(None).cast("double"),
-                  lambda s, b: F.coalesce(b["_decay"] * s + b["_gain"], b["_seeded"])).alias("_state")))
-    carried = blocks.join(states, (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")))
-
-    empty = F.expr("cast(array() as array<struct<p:double,n:double,d:double>>)")
-
-    def step(acc, r):
-        x = r[value].cast("double")
-        prev = F.coalesce(acc["state"], x)
-        new = F.coalesce(rate * x + kept * acc["state"], x)
-        dev = F.when(acc["state"].isNull(), 0.0).otherwise(scores.ewma_deviation(x, prev))
-        out = F.concat(acc["out"], F.array(F.struct(prev.alias("p"), new.alias("n"), dev.alias("d"))))
-        return F.struct(new.alias("state"), out.alias("out"))
-
-    replay = F.aggregate("run", F.struct(F.col("_state").alias("state"), empty.alias("out")), step,
-                         lambda acc: acc["out"])
-    rows = carried.select(key, F.explode(F.arrays_zip(F.col("run"), replay.alias("ew"))).alias("z"))
-    return rows.select(
-        key, F.col(f"z.run.{order}").alias(order), *[F.col(f"z.run.{c}").alias(c) for c in rest],
-        F.col("z.ew.p").alias("ewma_previous"), F.col("z.ew.n").alias("ewma_new"),
-        F.col("z.ew.d").alias("ewma_deviation"))
+    narrow = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(
+        *further, F.col(key).alias("k"), F.floor(F.col(order) / block).alias("b"), F.col(order).alias("t"), F.col(value).cast("double").alias("x"),
+        *([F.col(lam).cast("double").alias("lam")] if isinstance(lam, str) else []))
+    blocks = narrow.groupBy("k", "b").agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("run"),
+                                          *([F.max("lam").alias("lam")] if isinstance(lam, str) else []),
+                                          *[fn(c).alias(c) for c, fn in further.items()])
+    gain = F.aggregate("run", F.lit(0.0), lambda s, r: rate * r["x"] + kept * s)
+    blocks = stage_table(blocks.select("*", F.col("run")[0]["x"].alias("first"), gain.alias("g"), F.pow(kept, F.size("run")).alias("d")), "ewma_blocks")
+    carried = blocks.join(block_starts(blocks, fan, levels), ["k", "b"])
+    after = vectors.running(F.col("run"), F.col("start"), lambda s, r: rate * r["x"] + kept * s)
+    replayed = vectors.let(after, lambda a: F.arrays_zip(
+        F.col("run.t").alias("t"), F.col("run.x").alias("x"),
+        F.concat(F.array("start"), F.slice(a, 1, F.size(a) - 1)).alias("p"), a.alias("n")))
+    return carried.select(F.col("k").alias(key), *further, F.inline(replayed)).select(
+        key, *further, F.col("t").alias(order), F.col("x").alias(value), F.col("p").alias("ewma_previous"), F.col("n").alias("ewma_new"),
+        scores.ewma_deviation(F.col("x"), F.col("p")).alias("ewma_deviation"))
+
+
+def ewma_stream(df: DataFrame, value: str, key: str = "user_id", order: str = "hour_index", lam: float | str = fv.EWMA_LAMBDA,
+                block: int = BLOCK, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """`df` with the columns that `steps` adds.
+
+    Rows without a key are dropped; a row without a value leaves the state alone and has no EWMA values.  The columns
+    come back by a join, which evaluates `df` once more: pass a stored table.
+    """
+    rows = df.filter(F.col(key).isNotNull())
+    found = steps(rows, value, key, order, lam, block, fan, levels).drop(value)
+    return rows.join(found, [key, order], "left").select(key, order, *[c for c in df.columns if c not in (key, order)], *ADDED)
 
 
 def horizon_baselines(events: DataFrame, value: str, ts: str = "ts", key: str = "user_id",
@@ -85,17 +118,16 @@ def horizon_baselines(events: DataFrame, value: str, ts: str = "ts", key: str =
                               F.lit(s // base_seconds).alias("slots")) for n, l, s in windows])
     buckets = (fine.withColumn("w", F.explode(spec))
                .groupBy(key, "w", F.floor(F.col("_slot") / F.col("w.slots")).alias("bucket"))
-               .agg(F.round(F.sum("_v"), 2).alias("x"), F.max("_last").alias("last_updated")))
-    series = buckets.select(F.struct(key, F.col("w.time_window").alias("time_window")).alias("series"),
-                            F.col("w.lambda").alias("lambda"), "bucket", "x", "last_updated")
-    run = ewma_stream(series, "x", "series", "bucket", "lambda")
-    last = run.groupBy("series").agg(
-        F.max_by(F.struct("lambda", "ewma_previous", "ewma_new", "last_updated"), "bucket").alias("r"))
+               .agg(F.round(F.sum("_v"), 2).alias("x"), F.max("_last").alias("_last")))
+    series = buckets.select(F.struct(key, F.col("w.time_window").alias("time_window"), F.col("w.lambda").alias("lambda")).alias("series"),
+                            F.col("w.lambda").alias("lambda"), "bucket", "x", "_last")
+    run = steps(series, "x", "series", "bucket", "lambda", per_block={"_last": F.max})
+    last = run.groupBy("series").agg(F.max_by(F.struct("ewma_previous", "ewma_new"), "bucket").alias("r"), F.max("_last").alias("last_updated"))
     deviation = F.abs(F.col("r.ewma_new") - F.col("r.ewma_previous")) / F.greatest(
         F.col("r.ewma_previous"), F.lit(fv.EWMA_STATE_FLOOR))
     return last.select(
-        F.col("series")[key].alias(key), "series.time_window", F.col("r.lambda").alias("lambda"),
+        F.col("series")[key].alias(key), "series.time_window", F.col("series.lambda").alias("lambda"),
         F.col("r.ewma_previous").alias("baseline_ewma"), F.col("r.ewma_new").alias("current_ewma"),
         deviation.alias("deviation_ratio"), F.lit(threshold).alias("anomaly_threshold"),
         F.when(deviation > threshold, "ANOMALOUS").otherwise("NORMAL").alias("status"),
-        F.col("r.last_updated").alias("last_updated"))
+        "last_updated")

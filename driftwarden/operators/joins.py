@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
-HEAVY_SHARE = 0.005
+from . import frequent as fq
+from .frequent import HEAVY_SHARE
+
+SLOTS = 64          # parts of a hot key
 
 
 def heavy_keys(facts: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys holding more than `share` of the rows; at most 1 / share of them can exist."""
-    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") > total * F.lit(share)).select(key)
+    """Keys holding `share` of the rows or more, by a sketch of the table; at most 1 / share of them can exist."""
+    return facts.sparkSession.range(1).select(F.explode(fq.frequent(fq.sketches(facts, [key]), key, share)).alias(key))
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, key: str, share: float = HEAVY_SHARE, sketched: DataFrame | None = None,
+                by: Sequence[str] | None = None) -> DataFrame:
     """Left join of facts with a table that has one row per key, safe for hot keys.
 
-    Heavy keys are those of the facts, whether or not the table has them.  Their rows take their values
-    from a broadcast of at most 1 / share rows and are not shuffled, nor are rows without a
-    key, which match nothing.  All other rows are shuffled on the key.
+    The facts are evaluated once, and their key column once more unless `sketched` holds the facts' sketches.  Rows of a
+    frequent key, whether or not the table has it, and rows without a key, which match nothing, are dealt over `SLOTS`
+    parts by a hash of the columns `by` (all of the facts' own, if not given); a frequent key's row of the table goes to each part,
+    so at most SLOTS / share rows are added.  Spark broadcasts a table that is small enough.
     """
     values = [c for c in dim.columns if c != key]
-    heavy = heavy_keys(facts.select(key), key, share).filter(F.col(key).isNotNull())
-    mark = heavy.withColumn("_hot", F.lit(True))
-    hot = F.broadcast(mark.join(dim.join(F.broadcast(heavy), key, "left_semi"), key, "left"))
-    still = facts.join(hot, key, "left").filter(F.col("_hot") | F.col(key).isNull())
-    cold = facts.filter(F.col(key).isNotNull()).join(F.broadcast(heavy), key, "left_anti").join(dim, key, "left")
-    columns = [*facts.columns, *values]
-    return still.select(*columns).union(cold.select(*columns))
+    hot = fq.frequent(fq.sketches(facts, [key]) if sketched is None else sketched, key, share)
+    simple = [c for c, t in facts.dtypes if not t.startswith("map")]
+    part = F.pmod(F.xxhash64(*(by or simple)), F.lit(SLOTS)).cast("int")
+    often = F.col(key).isNull() | F.array_contains(hot, F.col(key))
+    parts = F.when(F.array_contains(hot, F.col(key)), F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array(F.lit(0)))
+    table = dim.filter(F.col(key).isNotNull()).select(key, *values, F.explode(parts).alias("_part"))
+    rows = facts.withColumn("_part", F.when(often, part).otherwise(0))
+    return rows.join(table, [key, "_part"], "left").select(*facts.columns, *values)
 
 
 def with_fallback(df: DataFrame, per_key: DataFrame, key: str, fallback: DataFrame) -> DataFrame:
@@ -47,10 +53,19 @@ def last_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
             .select(key, *[F.col("_r")[c].alias(c) for c in rest]))
 
 
-def modal_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+def value_counts(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, value, n, first_seen): how often a key has each value, and where it first does; rows without either are left out."""
+    return (df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+            .groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen")))
+
+
+def modal_of_counts(counts: DataFrame, key: str, value: str) -> DataFrame:
     """Most frequent value per key; ties go to the value seen first."""
-    counts = (df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
-              .groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen")))
     return (counts.groupBy(key)
             .agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col("first_seen"))).alias("_m"))
             .select(key, F.col("_m")[value].alias(value), F.col("_m.n").alias("n")))
+
+
+def modal_value(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Most frequent value per key; ties go to the value seen first."""
+    return modal_of_counts(value_counts(df, key, value, order), key, value)

@@ -64,7 +64,7 @@ def _windows(rows: DataFrame, history: DataFrame | None) -> DataFrame:
              .groupBy("event_id", F.col("hours_before").cast("int").alias("hours_before"))
              .agg(F.max(F.array(*[F.col(c).cast("double") for c in fv.SERVING_FEATURES])).alias("x"))
              .groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("hours_before", "x"))).alias("_past")))
-    rows = joins.lookup_join(rows, hours, "event_id")
+    rows = rows.join(hours, "event_id", "left")        # one row per event on either side
 
     def placed(t):
         x = F.try_element_at("_past", t)
@@ -110,9 +110,12 @@ def _tail_distance(rows: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, alpha: float | None = None,
-                 beta: float = fv.SBRS_BETA, history: DataFrame | None = None, homes: DataFrame | None = None) -> DataFrame:
+                 beta: float = fv.SBRS_BETA, history: DataFrame | None = None, homes: DataFrame | None = None,
+                 sketched: DataFrame | None = None) -> DataFrame:
     """One nested row per event: event, pii, anomaly, sbrs, raw_enforcement.
 
+    `sketched` holds the sketches of the events by `request.user_id`, if they were made when the events were stored.
+
     `homes` (user_id, home) holds the users' habitual origins where `events` are only a part of
     all events, as in a micro-batch; else they are taken from `events`.
 
@@ -124,7 +127,9 @@ def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, a
     stats, bank = fallback_context(model)
     keyed = events.withColumn("user_id", F.col("request.user_id"))
     context = user_context(model, baselines, events, homes)
-    rows = joins.lookup_join(keyed, context.drop("bank") if coded else context, "user_id")
+    if sketched is not None:
+        sketched = sketched.withColumnRenamed("request_user_id", "user_id")
+    rows = joins.lookup_join(keyed, context.drop("bank") if coded else context, "user_id", sketched=sketched, by=["event_id"])
     rows = rows.withColumn("_g", scoring.one_row(stats))
     known = F.col("mu").isNotNull()
     rows = rows.withColumns({"_mu": F.when(known, F.col("mu")).otherwise(F.col("_g.mu")),

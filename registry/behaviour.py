@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores, vectors
 from driftwarden.operators import ewma, ordering, sessions
+from driftwarden.session import stage_table
 from registry import Book, fixtures as fx
 from registry.fixtures import r6, sql
 
@@ -23,7 +24,7 @@ SELECT base_action, action, count(*) AS sessions, round(avg(sbrs), 6) AS mean_sb
         FROM lab JOIN ew USING (user_id, hour_index)))
 GROUP BY 1, 2""", "lab", "ew"))
 def enforcement_by_action(spark, sf_dir):
-    run = ewma.ewma_stream(fx.hourly_from_events(spark, sf_dir).select("user_id", "hour_index", "s", "x"), "x")
+    run = ewma.ewma_stream(stage_table(fx.hourly_from_events(spark, sf_dir).select("user_id", "hour_index", "s", "x"), "hours"), "x")
     risk = scores.sbrs("s", scores.clamp(F.col("ewma_deviation") / 8.0, 0.0, 1.0))
     return (run.select(F.when(F.col("ewma_deviation") > fv.LEGACY_EWMA_TAU, "BLOCK").otherwise("PERMIT")
                        .alias("base_action"), scores.band_action(risk).alias("action"), risk.alias("sbrs"))
@@ -60,7 +61,7 @@ EWMA_OUT = "user_id, hour_index, round(p, 6) AS ewma_previous, round(n, 6) AS ew
 
 @query("ewma_stream", sql(f"SELECT {EWMA_OUT} FROM ew", "ew"))
 def ewma_stream(spark, sf_dir):
-    run = ewma.ewma_stream(fx.hourly(spark, sf_dir).select("user_id", "hour_index", "x"), "x")
+    run = ewma.steps(fx.hourly(spark, sf_dir), "x")
     return run.select("user_id", "hour_index", r6("ewma_previous", "ewma_previous"),
                       r6("ewma_new", "ewma_new"), r6("ewma_deviation", "ewma_deviation"))
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores, text as tx
-from driftwarden.operators import enforcement, events as ev, ewma, joins
-from driftwarden.session import spread
+from driftwarden.operators import enforcement, events as ev, ewma, frequent, joins
 from registry import Book, fixtures as fx
 from registry.fixtures import r6
 
@@ -21,11 +20,24 @@ def city(i):
                     F.lit(", XX"))
 
 
-def documents(spark, sf_dir):
-    """Events with every optional part missing somewhere."""
-    a, p = spread(fx.activity(spark, sf_dir)), fx.profiles(spark, sf_dir)
+PROFILE = ("user_name", "department", "platform")
+
+
+def documents(spark, sf_dir, profiled=True):
+    """Events with every optional part missing somewhere; those that need no field of the user's profile don't look it up."""
+    a = fx.activity(spark, sf_dir)
+    if profiled:
+        return nested(joins.lookup_join(a, fx.profiles(spark, sf_dir).select("user_id", *PROFILE), "user_id", by=["event_id"]))
+    return unprofiled(a).drop("activity_user")
+
+
+def unprofiled(a):
+    return nested(a.select("*", *[F.lit(None).cast("string").alias(c) for c in PROFILE]), F.col("user_id").alias("activity_user"))
+
+
+def nested(j, *further):
+    """Event documents from activity rows with the user's profile; `further` columns go along."""
     k, v = F.col("k"), F.col("value")
-    j = joins.lookup_join(a, p, "user_id")
 
     def opt(cond, value):
         return F.when(~cond, value)
@@ -65,7 +77,7 @@ def documents(spark, sf_dir):
         opt(k % 10 == 3, F.col("event_type")).alias("event_type"), F.when(k % 20 == 1, "Branch1_Presidio").alias("module"),
         request.alias("request"), F.when(k % 11 != 0, found).alias("pii_detection"),
         F.when(k % 12 != 0, F.struct(F.when(k % 2 == 0, "ALERT").otherwise("PERMIT").alias("action"),
-                                     F.lit("policy").alias("reason"))).alias("enforcement"))
+                                     F.lit("policy").alias("reason"))).alias("enforcement"), *further)
 
 
 def baselines(spark, sf_dir):
@@ -177,7 +189,7 @@ def event_lookup(spark, sf_dir):
 
 @query("event_ids", esql("SELECT event_id FROM evd", "evd"))
 def event_ids(spark, sf_dir):
-    return ev.event_ids(documents(spark, sf_dir))
+    return ev.event_ids(documents(spark, sf_dir, profiled=False))
 
 
 @query("event_summaries", esql("""SELECT event_id, "timestamp", coalesce(user_id, '?') AS user_id, user_name, department, platform, file_name,
@@ -338,7 +350,7 @@ def last_event_per_user(spark, sf_dir):
 
 @query("habitual_origins", esql("SELECT user_id, home FROM homes", "homes"))
 def habitual_origins(spark, sf_dir):
-    return ev.home_of_users(documents(spark, sf_dir))
+    return ev.home_of_users(documents(spark, sf_dir, profiled=False))
 
 
 CITY_SQL = f"""SELECT user_id, home, {_coord(0, 'home')} AS lat, {_coord(1, 'home')} AS lon FROM homes"""
@@ -346,7 +358,7 @@ CITY_SQL = f"""SELECT user_id, home, {_coord(0, 'home')} AS lat, {_coord(1, 'hom
 
 @query("home_coordinates", esql(CITY_SQL, "homes"))
 def home_coordinates(spark, sf_dir):
-    return ev.home_of_users(documents(spark, sf_dir)).select(
+    return ev.home_of_users(documents(spark, sf_dir, profiled=False)).select(
         "user_id", "home", scores.city_coord("home", 0).alias("lat"), scores.city_coord("home", 1).alias("lon"))
 
 
@@ -354,9 +366,19 @@ EVF = ("activity_rate", "file_type_category", "geo_index", "endpoint_operation",
 
 
 def with_context(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    ctx = ev.baseline_of_users(baselines(spark, sf_dir)).join(ev.home_of_users(d), "user_id", "full")
-    return joins.lookup_join(d.withColumn("user_id", F.col("request.user_id")), ctx, "user_id")
+    """Event documents with `ewma_baseline` and `home`.
+
+    The events are read three times in all: for the users' origins, which the sketch of hot users comes along with, for
+    their baselines, and for the one join with everything that is known of a user.
+    """
+    a = fx.activity(spark, sf_dir)
+    counts, sketched = frequent.stage_through(unprofiled(a), ["activity_user"], "origins", ev.origin_counts)
+    known = ev.baseline_of_users(baselines(spark, sf_dir)).join(ev.home_of_counts(counts), "user_id", "full")
+    known = known.select(F.substring("user_id", 4, 20).cast("bigint").alias("user_id"), "ewma_baseline", F.col("home").alias("habit"))
+    users = fx.profiles(spark, sf_dir).select("user_id", *PROFILE).join(known, "user_id", "full")
+    rows = joins.lookup_join(a, users, "user_id", sketched=sketched.withColumnRenamed("activity_user", "user_id"), by=["event_id"])
+    named = F.col("k") != 99
+    return nested(rows, F.when(named, F.col("ewma_baseline")).alias("ewma_baseline"), F.when(named, F.col("habit")).alias("home"))
 
 
 @query("event_features", esql("SELECT event_id, " + ", ".join(f"round_even({c} * 1e4, 0) / 1e4 AS {c}" for c in EVF) + " FROM evf", "evf"))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -156,21 +158,69 @@ def test_knee_picks_published_beta(spark):
     assert tuning.knee(spark.createDataFrame(curve, "beta double, auc double")).first().beta == 2.5
 
 
-def test_ewma_shuffles_blocks_once(spark):
-    df = spark.range(5000).select((F.col("id") % 50).alias("user_id"), F.col("id").alias("hour_index"), F.rand(1).alias("x"))
-    q = ewma.ewma_stream(df, "x", block=64)
-    q.collect()
-    assert "ReusedExchange" in q._jdf.queryExecution().executedPlan().toString()
-    with_null = df.withColumn("user_id", F.when(F.col("user_id") > 0, F.col("user_id")))
-    assert ewma.ewma_stream(with_null, "x").count() == 4900
+def test_ewma_rows_without_key_or_value(spark):
+    rows = [(1, 0, None, "a"), (1, 1, 4.0, "b"), (1, 2, None, "c"), (1, 5, 8.0, "d"), (None, 1, 2.0, "e"), (2, 3, None, "f")]
+    df = spark.createDataFrame(rows, "user_id int, hour_index bigint, x double, tag string")
+    got = {r.tag: (r.ewma_previous, r.ewma_new, r.ewma_deviation) for r in ewma.ewma_stream(df, "x", block=2).collect()}
+    none = (None, None, None)
+    assert got == {"a": none, "b": (4.0, pytest.approx(4.0), 0.0), "c": none, "d": (pytest.approx(4.0), pytest.approx(5.2), pytest.approx(1.0)),
+                   "f": none}
+    assert ewma.steps(df, "x").columns == ["user_id", "hour_index", "x", *ewma.ADDED] and ewma.steps(df, "x").count() == 2
+
+
+def test_ewma_of_a_key_with_100000_blocks(spark):
+    """One row per block: three tiers of nodes; other keys beside it, negative and far steps too."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.gamma(2, 5, 100_000), 2)
+    df = spark.createDataFrame(pd.DataFrame({"user_id": 1, "hour_index": np.arange(100_000), "x": x}), "user_id int, hour_index bigint, x double")
+    few = spark.createDataFrame([(2, -7, 3.0), (2, 1 << 40, 5.0), (2, -600, 1.0)], "user_id int, hour_index bigint, x double")
+    out = ewma.steps(df.union(few), "x", block=1, fan=64, levels=2)
+    got = out.filter("user_id = 1").orderBy("hour_index").toPandas()
+    want = np.array(reference_ewma(x.tolist(), 0.3))
+    assert np.allclose(got[list(ewma.ADDED)].to_numpy(), want, rtol=1e-9)
+    assert [r.ewma_new for r in out.filter("user_id = 2").orderBy("hour_index").collect()] == pytest.approx([1.0, 1.6, 2.62])
+
+
+def test_ewma_moves_only_key_step_and_value(spark, tmp_path):
+    """Nothing but narrow columns is shuffled for the scan, and there is no window over a key."""
+    df = spark.range(5000).select((F.col("id") % 50).alias("user_id"), F.col("id").alias("hour_index"), F.rand(1).alias("x"), F.lit("wide").alias("tag"))
+    df.write.parquet(str(tmp_path / "t"))
+    text = ewma.steps(spark.read.parquet(str(tmp_path / "t")), "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "tag" not in text and "Window" not in text
+    assert all(len(a.split(",")) <= 10 for a in re.findall(r"Relation \[(.*?)\]", text))
 
 
 def test_lookup_join_spreads_unmatched_and_null_keys(spark):
     facts = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"),
                                       F.col("id").alias("v")).repartition(6)
     dim = spark.createDataFrame([(1, "a"), (4, "b")], "k long, name string")
-    got = joins.lookup_join(facts, dim, "k", share=0.05)
-    assert got.count() == 30000
-    assert {(r.k, r.name) for r in got.filter("name is not null").collect()} == {(1, "a"), (4, "b")}
-    most = max(r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect())
-    assert most < 8000              # 10,000 rows have key 7, 10,000 have none
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.lookup_join(facts, dim, "k", share=0.05)
+        assert got.count() == 30000
+        assert {(r.k, r.name) for r in got.filter("name is not null").collect()} == {(1, "a"), (4, "b")}
+        most = max(r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect())
+        assert most < 12000             # 10,000 rows have key 7, 10,000 have none; four partitions
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sketches_add_up_and_find_every_frequent_key(spark):
+    """Sketches of the days of a table, made while the days are written, against exact counts."""
+    from driftwarden.operators import frequent
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("day"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None)
+                                      .when(F.col("id") % 11 == 0, "warm").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), F.struct((F.col("id") % 5).alias("n")).alias("s"))
+    parts = []
+    for day in range(3):
+        staged, sketched = frequent.stage_with_sketches(rows.filter(F.col("day") == day), "day", ["k", "s.n"])
+        assert staged.count() == sketched.first()["rows"] == 20_000
+        parts.append(sketched)
+    whole = frequent.merged(parts[0].union(parts[1]).union(parts[2]))
+    exact = {r.k for r in rows.filter("k is not null").groupBy("k").count().filter("count >= 60000 * 0.03").collect()}
+    found = spark.range(1).select(F.sort_array(frequent.frequent(whole, "k", 0.03)).alias("a"), F.sort_array(frequent.frequent(whole, "s.n", 0.1)).alias("b"))
+    assert found.first()["a"] == sorted(exact) == ["hot", "warm"] and found.first()["b"] == [0, 1, 2, 3, 4]
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, x int")
+    got = joins.lookup_join(rows, dim, "k", sketched=whole, by=["s"])
+    assert {(r.x, r["count"]) for r in got.groupBy("x").count().collect()} == {(1, 20_000), (2, 1), (None, 39_999)}
