@@ -43,7 +43,7 @@ def test_leaks_against_edit_table(spark):
     for doc, text in docs:
         for item, body in items:
             plain = dc.normalised(body)
-            if item is not None and body and len(plain) >= dc.LEAST_CHARS:
+            if item is not None and body and len(plain) >= dc.EXACT_CHARS:
                 distance = closest(plain, dc.normalised(text))
                 if distance <= int(dc.RATE * len(plain)):
                     want.append((str(doc), item, distance))
@@ -93,3 +93,20 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r.score, r.predicted) for r in tox.score_documents(docs, none).collect()] == [(0.0, 0)] * 3
     assert tox.without_toxic(docs, none).count() == 3
+
+
+def test_short_items_and_every_place(spark):
+    """Items under 24 characters exactly and as whole words; all places of an item; two items at one place; a long text."""
+    long_item = "the quick brown fox jumps over the lazy dog at noon"
+    items = [(1, "Capital of Peru"), (2, long_item), (3, long_item.upper() + "!"), (4, "a b"), (5, "peru is a state")]
+    docs = [(1, "What is the capital  of Peru? The CAPITAL-OF-PERU"), (2, "capital of peruvians, xcapital of peru"),
+            (3, f"{long_item} {long_item.replace('lazy', 'lazi')}, {'x ' * 40_000} {long_item}"), (4, "a b"), (5, "capital of peru is a state")]
+    got = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    rows = sorted((r.doc_id, r.item_id, r.distance, r.start, r.stop) for r in got)
+    assert [r[:2] for r in rows if r[0] != 3] == [(1, 1), (1, 1), (5, 1), (5, 5)]
+    for doc, item, distance, start, stop in rows:
+        plain, wanted = dc.normalised(dict(docs)[doc]), dc.normalised(dict(items)[item])
+        assert closest(wanted, plain[start:stop]) == distance == (0 if item not in (2, 3) else distance)
+    assert [r[1:3] for r in rows if r[0] == 3] == [(2, 0), (2, 0), (2, 1), (3, 0), (3, 0), (3, 1)]
+    kept = dc.without_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4]
