@@ -13,6 +13,7 @@ from driftwarden.plans import event_scoring, session_training
 from driftwarden.session import cut_lineage, shared_dir
 from driftwarden.sources import tables
 from driftwarden.streaming import jobs
+from driftwarden.streaming.ordered import keyed_state, ordered_ewma
 from registry import Book, event_docs, fixtures as fx
 from registry.behaviour import VEC_SQL
 from registry.fixtures import r6
@@ -181,6 +182,26 @@ def streamed_ewma(spark, sf_dir):
                       r6("ewma_new", "ewma_new"), r6("ewma_deviation", "ewma_deviation"))
 
 
+@query("streamed_ordered_ewma", fx.sql("SELECT user_id, \"timestamp\" AS hour, round(p, 6) AS ewma_previous, round(n, 6) AS ewma_new, "
+                                       "round(d, 6) AS ewma_deviation FROM ew JOIN lab USING (user_id, hour_index)", "ew", "lab"))
+def streamed_ordered_ewma(spark, sf_dir):
+    """Hourly sessions in three deliveries without any order in time, held in state and folded in order; a mark a year ahead
+    closes the last hours."""
+    root = folder(spark, "ordered_ewma")
+    hourly = fx.hourly(spark, sf_dir).select("user_id", F.col("timestamp").alias("hour"), "x")
+    for i in range(3):
+        hourly.filter(F.pmod(F.xxhash64("user_id", "hour"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    end = hourly.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("hour") + F.expr("INTERVAL 1 YEAR")).alias("hour"), F.lit(0.0).alias("x"))
+    end.select(*[F.col(c).cast(t).alias(c) for c, t in hourly.dtypes]).write.mode("append").parquet(f"{root}/in")
+    src = spark.readStream.schema(hourly.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    with keyed_state(spark):
+        updates = ordered_ewma(src, "x", delay="200 days", idle_days=1000)
+        jobs.to_table(updates, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    out = spark.read.schema(updates.schema).parquet(f"{root}/out")
+    return out.select("user_id", F.col("hour").cast("timestamp_ntz").alias("hour"), r6("ewma_previous", "ewma_previous"),
+                      r6("ewma_new", "ewma_new"), r6("ewma_deviation", "ewma_deviation"))
+
+
 @query("streamed_hourly_ewma", fx.sql("""SELECT user_id, "timestamp" AS hour, round(p, 6) AS ewma_previous, round(n, 6) AS ewma_new,
     round(d, 6) AS ewma_deviation FROM ew JOIN lab USING (user_id, hour_index)
     WHERE "timestamp" + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""", "ew", "lab"))
