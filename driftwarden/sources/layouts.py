@@ -15,8 +15,9 @@ EVENT = ", ".join(f"{n} {t}" for n, t in _EVENT)                 # as a table
 METADATA = ("struct<run_id:string,start_time:string,end_time:string,saas_platforms:array<string>,"
             "users_monitored:bigint,total_events:bigint,pii_branches:array<string>,"
             "anomaly_engines:array<string>>")
-EVENTS_DOCUMENT = f"log_metadata {METADATA}, events array<struct<{EVENT_FIELDS}>>, _corrupt string"
-GROUND_TRUTH = ("documents array<struct<doc_id:string,category:string,file_type:string,path:string,"
-                "file_name:string,text:string,entities:array<struct<type:string,value:string>>,"
-                "high_entities:bigint,medium_entities:bigint,low_entities:bigint,font:string,"
-                "user_id:string,user_name:string,department:string,platform:string,timestamp:string>>")
+TRUTH = ("struct<doc_id:string,category:string,file_type:string,path:string,"
+         "file_name:string,text:string,entities:array<struct<type:string,value:string>>,"
+         "high_entities:bigint,medium_entities:bigint,low_entities:bigint,font:string,"
+         "user_id:string,user_name:string,department:string,platform:string,timestamp:string>")
+EVENTS_DOCUMENT = f"log_metadata {METADATA}, events array<struct<{EVENT_FIELDS}>>, _corrupt string"     # as one row
+GROUND_TRUTH = f"documents array<{TRUTH}>"

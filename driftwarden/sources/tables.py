@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
-from . import layouts
+from . import json_parts, layouts
 
 # File names per table, measured file first, simulated file as fallback.  Pass your own
 # mapping to read differently named files.
@@ -87,14 +87,18 @@ def rewrite(spark: SparkSession, path: str, layout: Sequence[tuple[str, str]], c
 
 
 # --- nested documents --------------------------------------------------------------------
-def read_events_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, metadata) of a JSON document holding both top-level keys."""
-    doc = (spark.read.schema(layouts.EVENTS_DOCUMENT).option("multiLine", True)
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    valid = doc.filter(F.col("log_metadata").isNotNull() & F.col("events").isNotNull() & F.col("_corrupt").isNull())
-    if valid.isEmpty():
+def parsed(parts: DataFrame, key: str, schema: str) -> DataFrame:
+    """The parts under a top-level key as rows; those that are no valid JSON are left out."""
+    rows = parts.filter(F.col("key") == key).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"), "value")
+    return rows.filter(F.to_json("e").isNotNull() & (F.try_parse_json("value").isNotNull())).select("e.*")
+
+
+def read_events_document(spark: SparkSession, path: str, range_bytes: int = json_parts.RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(events, metadata) of JSON documents holding both top-level keys; a document of any size is read by many tasks."""
+    parts, keys = json_parts.json_parts(spark, path, ["events"], ["log_metadata"], range_bytes)
+    if not any({"log_metadata", "events"} <= found for found in keys.values()):
         raise ValueError("events document lacks 'log_metadata' or 'events'")
-    return doc.select(F.inline("events")), doc.select("log_metadata.*")
+    return parsed(parts, "events", f"struct<{layouts.EVENT_FIELDS}>"), parsed(parts, "log_metadata", layouts.METADATA)
 
 
 def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -108,9 +112,9 @@ def parse_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return payloads.select(F.from_json(column, fields).alias("e")).select("e.*")
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_ground_truth(spark: SparkSession, path: str, range_bytes: int = json_parts.RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(text documents, image documents) with nested gold entities."""
-    docs = spark.read.schema(layouts.GROUND_TRUTH).option("multiLine", True).json(path).select(F.inline("documents"))
+    docs = parsed(json_parts.json_parts(spark, path, ["documents"], (), range_bytes)[0], "documents", layouts.TRUTH)
     is_text = F.col("category") == "text_extractable"
     return docs.filter(is_text), docs.filter(~is_text)
 
