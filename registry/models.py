@@ -12,7 +12,7 @@ from driftwarden.operators import forest, scoring, sessions
 from driftwarden.plans import event_scoring, session_training
 from driftwarden.session import cut_lineage, shared_dir
 from driftwarden.sources import tables
-from driftwarden.streaming import jobs
+from driftwarden.streaming import audit, jobs
 from driftwarden.streaming.ordered import keyed_state, ordered_ewma
 from registry import Book, event_docs, fixtures as fx
 from registry.behaviour import VEC_SQL
@@ -248,3 +248,17 @@ def streamed_enforcement(spark, sf_dir):
         jobs.enforce(scored, f"{root}/audit", f"{root}/queue", f"{root}/checkpoint-{run_of}").awaitTermination()
     parts = [spark.read.parquet(f"{root}/{p}").select("action", "event_id") for p in ("audit", "queue")]
     return parts[0].unionByName(parts[1])
+
+
+@query("streamed_audit_tables", f"SELECT action, event_id FROM ({SCORED_STREAM}) WHERE action <> 'PERMIT'")
+def streamed_audit_tables(spark, sf_dir):
+    """The same through audit tables with commits: each stream is run twice, under two names, and the second adds nothing."""
+    root = folder(spark, "audit")
+    scored = stream_scored(spark, sf_dir).select("event_id", "user_id", "sbrs_value", "action")
+    parts = []
+    for action in ("BLOCK", "ALERT"):
+        for name in ("first", "second"):
+            audit.append_to_audit(scored.filter(F.col("action") == action), f"{root}/{action}", "event_id", name,
+                                  f"{root}/checkpoint-{action}-{name}").awaitTermination()
+        parts.append(audit.read_audit(spark, f"{root}/{action}", scored.schema).select("action", "event_id"))
+    return parts[0].unionByName(parts[1])
