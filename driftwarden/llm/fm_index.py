@@ -2,10 +2,11 @@
 
 The segments of a shard (see `repeats`) form one text over word ranks.  Its Burrows-Wheeler
 transform is kept in a wavelet matrix of packed bit vectors, with a block count for each 64
-bits.  The segments are then streamed through a backward search: from the end of a window to the left
+bits.  The segments are then streamed through a backward search: from the end of a pattern to the left
 the interval of suffixes that start with the words so far is narrowed, and the smallest
 doc_id in that interval is looked up.  As soon as no smaller document is left the match ends, and no
-window that holds the words so far needs a look.  A match of 50 words is reported.
+window that holds the words so far needs a look.  A match of 50 words is reported.  After a match the pattern is the next
+`LONGEST` words, up to 50 windows in one: all windows that lie in its matched part are reported at once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from driftwarden.llm.repeats import NONE, WINDOW, Segments, remove_repeats
 
 U64 = np.uint64
+LONGEST = 2 * WINDOW - 1
 
 
 class WaveletMatrix:
@@ -54,7 +56,7 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, owner: np.ndarray):
         rank, step = text, 1
-        while step < WINDOW:        # order by the first 64 symbols; patterns have 50 at most
+        while step < LONGEST:       # order by the first 128 symbols
             after = np.zeros(len(rank), np.int64)
             after[:len(rank) - step] = rank[step:] + 1
             _, rank = np.unique(rank * (int(after.max(initial=0)) + 1) + after, return_inverse=True)
@@ -83,20 +85,18 @@ class FMIndex:
 
 
 def least_by_search(seg: Segments) -> list[np.ndarray]:
-    """For every window of every segment the smallest doc_id of the shard that has it, if it is smaller than
-    that of a document with this very segment; else no value."""
+    """For every window of every segment a doc_id of the shard that has it and is smaller than those of all documents with this very
+    segment, if there is one; else the smallest of those."""
     known: dict[bytes, int] = {}
     which = np.empty(len(seg.key), np.int64)
     for s in range(len(seg.key)):
         body = seg.flat[seg.offset[s]:seg.offset[s + 1]].tobytes()
         which[s] = known.setdefault(body, len(known))
     size = np.zeros(len(known), np.int64)
-    lowest, highest = np.full(len(known), NONE), np.full(len(known), np.iinfo(np.int64).min)
+    lowest = np.full(len(known), NONE)
     np.minimum.at(lowest, which, seg.doc)
-    np.maximum.at(highest, which, seg.doc)
     size[which] = np.diff(seg.offset)
-    bodies = [np.frombuffer(b, np.uint32) for b in known]
-    _, codes = np.unique(np.concatenate(bodies), return_inverse=True)
+    codes = np.concatenate([np.frombuffer(b, np.int64) for b in known])
     offset = np.concatenate(([0], np.cumsum(size + 1)))
     text = np.zeros(offset[-1] + 1, np.int64)
     text[np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)] = codes + 1
@@ -104,24 +104,41 @@ def least_by_search(seg: Segments) -> list[np.ndarray]:
     index = FMIndex(text, owner)
 
     windows = size - WINDOW + 1
-    found = [np.full(n, NONE, np.int64) for n in windows.tolist()]
-    at = np.zeros(len(size), np.int64)
-    left = np.full(len(size), WINDOW)
+    found = [np.full(n, first, np.int64) for n, first in zip(windows.tolist(), lowest.tolist())]
+    at = np.zeros(len(size), np.int64)          # the first window without an answer
+    known_from, known_to = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)      # windows behind it that have one
+    end = np.full(len(size), WINDOW)            # the pattern is [left, end)
+    left = end.copy()
     low, high = np.zeros(len(size), np.int64), np.full(len(size), len(text))
+    best = np.full(len(size), NONE)             # the least owner of the pattern so far
     active = np.arange(len(size))
     while len(active):
         left[active] -= 1
-        symbol = text[offset[active] + at[active] + left[active]]
+        symbol = text[offset[active] + left[active]]
         low[active], high[active] = index.extend(symbol, low[active], high[active])
         smallest = index.least_owner(low[active], high[active])
-        ended = smallest >= highest[active]
-        done = ~ended & (left[active] == 0)
+        ended = smallest >= lowest[active]
+        done = ~ended & (left[active] == at[active])
         for c, value in zip(active[done].tolist(), smallest[done].tolist()):
-            found[c][at[c]] = value
-        at[active[done]] += 1
-        at[active[ended]] += left[active[ended]] + 1
+            found[c][at[c]:end[c] - WINDOW + 1] = value
+        over = active[ended]
+        for c in over[left[over] + 1 <= end[over] - WINDOW].tolist():       # the part matched so far holds whole windows
+            known_from[c], known_to[c] = left[c] + 1, end[c] - WINDOW + 1
+            found[c][known_from[c]:known_to[c]] = best[c]
+        best[active] = smallest
+        # behind a match a long pattern, before a break the words up to it, else one window
+        single = end[active] - at[active] == WINDOW
+        matched, broken = active[done], active[ended & ~single]
+        at[matched] = end[matched] - WINDOW + 1
+        skipped = active[ended & single]
+        at[skipped] = left[skipped] + 1
         again = active[done | ended]
-        left[again], low[again], high[again] = WINDOW, 0, len(text)
+        inside = (known_from[again] <= at[again]) & (at[again] < known_to[again])
+        at[again[inside]] = known_to[again[inside]]
+        end[skipped] = at[skipped] + WINDOW
+        end[matched] = np.minimum(at[matched] + LONGEST, size[matched])
+        end[broken] = np.where(left[broken] - at[broken] >= WINDOW, left[broken], at[broken] + WINDOW)
+        left[again], low[again], high[again] = end[again], 0, len(text)
         active = active[at[active] < windows[active]]
     return [found[c] for c in which.tolist()]
 

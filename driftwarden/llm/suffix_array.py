@@ -39,7 +39,7 @@ def least_by_suffixes(seg: Segments) -> list[np.ndarray]:
     def part(index, held):
         # the words at `index`, 0 where the segment has none
         safe = np.clip(index, 0, len(seg.flat) - 1)
-        return np.where(held, seg.flat[safe].astype(np.int64) + 1, 0)
+        return np.where(held, seg.flat[safe] + 1, 0)
 
     right = np.arange(WINDOW)
     anchor = seg.offset[:-1] + lead

@@ -96,3 +96,37 @@ def test_fm_index_counts():
                 low, high = index.extend(np.array([c]), low, high)
             places = [i for i in range(len(text) - size + 1) if (text[i:i + size] == pattern).all()]
             assert high[0] - low[0] == len(places) and index.least_owner(low, high)[0] == places[0]
+
+
+def test_words_whose_short_hashes_collide(spark):
+    """`k108223` and `k152967` agree in the low 32 bits of their hashes."""
+    before, after = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(5)]
+    rows = [(1, " ".join([*before, "k108223", *after])), (2, " ".join([*before, "k152967", *after]))]
+    for dedup in (suffix_array.dedup_suffixes, fm_index.dedup_substrings):
+        got = {r.doc_id: r.n_removed for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: 0, 2: 60}
+
+
+def test_long_patterns_around_breaks():
+    """Copies with changed words, at every distance, against windows looked up one by one."""
+    import numpy as np
+    rnd = random.Random(3)
+    for trial in range(30):
+        base = [rnd.randrange(40) for _ in range(300)]
+        segs = []
+        for doc in rnd.sample(range(100), rnd.choice([2, 5, 9])):
+            words = base[rnd.randrange(60):rnd.randrange(150, 300)]
+            for _ in range(rnd.choice([0, 0, 1, 2, 3])):
+                words[rnd.randrange(len(words))] = rnd.choice([rnd.randrange(40), 1000 + doc])
+            segs += [(doc, words)] * rnd.choice([1, 1, 2])
+        flat = np.concatenate([np.array(w, np.int64) for _, w in segs])
+        offset = np.cumsum([0, *(len(w) for _, w in segs)])
+        n = len(segs)
+        seg = repeats.Segments(np.zeros(n, np.int64), np.array([d for d, _ in segs]), flat.view(np.uint64), flat, offset,
+                               np.zeros(n, np.int64), np.diff(offset) - 49)
+        first = {}
+        for doc, w in segs:
+            for i in range(len(w) - 49):
+                first[tuple(w[i:i + 50])] = min(first.get(tuple(w[i:i + 50]), 1000), doc)
+        for (doc, w), least in zip(segs, fm_index.least_by_search(seg)):
+            assert [x < doc for x in least.tolist()] == [first[tuple(w[i:i + 50])] < doc for i in range(len(w) - 49)]
