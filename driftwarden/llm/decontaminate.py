@@ -23,6 +23,8 @@ import pandas as pd
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftwarden.llm.frames import bounded_batches
+
 RATE = 0.08
 LEAST_CHARS, EXACT_CHARS = 8, 24
 BLOCK_CHARS = 8_000_000
@@ -152,7 +154,7 @@ def matches(text: str | None, items: tuple[tuple[int, str], ...], found, rate: f
 
 def item_blocks(benchmark: DataFrame, least_chars: int = LEAST_CHARS):
     """Broadcast-sized blocks of (item_id, normalised text), without null ids and items too short to tell."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = bounded_batches(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter(F.col("item_id").isNotNull() & (F.length("text") >= least_chars)).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)

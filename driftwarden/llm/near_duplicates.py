@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwarden.llm import words as W
 from driftwarden.llm.components import components
-from driftwarden.llm.frames import groups
+from driftwarden.llm.frames import bounded_batches, groups
 from driftwarden.session import stage_table
 
 HASHES, BITS, ROWS, BANDS = 128, 4, 5, 25
@@ -36,7 +36,7 @@ MULTIPLIERS = W.mix(np.arange(11, 11 + HASHES, dtype=np.uint64) * np.uint64(W.BA
 BAND_MULTIPLIERS = W.mix(np.arange(911, 911 + ROWS, dtype=np.uint64)) | np.uint64(1)
 BAND_SALTS = W.mix(np.arange(7001, 7001 + BANDS, dtype=np.uint64))
 NIBBLES = 0x1111111111111111
-CHUNK = 512
+CHUNK = 256
 
 
 def minima(values: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def _verified(num: int, den: int):
             order = np.argsort(code, kind="stable")
             owner, code = owner[order], code[order]
             shared = np.zeros((len(sets), len(sets)), np.float32)
-            width = max(1024, (1 << 22) // max(1, len(sets)))
+            width = max(1024, (1 << 21) // max(1, len(sets)))
             for first in range(0, int(code[-1]) + 1 if len(code) else 0, width):
                 a, b = np.searchsorted(code, [first, first + width])
                 grid = np.zeros((len(sets), width), np.float32)
@@ -234,7 +234,7 @@ def _grouped(docs: DataFrame, n: int, similarity: float, cut: float | None) -> D
     """The rows of `near_duplicates` with `linked`, one number per linked group (null without shingles or doc_id)."""
     share = Fraction(str(similarity)).limit_denominator(10_000)
     cut = similarity - 0.15 if cut is None else cut
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("body", F.xxhash64("text"))
 
     def sketch(batches):
@@ -266,7 +266,7 @@ def _grouped(docs: DataFrame, n: int, similarity: float, cut: float | None) -> D
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, cut: float | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, body per row of `docs` (doc_id, text; other columns are ignored).
 
     Words are lower-cased (A-Z); a text with fewer than `n` words has its whole sequence as one
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.85, cut:
     return _grouped(docs, n, similarity, cut).drop("linked")
 
 
-def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.85) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` (doc_id, text and any other columns) with one row of each group of near duplicates, that of the smallest doc_id.
 
     Of equal rows (doc_id and text) one stays; unlike texts under one doc_id all stay; rows without doc_id all

@@ -23,6 +23,7 @@ import pandas as pd
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftwarden.llm.frames import bounded_batches
 from driftwarden.session import stage_table
 
 FIT_ROWS = 12_000               # labelled rows the lexicon is learned from, at most (in expectation)
@@ -198,7 +199,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptions=EXCEPTIONS) -> Model:
     """Two thirds of the sample teach the lexicon, the rest the logistic function."""
-    rows = sample_rows(docs, labels, fit_rows)
+    rows = sample_rows(bounded_batches(docs), labels, fit_rows)
     entries, exceptions = tuple(learn_lexicon(rows.filter("part > 0")).items()), tuple(exceptions)
 
     def rate(batches):

@@ -15,7 +15,7 @@ import numpy as np
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,17 +34,18 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse for i below at least n, kept for the worker's life."""
-    size = 1 << max(20, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        out = []
-        for base in (BASE, BASE_INVERSE):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
+    """BASE**i and its inverse for i below at least n; the usual size is kept for the worker's life."""
+    size = 1 << max(BATCH_BYTES.bit_length(), int(n).bit_length())
+    if size in _powers:
+        return _powers[size]
+    out = []
+    for base in (BASE, BASE_INVERSE):
+        steps = np.full(size, base, U64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    if not _powers:
         _powers[size] = tuple(out)
-    return _powers[size]
+    return tuple(out)
 
 
 def lower_ascii(raw: bytes) -> bytes:

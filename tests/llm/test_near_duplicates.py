@@ -47,19 +47,19 @@ def linked(rows):
     return [(doc, len(sets[a]), None if doc is None else least[root(a)]) for a, (doc, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("chunk", [512, 8])
+@pytest.mark.parametrize("chunk", [256, 8])
 def test_against_all_pairs(spark, monkeypatch, chunk):
     monkeypatch.setattr(nd, "CHUNK", chunk)
     rows = fixture()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, cid string").repartition(4)
-    got = sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df).collect())))
+    got = sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df, similarity=0.85).collect())))
     assert got == sorted(map(str, ((d, n, c, d is None or d == c) for d, n, c in linked(rows))))
 
 
 def test_one_stays(spark):
     rows = fixture()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, body string")
-    got = nd.keep_one(df)
+    got = nd.keep_one(df, similarity=0.85)
     assert got.columns == df.columns
     want = {str(d) for d, n, c in linked(rows) if d is None or d == c}
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(want)
