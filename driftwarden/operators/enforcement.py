@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import scores
+from ..session import stage_observed
 
 
 def refresh_risk(df: DataFrame, s: str = "pii_sensitivity_score", a: str = "hybrid_anomaly_score",
@@ -50,6 +51,13 @@ def violations(df: DataFrame, rules: dict[str, Column] | None = None) -> DataFra
                                           for k in rules])))
 
 
+def stage_checked(df: DataFrame, name: str, rules: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stage table of `df`, and `violations` as the job that writes it has counted them."""
+    rules = rules or {k: make() for k, make in CONSTRAINTS.items()}
+    staged, seen = stage_observed(df, name, {k: F.count_if(~F.coalesce(c, F.lit(False))) for k, c in rules.items()})
+    return staged, df.sparkSession.createDataFrame([(k, seen[k]) for k in rules], "rule string, violations long")
+
+
 def check_parameters(alpha: float | None = None, beta: float | None = None, limit: int | None = None) -> None:
     for name, value, lo, hi in (("alpha", alpha, 0, 1), ("beta", beta, 0, 5), ("limit", limit, 1, 1000)):
         if value is not None and not lo <= value <= hi:

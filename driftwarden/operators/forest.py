@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .. import fixed_values as fv
@@ -109,14 +110,14 @@ class Forest:
         return out
 
 
-def forest_score(df: DataFrame, forest: DataFrame, features: list[str], name: str = "raw_if") -> DataFrame:
-    """Adds the anomaly score (higher = easier to isolate).
+def shared_forest(forest: DataFrame) -> Broadcast:
+    """The forest on every executor: trees x (2 x sample size) nodes whatever the data size, so it is collected and broadcast."""
+    return forest.sparkSession.sparkContext.broadcast(Forest([r.asDict() for r in forest.orderBy("tree").collect()]))
 
-    The forest is trees x (2 x sample size) nodes whatever the data size, so it is collected
-    and broadcast.
-    """
-    model = Forest([r.asDict() for r in forest.orderBy("tree").collect()])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+
+def forest_score(df: DataFrame, forest: DataFrame | Broadcast, features: list[str], name: str = "raw_if") -> DataFrame:
+    """Adds the anomaly score (higher = easier to isolate); `forest` is its table, or what `shared_forest` made of it."""
+    shared = forest if isinstance(forest, Broadcast) else shared_forest(forest)
 
     @F.pandas_udf(T.DoubleType())
     def score(*cols: pd.Series) -> pd.Series:

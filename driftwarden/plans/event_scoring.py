@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fv
@@ -35,13 +36,12 @@ class ServingModel:
     encoder: DataFrame | None = None
 
 
-def user_context(model: ServingModel, baselines: DataFrame, events: DataFrame, homes: DataFrame | None = None) -> DataFrame:
-    """One row per user; `homes` (user_id, home), if not to be taken from the events."""
+def user_context(model: ServingModel, baselines: DataFrame, homes: DataFrame) -> DataFrame:
+    """One row per user with all that is looked up; `homes` holds (user_id, home)."""
     stats = model.user_stats.select(
         "user_id", F.array(*[f"mu_{i}" for i in range(WIDTH)]).alias("mu"),
         F.array(*[f"sd_{i}" for i in range(WIDTH)]).alias("sd"))
     banks = model.banks.groupBy("user_id").agg(F.collect_list("tail").alias("bank"))   # capped per user
-    homes = ev.home_of_users(events) if homes is None else homes
     out = ev.baseline_of_users(baselines).join(homes, "user_id", "full")
     return out.join(stats, "user_id", "full").join(banks, "user_id", "full")
 
@@ -109,13 +109,33 @@ def _tail_distance(rows: DataFrame, bank: DataFrame) -> DataFrame:
     return rows.withColumn("raw_bank", similarity).drop("bank", "_gb")
 
 
-def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, alpha: float | None = None,
+@dataclass
+class Prepared:
+    """What every call of `score_events` needs of a model, worked out once: one row per user, the fallbacks, the forest on the
+    executors."""
+    model: ServingModel
+    context: DataFrame
+    stats: DataFrame
+    bank: DataFrame
+    forest: Broadcast
+
+
+def prepare(model: ServingModel, baselines: DataFrame, homes: DataFrame) -> Prepared:
+    """The model for scoring many small batches: its per-user tables are joined and stored, its forest is sent out."""
+    context = user_context(model, baselines, homes)
+    stats, bank = fallback_context(model)
+    return Prepared(model, stage_table(context, "users"), stage_table(stats, "user_mean"), stage_table(bank, "bank_of_all"),
+                    forest.shared_forest(model.forest))
+
+
+def score_events(events: DataFrame, model: ServingModel | Prepared, baselines: DataFrame | None = None, alpha: float | None = None,
                  beta: float = fv.SBRS_BETA, history: DataFrame | None = None, homes: DataFrame | None = None,
                  sketched: DataFrame | None = None) -> DataFrame:
     """One nested row per event: event, pii, anomaly, sbrs, raw_enforcement.
 
     `sketched` holds the sketches of the events by `request.user_id`, if they were made when the events were stored.
 
+    `model` may be a `Prepared` one, which has baselines and homes in it.
     `homes` (user_id, home) holds the users' habitual origins where `events` are only a part of
     all events, as in a micro-batch; else they are taken from `events`.
 
@@ -123,10 +143,14 @@ def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, a
     the event's user; those 1 to 23 hours before the event fill its window.
     """
     check_parameters(alpha, beta)
+    if isinstance(model, Prepared):
+        ready, model = model, model.model
+    else:
+        context = user_context(model, baselines, ev.home_of_users(events) if homes is None else homes)
+        ready = Prepared(model, context, *fallback_context(model), forest.shared_forest(model.forest))
     coded = history is not None or model.encoder is not None
-    stats, bank = fallback_context(model)
+    context, stats, bank = ready.context, ready.stats, ready.bank
     keyed = events.withColumn("user_id", F.col("request.user_id"))
-    context = user_context(model, baselines, events, homes)
     if sketched is not None:
         sketched = sketched.withColumnRenamed("request_user_id", "user_id")
     rows = joins.lookup_join(keyed, context.drop("bank") if coded else context, "user_id", sketched=sketched, by=["event_id"])
@@ -142,7 +166,7 @@ def score_events(events: DataFrame, model: ServingModel, baselines: DataFrame, a
     rows = rows.withColumns({"_s": scoring.one_row(model.scaler), "_p": scoring.one_row(model.params)})
     scaled = {f"g_{i}": (F.col(c) - F.col(f"_s.mu_{i}")) / F.when(F.col(f"_s.sd_{i}") == 0, 1.0).otherwise(F.col(f"_s.sd_{i}"))
               for i, c in enumerate(feats)}
-    rows = forest.forest_score(rows.withColumns(scaled), model.forest, list(scaled))
+    rows = forest.forest_score(rows.withColumns(scaled), ready.forest, list(scaled))
     cal = {n: scoring.one_row(model.calibrators.filter(F.col("name") == n).select("lo", "hi")) for n in ("bank", "forest")}
     rows = rows.withColumns({"_ca": cal["bank"], "_cb": cal["forest"]})
     rows = rows.withColumns({"a_lstm": scores.calibrate("raw_bank", F.col("_ca.lo"), F.col("_ca.hi")),

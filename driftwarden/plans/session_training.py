@@ -55,8 +55,7 @@ def raw_scores(feats: DataFrame, fit_hours: Column, trees: int = fv.FOREST_TREES
     grown = cut_lineage(forest.fit_forest(fit_rows, SCALED, ["user_id", "hour_index"], trees=trees, seed=seed))
     isolated = forest.forest_score(sessions.global_frame(feats, scaler, live).select("user_id", "hour_index", *SCALED),
                                    grown, SCALED).select("user_id", "hour_index", "raw_if")
-    series = ewma.ewma_stream(feats.select("user_id", "hour_index", "activity_rate_per_hr"),
-                              "activity_rate_per_hr").drop("activity_rate_per_hr")
+    series = ewma.steps(feats, "activity_rate_per_hr").drop("activity_rate_per_hr")
     keys = ["user_id", "hour_index"]
     out = live.join(bank, keys).join(isolated, keys).join(series, keys)
     model = {"user_stats": stats, "scaler": scaler, "forest": grown, "banks": cut_lineage(bank_tails(zrows, seed))}

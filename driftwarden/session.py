@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -83,6 +83,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """`stage_table` with aggregates of its rows, which the writing job itself works out."""
+    seen = Observation()
+    staged = stage_table(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), name)
+    return staged, seen.get
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores one partition per core before expensive
     per-row work; wide scans are left as they are."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
+from ..session import stage_observed
 from . import json_parts, layouts
 
 # File names per table, measured file first, simulated file as fallback.  Pass your own
@@ -121,50 +122,26 @@ def read_ground_truth(spark: SparkSession, path: str, range_bytes: int = json_pa
 
 def load_all(spark: SparkSession, root: str, files: Mapping[str, Sequence[str]] = FILES,
              with_counts: bool = True) -> dict[str, DataFrame]:
-    """Every stored table as a cached temp view, plus a table of row counts."""
+    """Every stored table, parsed once into a columnar stage table and known as a temp view, plus a table of row counts.
+
+    The counts are observed by the jobs that write the stage tables.
+    """
     tables = {k: load(spark, root, k, files) for k in ("pii_scans", "anomaly_comparison", "ewma_baselines", "blocked_audit")}
     events, metadata = read_events_document(spark, resolve(spark, root, "events", files))
     tables |= {"events": events, "log_metadata": metadata,
                "system_log": read_log(spark, resolve(spark, root, "system_log", files))}
+    counts = []
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-        spark.catalog.cacheTable(name)
-    tables = {name: spark.table(name) for name in tables}
+        tables[name], seen = stage_observed(df, name, {"rows": F.count(F.lit(1))})
+        tables[name].createOrReplaceTempView(name)
+        counts.append((name, seen["rows"]))
     if with_counts:
-        tables["row_counts"] = _counts(tables)
+        tables["row_counts"] = spark.createDataFrame(counts, "table string, rows long")
     return tables
 
 
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [df.agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows")) for n, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 # --- metrics -----------------------------------------------------------------------------
-METRIC_PATHS = {
-    "users": "dataset.users", "test_sessions": "dataset.per_split.test.sessions",
-    "test_positives": "dataset.per_split.test.positives", "alpha": "tuning.alpha", "tau_hybrid": "tuning.tau_hybrid",
-    "ewma_fpr": "test_flag_level.ewma_tuned.fpr", "ewma_fpr_legacy_tau": "test_flag_level.ewma_legacy_tau.fpr",
-    "hybrid_fpr": "test_flag_level.hybrid.fpr", "hybrid_f1": "test_flag_level.hybrid.f1",
-    "hybrid_precision": "test_flag_level.hybrid.precision", "hybrid_recall": "test_flag_level.hybrid.recall",
-    "enforcement_f1_alert_or_block": "test_enforcement_bands.hybrid_alert_or_block.f1",
-    "enforcement_f1_block_only": "test_enforcement_bands.hybrid_block_only.f1",
-    "malicious_insider_episode_recall": "per_class_recall.malicious_insider.hybrid_episode_recall",
-    "benign_burst_ewma_flag_rate": "benign_burst.ewma_flag_rate",
-    "benign_burst_hybrid_flag_rate": "benign_burst.hybrid_flag_rate", "latency_mean_ms": "latency.mean_ms",
-    "latency_p95_ms": "latency.p95_ms", "latency_p99_ms": "latency.p99_ms"}
-PII_METRIC_PATHS = {
-    "model": "vlm.model", "gold_entities": "corpus.gold_entities", "tau_ocr": "['results']['paper_tau_0.85'].tau",
-    "text_recall": "['results']['paper_tau_0.85'].by_category.text_extractable.recall",
-    "scanned_recall": "['results']['paper_tau_0.85'].by_category.scanned.recall",
-    "handwritten_recall": "['results']['paper_tau_0.85'].by_category.handwritten.recall",
-    "overall_f1": "['results']['paper_tau_0.85'].overall_micro.f1",
-    "overall_weighted_recall": "['results']['paper_tau_0.85'].overall_weighted_recall",
-    "baseline_weighted_recall": "baseline_text_only.overall_weighted_recall",
-    "branch1_mean_ms": "latency_ms.branch1_mean", "branch2_mean_ms": "latency_ms.branch2_mean"}
+METRIC_PATHS, PII_METRIC_PATHS = fv.METRIC_PATHS, fv.PII_METRIC_PATHS
 COUNTED = ("users", "test_sessions", "test_positives", "gold_entities")
 
 

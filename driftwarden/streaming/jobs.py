@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed_values as fv
 from ..functions import scores
-from ..plans.event_scoring import ServingModel, score_events
+from ..plans.event_scoring import ServingModel, prepare, score_events
 
 
 def event_time(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -77,11 +77,25 @@ def ewma_updates(sessions: DataFrame, value: str, lam: float = fv.EWMA_LAMBDA, k
               "ewma_deviation double", "state double, folded long", "append", GroupStateTimeout.NoTimeout)
 
 
+PARTS = 32
+
+
+def _looked_up(events: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Stream-static left join by a key of which a few values, not known beforehand, may hold most events.
+
+    Every event goes to one of `PARTS` parts of its key by a hash of the whole event, and the table's rows go to all of them; a
+    table that is small enough is broadcast by Spark instead.
+    """
+    part = F.pmod(F.xxhash64(*[c for c, t in events.dtypes if not t.startswith("map")]), F.lit(PARTS)).cast("int")
+    parts = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return events.withColumn("_part", part).join(parts, [key, "_part"], "left").drop("_part")
+
+
 def score_stream(events: DataFrame, baselines: DataFrame, sensitivity: Column, rate: Column,
                  beta: float = fv.SBRS_BETA, full_scale: float = 8.0) -> DataFrame:
     """Stream-static scoring: each event against its user's stored baseline; the deviation
     over `full_scale`, clipped to 0..1, is the behaviour score."""
-    joined = events.join(baselines.select("user_id", "ewma_baseline"), "user_id", "left")
+    joined = _looked_up(events, baselines.select("user_id", "ewma_baseline"), "user_id")
     dev = scores.ewma_deviation(rate, F.col("ewma_baseline"))
     a = F.coalesce(scores.clamp(dev / F.lit(full_scale), 0.0, 1.0), F.lit(0.0))
     out = joined.withColumn("sbrs_value", scores.sbrs(sensitivity, a, beta))
@@ -93,13 +107,17 @@ def score_with_model(events: DataFrame, model: ServingModel, baselines: DataFram
                      **trigger) -> StreamingQuery:
     """Nested events scored by the model tables, a micro-batch at a time, into folders query=/batch= below `path`.
 
-    What is looked up per user (statistics, banks, baselines, homes) are tables, so a micro-batch only reads its
-    own events.  A batch that is run again replaces its folder; a new checkpoint is a new query.
+    What is looked up per user (statistics, banks, baselines, homes) is one stored table, made with the rest of the model before
+    the stream starts, so a micro-batch reads its own events, once, and that table.  A batch that is run again replaces its
+    folder; a new checkpoint is a new query.
     """
+    ready = prepare(model, baselines, homes)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        scored = score_events(batch, model, baselines, homes=homes)
-        scored.write.mode("overwrite").parquet(f"{path}/query={query_id}/batch={batch_id}")
+        batch.persist()
+        score_events(batch, ready).write.mode("overwrite").parquet(f"{path}/query={query_id}/batch={batch_id}")
+        batch.unpersist()
 
     return (events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
-from driftwarden.functions import scores, text as tx
+from driftwarden.functions import scores, sql as sql_functions, text as tx
 from driftwarden.operators import enforcement, events as ev, ewma, frequent, joins
+from driftwarden.sources import payloads
 from registry import Book, fixtures as fx
 from registry.fixtures import r6
 
@@ -316,6 +317,66 @@ def time_parts(spark, sf_dir):
                     F.weekday("ts").alias("weekday"), index.cast("bigint").alias("hour_index"))
 
 
+# --- the same in SQL, and ad-hoc payloads ----------------------------------------------------
+def by_sql(spark, sf_dir, text):
+    """A query in Spark SQL over the activity rows, with the registered functions."""
+    sql_functions.register(spark)
+    return spark.sql(text, activity=fx.activity(spark, sf_dir))
+
+
+@query("sql_sensitivity_scores", book.ORACLE["sensitivity_scores"])
+def sql_sensitivity_scores(spark, sf_dir):
+    return by_sql(spark, sf_dir, """SELECT event_id, score, category_action(sensitivity_category(score)) AS action
+        FROM (SELECT event_id, sensitivity_score(k % 7, k % 5, k) AS score FROM {activity})""")
+
+
+@query("sql_risk_scores", book.ORACLE["risk_scores"])
+def sql_risk_scores(spark, sf_dir):
+    return by_sql(spark, sf_dir, """SELECT event_id, half_even(v, 4) AS sbrs_value, risk_category(v) AS sbrs_category,
+        risk_action(v) AS enforcement_action, s AS sensitivity_score FROM (SELECT event_id, s, risk_value(s, k / 99D) AS v
+            FROM (SELECT event_id, k, least(100, CAST(value AS INT)) AS s FROM {activity}))""")
+
+
+@query("sql_wilson_intervals", book.ORACLE["wilson_intervals"])
+def sql_wilson_intervals(spark, sf_dir):
+    return by_sql(spark, sf_dir, """SELECT user_id, round(i.low, 6) AS lo, round(i.high, 6) AS hi
+        FROM (SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS k FROM {activity} GROUP BY user_id) u, LATERAL wilson_interval(u.k, u.n) i""")
+
+
+@query("sql_ewma_steps", """SELECT event_id, round_even((3e-1 * value + 7e-1 * b) * 1e4, 0) / 1e4 AS ewma_score, (value - b) / greatest(b, 1e-6) > 25e-1 AS ewma_flagged,
+    round(greatest(0e0, least(1e1, CASE WHEN value <> 0 AND b <> 0 THEN value / b ELSE 1e0 END)), 6) AS activity_rate
+    FROM events JOIN (SELECT user_id, round(avg(value), 2) AS b FROM events GROUP BY user_id) USING (user_id)""")
+def sql_ewma_steps(spark, sf_dir):
+    """Every event against its user's mean."""
+    return by_sql(spark, sf_dir, """WITH base AS (SELECT user_id, round(avg(value) * 100D) / 100D AS b FROM {activity} GROUP BY user_id)
+        SELECT event_id, half_even(ewma_step(value, b), 4) AS ewma_score, ewma_deviation(value, b) > 2.5D AS ewma_flagged,
+               round(activity_ratio(value, b), 6) AS activity_rate FROM {activity} JOIN base USING (user_id)""")
+
+
+@query("sql_actions_per_user", """SELECT user_id, a AS action, count(*) AS n, round(max(v), 6) AS worst FROM (SELECT user_id, v,
+    CASE WHEN v >= 184e-2 THEN 'BLOCK' WHEN v >= 122e-2 THEN 'ALERT' ELSE 'PERMIT' END AS a FROM (
+    SELECT user_id, least(1e2, value) * (1e0 + 3e0 * CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) / 99e0) / 1e2 AS v FROM events)) GROUP BY 1, 2""")
+def sql_actions_per_user(spark, sf_dir):
+    """Actions per user at another weight of behaviour, given by name."""
+    return by_sql(spark, sf_dir, """SELECT user_id, risk_action(v) AS action, count(*) AS n, round(max(v), 6) AS worst
+        FROM (SELECT user_id, risk_value(least(100D, value), k / 99D, beta => 3D) AS v FROM {activity}) GROUP BY ALL""")
+
+
+@query("payload_pii_results", esql("""SELECT event_id, branch, h AS high_count, m AS medium_count, l AS low_count, score AS sensitivity_score,
+    CASE WHEN k % 4 = 0 THEN 'trace,zone' ELSE 'trace' END AS unknown, CAST(substr(event_id, 5) AS BIGINT) AS trace_id FROM scan""", "scan"))
+def payload_pii_results(spark, sf_dir):
+    """Events as JSON payloads with unknown fields and mistyped ones, parsed once as VARIANT and scored."""
+    d = documents(spark, sf_dir, profiled=False)
+    k = F.regexp_extract("request.file_name", "([0-9]+)$", 1).cast("int")
+    odd = F.struct(F.struct(F.substring("event_id", 5, 20).cast("bigint").alias("id")).alias("trace"), F.when(k % 4 == 0, "eu").alias("zone"),
+                   F.when(k % 3 == 0, F.array(F.lit(1))).alias("timestamp"), *[c for c in d.columns if c != "timestamp"])
+    rows = payloads.events_of(payloads.parsed(d.select(F.to_json(odd).alias("payload"))))
+    cols = ev.pii_columns()
+    return rows.select("event_id", cols["branch"].alias("branch"), *[cols[c].cast("int").alias(c) for c in ("high_count", "medium_count", "low_count", "sensitivity_score")],
+                       F.array_join(payloads.unknown_fields(F.col("payload")), ",").alias("unknown"),
+                       payloads.field(F.col("payload"), "$.trace.id", "bigint").alias("trace_id"))
+
+
 # --- per-user context ----------------------------------------------------------------------
 @query("horizon_baselines", esql("""SELECT user_id, time_window, lam AS "lambda", round(baseline_ewma, 6) AS baseline_ewma,
     round(current_ewma, 6) AS current_ewma, round(deviation_ratio, 6) AS deviation_ratio,

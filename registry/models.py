@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
-from driftwarden.operators import forest, scoring, sessions
+from driftwarden.operators import forest, frequent, scoring, sessions
 from driftwarden.plans import event_scoring, session_training
 from driftwarden.session import cut_lineage, shared_dir
 from driftwarden.sources import tables
@@ -119,7 +119,8 @@ def event_scores(spark, sf_dir):
     def named(df):
         return df.withColumn("user_id", F.format_string("USR%03d", "user_id"))
     model.user_stats, model.banks = named(model.user_stats), named(model.banks)
-    out = event_scoring.score_events(event_docs.documents(spark, sf_dir), model, event_docs.baselines(spark, sf_dir))
+    events, sketched = frequent.stage_with_sketches(event_docs.documents(spark, sf_dir), "events", ["request.user_id"])
+    out = event_scoring.score_events(events, model, event_docs.baselines(spark, sf_dir), sketched=sketched)
     return out.select("event.event_id", "pii.sensitivity_score", "anomaly.hybrid_anomaly_score", "anomaly.ewma_flagged",
                       "anomaly.hybrid_flagged", "sbrs.sbrs_value", "sbrs.enforcement_action")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
 from driftwarden.functions import vectors
-from driftwarden.operators import events as ev, forest, scoring, sessions
+from driftwarden.operators import events as ev, forest, frequent, scoring, sessions
 from driftwarden.plans import event_scoring, session_training
 from driftwarden.session import shared_dir, stage_table
 from driftwarden.streaming import jobs
@@ -161,8 +161,9 @@ REPORTED = ("event.event_id", "pii.sensitivity_score", "anomaly.lstm_score", "an
 
 
 def ruled_scores(spark, sf_dir, encoded: bool):
-    out = event_scoring.score_events(event_docs.documents(spark, sf_dir), ruled_model(spark, sf_dir, encoded),
-                                     event_docs.baselines(spark, sf_dir), history=earlier_hours(spark, sf_dir))
+    events, sketched = frequent.stage_with_sketches(event_docs.documents(spark, sf_dir), "events", ["request.user_id"])
+    out = event_scoring.score_events(events, ruled_model(spark, sf_dir, encoded), event_docs.baselines(spark, sf_dir),
+                                     history=earlier_hours(spark, sf_dir), sketched=sketched)
     return out.select(*REPORTED)
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores
 from driftwarden.plans import risk_calibration
-from driftwarden.operators import enforcement, ordering, reports, scoring, sessions, tuning
+from driftwarden.operators import enforcement, ordering, reports, scoring, sessions, sketches, tuning
+from driftwarden.session import shared_dir, stage_table
+from driftwarden.sources import store
 from registry import Book, fixtures as fx
 from registry.fixtures import r6, sql
 
@@ -133,7 +137,25 @@ def output_constraints(spark, sf_dir):
         "hybrid_correct": broken(4, ~F.col("hybrid_correct"), F.col("hybrid_correct")),
         "ewma_anomaly_flagged": broken(5, ~F.col("ewma_flag"), F.col("ewma_flag")), "hybrid_anomaly_flagged": F.col("hybrid_flag")})
     rules = {k: make() for k, make in enforcement.CONSTRAINTS.items()}
-    return enforcement.violations(s, {**rules, "calls_at_least_two": F.col("calls") >= 2})
+    return enforcement.stage_checked(s, "emitted", {**rules, "calls_at_least_two": F.col("calls") >= 2})[1]
+
+
+@query("partition_refresh", osql("""SELECT user_id, hour_index, round_even(v * 1e4, 0) / 1e4 AS sbrs_value,
+    CASE WHEN v >= 184e-2 THEN 'HIGH-RISK' WHEN v >= 122e-2 THEN 'SENSITIVE' ELSE 'SAFE' END AS sbrs_category,
+    CASE WHEN v >= 184e-2 THEN 'BLOCK' WHEN v >= 122e-2 THEN 'ALERT' ELSE 'PERMIT' END AS hybrid_action
+    FROM (SELECT *, s * (1e0 + 25e-1 * a_hybrid) / 100e0 AS v FROM all4)""", "all4"))
+def partition_refresh(spark, sf_dir):
+    """A table partitioned by split, of which the test part holds outdated risk values; only that part is written again."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+
+    def recompute(df):
+        return enforcement.refresh_risk(df, "s", "a_hybrid")
+
+    right = recompute(stored(spark, sf_dir)).select("user_id", "hour_index", "split", "s", "a_hybrid", "sbrs_value", "sbrs_category", "hybrid_action")
+    stale = right.withColumn("sbrs_value", F.when(F.col("split") == "test", F.col("sbrs_value") + 1).otherwise(F.col("sbrs_value")))
+    store.create(stale, path, ["split"])
+    store.refresh(spark, path, ["split"], recompute)
+    return spark.read.parquet(path).select("user_id", "hour_index", "sbrs_value", "sbrs_category", "hybrid_action")
 
 
 # --- confusion tables ----------------------------------------------------------------
@@ -331,6 +353,18 @@ def latency_summary(spark, sf_dir):
     return rounded(out, "mean_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms")
 
 
+@query("latency_from_sketches", """SELECT user_id, count(*) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max,
+    round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95 FROM events
+    WHERE ts >= (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL 3 DAY GROUP BY user_id""")
+def latency_from_sketches(spark, sf_dir):
+    """Latencies per user over a range of days, from a stored table of sketches per user and day, without the events."""
+    e = fx.activity(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts"))
+    parts = stage_table(sketches.sketched(e, ["value"], ["user_id", "day"]), "sketches")
+    start = parts.agg(F.min("day") + F.expr("INTERVAL 3 DAY")).scalar()
+    users = sketches.merged(parts.filter(F.col("day") >= start), ["value"], ["user_id"])
+    return rounded(sketches.report(users, "value", {"p50": 0.5, "p95": 0.95}, ["user_id"]).drop("mean"), "min", "max", "p50", "p95")
+
+
 @query("joint_summary", osql("""SELECT g AS "group", count(*) AS n, round(avg(s), 6) AS mean_s, round(avg(a_hybrid), 6) AS mean_a FROM (
     SELECT s, a_hybrid, unnest(list_filter([CASE WHEN NOT is_true_threat AND NOT is_benign_burst THEN 'normal benign' END,
     CASE WHEN is_benign_burst THEN 'benign burst' END, CASE WHEN is_true_threat THEN 'threat' END], lambda x: x IS NOT NULL)) AS g

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwarden import fixed_values as fv
-from driftwarden.operators import scoring
+from driftwarden.operators import events as ev, scoring
 from driftwarden.plans import event_scoring
 from driftwarden.sources import layouts, tables
 
@@ -71,7 +71,7 @@ def test_alpha_and_beta_override(model, events, baselines):
 def test_unseen_users_take_global_bank(spark, model, events, baselines):
     stats, bank = event_scoring.fallback_context(model)
     assert stats.first().sd == [1.0] * 6 and len(bank.first().bank) == 13 <= fv.GLOBAL_BANK_CAP
-    assert event_scoring.user_context(model, baselines, events).filter(F.col("user_id") == "USR002").first().bank == [[0, 0, 0, 1.0, 0, 0]]
+    assert event_scoring.user_context(model, baselines, ev.home_of_users(events)).filter(F.col("user_id") == "USR002").first().bank == [[0, 0, 0, 1.0, 0, 0]]
 
 
 def coded(spark, model, codes, weights=None):
