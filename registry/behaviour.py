@@ -116,7 +116,7 @@ def global_fallback_stats(spark, sf_dir):
 
 @query("global_scaler", sql("SELECT user_id, hour_index, " + ", ".join(
     f"round(({c} - mu_{i}) / CASE WHEN sd_{i} = 0 THEN 1 ELSE sd_{i} END, 6) AS g_{i}"
-    for i, c in enumerate(fv.FEATURES)) + " FROM feat, gscal WHERE active", "feat", "gscal"))
+    for i, c in enumerate(fv.FEATURES)) + " FROM afeat, ascal", "afeat", "ascal"))
 def global_scaler(spark, sf_dir):
     f = fx.features(spark, sf_dir)
     out = sessions.global_frame(f, sessions.global_scaler(f), f.filter("active"))

@@ -248,6 +248,15 @@ SQL = {
         CASE WHEN active THEN collaboration_density ELSE 0e0 END AS collaboration_density,
         CASE WHEN active THEN coalesce(gap, med, 36e2) ELSE 0e0 END AS time_gap_sec
         FROM gaps JOIN medgap USING (user_id)""",
+    "agap": """SELECT *, coalesce(sum(calls) OVER (PARTITION BY user_id ORDER BY hour_index RANGE BETWEEN 168 PRECEDING AND 1 PRECEDING), 0) AS past,
+        (hour_index - lag(hour_index) OVER (PARTITION BY user_id ORDER BY hour_index)) * 36e2 AS gap FROM lab""",
+    "afeat": """SELECT user_id, hour_index, in_fit, greatest(0e0, least(1e1, calls / greatest(CASE WHEN hour_index > 0
+            THEN past / CAST(least(hour_index, 168) AS DOUBLE) ELSE 1e0 END, 25e-2))) AS activity_rate,
+        CASE file_class WHEN 'public' THEN 0e0 WHEN 'internal' THEN 1e0 / 3e0 WHEN 'confidential' THEN 2e0 / 3e0 ELSE 1e0 END AS file_type_category,
+        geo_index, CASE endpoint_class WHEN 'read' THEN 0e0 WHEN 'write' THEN 25e-2 WHEN 'share' THEN 5e-1 WHEN 'delete' THEN 75e-2
+            ELSE 1e0 END AS endpoint_operation, permission_scope_delta, collaboration_density FROM agap""",
+    "ascal": "SELECT " + ", ".join(f"avg({c}) AS mu_{i}, stddev_pop({c}) AS sd_{i}" for i, c in enumerate(fv.FEATURES))
+             + " FROM afeat WHERE in_fit",
     "pstats": "SELECT user_id, " + ", ".join(
         f"avg(CASE WHEN in_fit{'' if i == 0 else ' AND active'} THEN {c} END) AS mu_{i}, "
         f"greatest(stddev_pop(CASE WHEN in_fit{'' if i == 0 else ' AND active'} THEN {c} END), 5e-2) AS sd_{i}"

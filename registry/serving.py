@@ -80,7 +80,7 @@ def _forest_sql(g):
 
 @query("isolation_by_rule", fx.sql(f"SELECT user_id, hour_index, round({_forest_sql('g')}, 6) AS raw_if FROM (SELECT user_id, hour_index, ["
        + ", ".join(f"({c} - mu_{i}) / CASE WHEN sd_{i} = 0 THEN 1 ELSE sd_{i} END" for i, c in enumerate(fv.FEATURES))
-       + "] AS g FROM feat, gscal WHERE active)", "feat", "gscal"))
+       + "] AS g FROM afeat, ascal)", "afeat", "ascal"))
 def isolation_by_rule(spark, sf_dir):
     """Every active session scored by a stored forest."""
     f = fx.features(spark, sf_dir)
