@@ -18,7 +18,7 @@ from .. import fixed_values as fv
 from ..functions import scores, vectors
 from ..session import stage_table
 
-BLOCK, FAN, LEVELS = 512, 512, 2
+BLOCK, FAN, LEVELS = 512, 512, 1
 
 
 def _composed(kids: Column) -> tuple[Column, Column]:
@@ -67,7 +67,7 @@ def steps(df: DataFrame, value: str, key: str = "user_id", order: str = "hour_in
 
     The first row of a key seeds the state and has deviation 0.  `order` must be an integer time step, unique within the key; rows
     without key or value are left out.  `lam` may name a column that is constant per key.  Series that cover more than
-    block * fan ** levels steps (15,000 years of hours) should pass more levels.  `df` is evaluated once, and its blocks are
+    block * fan ** levels steps (30 years of hours) many times should pass more levels.  `df` is evaluated once, and its blocks are
     written to a stage table.  `per_block` names further
     columns with an aggregate each, whose value for the block comes with every row.
     """

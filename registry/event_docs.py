@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftwarden import fixed_values as fv
 from driftwarden.functions import scores, sql as sql_functions, text as tx
 from driftwarden.operators import enforcement, events as ev, ewma, frequent, joins
+from driftwarden.session import spread
 from driftwarden.sources import payloads
 from registry import Book, fixtures as fx
 from registry.fixtures import r6
@@ -28,7 +29,7 @@ def documents(spark, sf_dir, profiled=True):
     """Events with every optional part missing somewhere; those that need no field of the user's profile don't look it up."""
     a = fx.activity(spark, sf_dir)
     if profiled:
-        return nested(joins.lookup_join(a, fx.profiles(spark, sf_dir).select("user_id", *PROFILE), "user_id", by=["event_id"]))
+        return nested(joins.lookup_join(spread(a), fx.profiles(spark, sf_dir).select("user_id", *PROFILE), "user_id", by=["event_id"]))
     return unprofiled(a).drop("activity_user")
 
 
@@ -437,7 +438,7 @@ def with_context(spark, sf_dir):
     known = ev.baseline_of_users(baselines(spark, sf_dir)).join(ev.home_of_counts(counts), "user_id", "full")
     known = known.select(F.substring("user_id", 4, 20).cast("bigint").alias("user_id"), "ewma_baseline", F.col("home").alias("habit"))
     users = fx.profiles(spark, sf_dir).select("user_id", *PROFILE).join(known, "user_id", "full")
-    rows = joins.lookup_join(a, users, "user_id", sketched=sketched.withColumnRenamed("activity_user", "user_id"), by=["event_id"])
+    rows = joins.lookup_join(spread(a), users, "user_id", sketched=sketched.withColumnRenamed("activity_user", "user_id"), by=["event_id"])
     named = F.col("k") != 99
     return nested(rows, F.when(named, F.col("ewma_baseline")).alias("ewma_baseline"), F.when(named, F.col("habit")).alias("home"))
 
