@@ -96,10 +96,12 @@ def parsed(parts: DataFrame, key: str, schema: str) -> DataFrame:
 
 def read_events_document(spark: SparkSession, path: str, range_bytes: int = json_parts.RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(events, metadata) of JSON documents holding both top-level keys; a document of any size is read by many tasks."""
-    parts, keys = json_parts.json_parts(spark, path, ["events"], ["log_metadata"], range_bytes)
+    ranges, keys = json_parts.whole_documents(spark, path, range_bytes)
     if not any({"log_metadata", "events"} <= found for found in keys.values()):
         raise ValueError("events document lacks 'log_metadata' or 'events'")
-    return parsed(parts, "events", f"struct<{layouts.EVENT_FIELDS}>"), parsed(parts, "log_metadata", layouts.METADATA)
+    events = json_parts.parts_of(spark, ranges, items=["events"], range_bytes=range_bytes)
+    metadata = json_parts.parts_of(spark, ranges, values=["log_metadata"], range_bytes=range_bytes)     # the events' text is not read for it
+    return parsed(events, "events", f"struct<{layouts.EVENT_FIELDS}>"), parsed(metadata, "log_metadata", layouts.METADATA)
 
 
 def read_event_lines(spark: SparkSession, path: str) -> DataFrame:

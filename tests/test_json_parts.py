@@ -82,3 +82,13 @@ def test_broken_objects_and_files_of_a_folder(spark, tmp_path):
     (tmp_path / "_SUCCESS").write_text("")
     events, metadata = tables.read_events_document(spark, str(tmp_path), 16)
     assert sorted(r.event_id for r in events.collect()) == ["a", "b"] and sorted(r.run_id for r in metadata.collect()) == ["x", "y"]
+
+
+def test_small_documents_share_a_task(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i:02}.json").write_text(json.dumps({"log_metadata": {"run_id": f"r{i}"}, "events": [{"event_id": f"e{i}"}, {"event_id": f"f{i}"}]}))
+    events, metadata = tables.read_events_document(spark, str(tmp_path))
+    assert events.rdd.getNumPartitions() == metadata.rdd.getNumPartitions() == 1
+    assert sorted(r.event_id for r in events.collect()) == sorted(f"{c}{i}" for c in "ef" for i in range(60))
+    assert metadata.select("run_id").distinct().count() == 60
+    assert [len(p.ranges) for p in jp.packed([jp.Range("a", 0, n) for n in (3, 4, 2, 9, 1, 1)], 8)] == [2, 1, 1, 2]
