@@ -190,11 +190,13 @@ def streamed_ordered_ewma(spark, sf_dir):
     closes the last hours."""
     root = folder(spark, "ordered_ewma")
     hourly = fx.hourly(spark, sf_dir).select("user_id", F.col("timestamp").alias("hour"), "x")
+    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)      # of a delivery
     for i in range(3):
-        hourly.filter(F.pmod(F.xxhash64("user_id", "hour"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        delivery = hourly.filter(F.pmod(F.xxhash64("user_id", "hour"), F.lit(3)) == i)
+        delivery.repartition(files, "user_id", "hour").write.mode("append").parquet(f"{root}/in")
     end = hourly.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("hour") + F.expr("INTERVAL 1 YEAR")).alias("hour"), F.lit(0.0).alias("x"))
     end.select(*[F.col(c).cast(t).alias(c) for c, t in hourly.dtypes]).write.mode("append").parquet(f"{root}/in")
-    src = spark.readStream.schema(hourly.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    src = spark.readStream.schema(hourly.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     with keyed_state(spark):
         updates = ordered_ewma(src, "x", delay="200 days", idle_days=1000)
         jobs.to_table(updates, f"{root}/out", f"{root}/checkpoint").awaitTermination()
