@@ -152,3 +152,18 @@ def test_banks_are_the_windows_that_sessions_meet(spark):
         every.select(F.col("user_id").alias("_of"), "hour_index", "code"), codes.select(F.col("user_id").alias("_of"), "code"), "_of", "code", ["hour_index"]).collect()}
     want = {(r.user_id, r.hour_index): r.raw for r in scoring.session_bank_scores(frame, cap=5).collect()}
     assert again == pytest.approx(want)
+
+
+def test_deliveries_have_many_files(spark, sf):
+    """Three deliveries, each dealt over files, so that no task writes or reads a whole one."""
+    import glob
+
+    from driftwarden.session import shared_dir
+    from registry import serving
+
+    pattern = shared_dir(spark).removeprefix("file:") + "/stream-*/events"
+    before = set(glob.glob(pattern))
+    assert serving.streamed_event_scores(spark, sf).count() == 1000
+    (made,) = set(glob.glob(pattern)) - before
+    files = glob.glob(f"{made}/*.parquet")
+    assert 3 < len(files) <= 6 and len(glob.glob(f"{made}/../checkpoint/commits/[0-9]*")) == 3
