@@ -127,12 +127,11 @@ def home_of_users(events: DataFrame, order: str = "event_id") -> DataFrame:
     return home_of_counts(origin_counts(events, order))
 
 
-def feature_columns(collab: Column) -> dict[str, Column]:
+def feature_columns(collab: Column, *places) -> dict[str, Column]:
     """The six behavioural features of an event, rounded to 4 dp.  Expects `ewma_baseline` and
-    `home` next to the event."""
+    `home` next to the event; `places` are columns with its and the home's latitude and longitude, if they were looked up before."""
     r = "request."
-    lat, lon = (scores.city_coord(f"{r}geo_location", i) for i in (0, 1))
-    home_lat, home_lon = (scores.city_coord("home", i) for i in (0, 1))
+    lat, lon, home_lat, home_lon = places or (scores.city_coord(g, i) for g in (f"{r}geo_location", "home") for i in (0, 1))
     raw = (scores.activity_ratio(f"{r}activity_rate_per_hour", "ewma_baseline"),
            scores.file_class_of_sensitivity("pii_detection.sensitivity_score"),
            scores.geo_index(lat, lon, home_lat, home_lon), scores.endpoint_of_action(f"{r}api_action"),

@@ -170,6 +170,10 @@ def capped_sample(df: DataFrame, key_cols: Sequence[str], by: Sequence[str], cap
         order = Window.partitionBy(*partition).orderBy("_digest", *key_cols)
         return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap).drop("_rn")
 
-    if not bounded_groups:
+    if not by:
+        # whole rows are ranked once the largest digest to be kept is known, which takes the keys only
+        slim = rows.select("_digest", *key_cols).withColumn("_slice", F.pmod(F.xxhash64("_digest"), F.lit(SLICES)))
+        rows = rows.filter(F.col("_digest") <= best(best(slim, "_slice"), *groups).agg(F.max("_digest")).scalar())
+    elif not bounded_groups:
         rows = best(rows.withColumn("_slice", F.pmod(F.xxhash64("_digest"), F.lit(SLICES))), *groups, "_slice").drop("_slice")
     return best(rows, *groups).drop("_digest")

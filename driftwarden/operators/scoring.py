@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
@@ -17,39 +21,76 @@ CHUNK_ROWS = 20_000
 
 
 def memory_bank_scores(queries: DataFrame, bank: DataFrame, key: str, vector: str, ids: list[str],
-                       k: int = fv.TOPK, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                       k: int = fv.TOPK, chunk_rows: int = CHUNK_ROWS, keys: DataFrame | None = None) -> DataFrame:
     """(ids, key, raw) with raw = 1 - mean of the k largest cosines with the key's bank; 0 for
     an empty bank or a key without one.
 
     Queries of a key are cut into chunks of about `chunk_rows` and each chunk meets a copy of
     the key's bank, whose size is capped (see `capped_sample`).  A key with a third of all
-    queries is thus spread over many tasks, and no (query, bank row) pairs are shuffled.
+    queries is thus spread over many tasks, and no (query, bank row) pairs are shuffled.  In a
+    sorted partition a chunk's bank comes before its queries, so many small keys share an Arrow batch.
+
+    `keys` holds the queries' keys, row by row, where they can be had without the vectors.
     """
-    from .joins import lookup_join
-
-    chunks = (queries.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_chunks"))
-              .filter(F.col("_chunks") > 1))
-    narrow = lookup_join(queries.select(key, *ids, vector), chunks, key)
-    pick = F.pmod(F.xxhash64(*ids), F.coalesce("_chunks", F.lit(1))).cast("int")
-    left = narrow.select(key, pick.alias("_chunk"), *ids, F.col(vector).cast("array<double>").alias("_v"))
-    copies = F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)
-    right = (bank.select(key, F.col(vector).cast("array<double>").alias("_v")).join(chunks, key, "left")
-             .select(F.col(key).alias("_key"), F.explode(copies).alias("_copy"), F.col("_v").alias("_b")))
-
-    def unit_rows(col: pd.Series) -> np.ndarray:
-        m = np.stack(col.tolist())
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-
-    def score(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        raw = np.zeros(len(q))
-        if len(q) and len(b):
-            raw = bank_distance(unit_rows(q["_v"]), unit_rows(b["_b"]), k)
-        return q[[*ids, key]].assign(raw=raw)
-
-    kinds = dict(queries.dtypes)
+    # at most rows / chunk_rows of the keys
+    chunks = F.broadcast((queries if keys is None else keys).groupBy(key)
+                         .agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_chunks")).filter(F.col("_chunks") > 1))
+    kinds, most = dict(queries.dtypes), F.coalesce("_chunks", F.lit(1))
+    pick = F.pmod(F.xxhash64(*ids), most).cast("int")
+    own = F.col(vector).cast("array<double>").alias("_v")
+    left = queries.join(chunks, key, "left").select(key, pick.alias("_chunk"), F.lit(False).alias("_bank"), *ids, own)
+    right = bank.join(chunks, key, "left").select(
+        F.col(key).cast(kinds[key]).alias(key), F.explode(F.sequence(F.lit(0), most - 1)).alias("_chunk"), F.lit(True).alias("_bank"),
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in ids], own)
+    rows = hash_spread(left.union(right), key, "_chunk").sortWithinPartitions(key, "_chunk", F.desc("_bank"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, unit = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begins = _group_starts(batch, (key, "_chunk"), last)
+            last = batch.slice(batch.num_rows - 1)
+            is_bank = batch["_bank"].to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero(np.r_[True, is_bank[1:] != is_bank[:-1]] | begins)
+            raw = np.zeros(batch.num_rows)
+            for a, b in zip(turns, np.r_[turns[1:], batch.num_rows]):
+                if begins[a]:
+                    parts, unit = [], None
+                if is_bank[a]:
+                    parts.append(_unit_rows(batch["_v"].slice(a, b - a)))
+                    continue
+                unit = np.concatenate(parts) if unit is None and parts else unit
+                mine = _unit_rows(batch["_v"].slice(a, b - a))
+                if unit is not None:
+                    raw[a:b] = bank_distance(mine, unit, k)
+            done = batch.select([*ids, key]).append_column("raw", pa.array(raw))
+            yield done.filter(pa.array(~is_bank))
+
     out = ", ".join(f"`{c}` {kinds[c]}" for c in [*ids, key]) + ", raw double"
-    return (hash_spread(left, key, "_chunk").groupBy(key, "_chunk")
-            .cogroup(hash_spread(right, "_key", "_copy").groupBy("_key", "_copy")).applyInPandas(score, out))
+    return rows.mapInArrow(score, out)
+
+
+def _group_starts(batch: pa.RecordBatch, columns: tuple, last: pa.RecordBatch | None) -> np.ndarray:
+    """Which rows of a sorted batch differ from the row before them, the first one from `last`."""
+    out = np.zeros(batch.num_rows, bool)
+    out[0] = last is None
+    for name in columns:
+        now = batch[name] if last is None else pa.concat_arrays([last[name], batch[name]])
+        a, b = now.slice(0, len(now) - 1), now.slice(1)
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+        differ = pc.or_(differ, pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+        out[len(out) - len(differ):] |= differ
+    return out
+
+
+def _unit_rows(vectors: pa.ListArray) -> np.ndarray:
+    """The lists of an array as rows of a matrix, scaled to length 1."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if vectors.null_count or (sizes != sizes[0]).any():
+        raise ValueError("the vectors of a key differ in length, or are missing")
+    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), sizes[0])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
 
 def bank_distance(h: np.ndarray, bank: np.ndarray, k: int) -> np.ndarray:
@@ -154,14 +195,32 @@ def weight_table(spark, weights: dict[str, np.ndarray]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, row int, values array<double>")
 
 
+def nested_rows(windows: pa.Array) -> np.ndarray:
+    """(n, steps, features) of an Arrow array of lists of lists, all of one shape."""
+    if len(windows) == 0:
+        return np.zeros((0, fv.SEQ_LEN, 1))
+    steps, vectors = np.diff(windows.offsets.to_numpy()), windows.flatten()
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if windows.null_count or vectors.null_count or (steps != steps[0]).any() or (sizes != sizes[0]).any():
+        raise ValueError("windows differ in shape, or are missing")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(windows), steps[0], sizes[0])
+
+
+def list_rows(m: np.ndarray) -> pa.Array:
+    """An Arrow array of lists, or of lists of lists, from a matrix or a stack of them."""
+    out = pa.array(np.ascontiguousarray(m, dtype=float).ravel())
+    for axis in range(m.ndim - 1, 0, -1):
+        out = pa.ListArray.from_arrays(np.arange(0, len(out) + 1, m.shape[axis], dtype=np.int32), out)
+    return out
+
+
 def encode_windows(df: DataFrame, window: str, weights: dict[str, np.ndarray]) -> DataFrame:
     """Adds `encoded`, the LSTM's last hidden state, vectorised over Arrow batches."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("array<double>")
-    def encode(col: pd.Series) -> pd.Series:
-        stacked = np.stack([np.stack(w) for w in col]) if len(col) else np.zeros((0, fv.SEQ_LEN, 1))
-        return pd.Series(list(_encode(stacked, shared.value)))
+    @F.arrow_udf("array<double>")
+    def encode(col: pa.Array) -> pa.Array:
+        return list_rows(_encode(nested_rows(col), shared.value)) if len(col) else pa.array([], pa.list_(pa.float64()))
 
     return df.withColumn("encoded", encode(F.col(window)))
 

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import fixed_values as fv
 from ..functions import scores, vectors
@@ -60,19 +63,33 @@ def _windows(rows: DataFrame, history: DataFrame | None) -> DataFrame:
     still = F.array_repeat(F.lit(0.0), WIDTH)
     if history is None:
         return rows.withColumn("_window", F.concat(F.array_repeat(still, fv.SEQ_LEN - 1), F.array("_z")))
+    # sorted, so that of an hour's rows the largest comes last
     hours = (history.filter(F.col("hours_before").between(1, fv.SEQ_LEN - 1))
-             .groupBy("event_id", F.col("hours_before").cast("int").alias("hours_before"))
-             .agg(F.max(F.array(*[F.col(c).cast("double") for c in fv.SERVING_FEATURES])).alias("x"))
-             .groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("hours_before", "x"))).alias("_past")))
+             .select("event_id", F.struct(F.col("hours_before").cast("int").alias("t"), *[F.col(c).cast("double").alias(c) for c in fv.SERVING_FEATURES])
+                     .alias("past"))
+             .groupBy("event_id").agg(F.sort_array(F.collect_list("past")).alias("_past")))
     rows = rows.join(hours, "event_id", "left")        # one row per event on either side
-
-    def placed(t):
-        x = F.try_element_at("_past", t)
-        return F.when(x.isNull(), still).otherwise(F.array(*[F.coalesce(scores.zscore(x[i], F.col("_mu")[i], F.col("_sd")[i]), F.lit(0.0))
-                                                             for i in range(WIDTH)]))
-
-    past = F.transform(F.sequence(F.lit(fv.SEQ_LEN - 1), F.lit(1), F.lit(-1)), placed)
-    return rows.withColumn("_window", F.concat(past, F.array("_z"))).drop("_past")
+    unknown = F.array_repeat(F.lit(None).cast("double"), WIDTH)
+    filled = _filled_window("_past", F.coalesce("_mu", unknown), F.coalesce("_sd", unknown), "_z")
+    return rows.withColumn("_window", filled).drop("_past")
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _filled_window(past: pa.Array, mu: pa.Array, sd: pa.Array, now: pa.Array) -> pa.Array:
+    """Windows of z vectors from the hours before the events; a value that is not known is at the user's own level (0)."""
+    out = np.zeros((len(past), fv.SEQ_LEN, WIDTH))
+    event, hours = pc.list_parent_indices(past).to_numpy(), past.flatten()
+    x = np.column_stack([hours.field(c).to_numpy(zero_copy_only=False) for c in fv.SERVING_FEATURES])
+    missing = np.column_stack([hours.field(c).is_null().to_numpy(zero_copy_only=False) for c in fv.SERVING_FEATURES])
+    mean, spread = (c.flatten().to_numpy(zero_copy_only=False).reshape(len(past), WIDTH) for c in (mu, sd))
+    missing |= (mu.flatten().is_null().to_numpy(zero_copy_only=False) | sd.flatten().is_null().to_numpy(zero_copy_only=False)
+                ).reshape(len(past), WIDTH)[event]
+    with np.errstate(all="ignore"):
+        z = (x - mean[event]) / spread[event]
+    z = np.where(np.isnan(z), fv.Z_CLIP, np.clip(z, -fv.Z_CLIP, fv.Z_CLIP))      # as in `scores.clamp`, where NaN is above all numbers
+    out[event, fv.SEQ_LEN - 1 - hours.field("t").to_numpy(zero_copy_only=False).astype(int)] = np.where(missing, 0.0, z)
+    out[:, -1] = now.flatten().to_numpy(zero_copy_only=False).reshape(len(now), WIDTH)
+    return scoring.list_rows(out)
 
 
 def _coded_distance(rows: DataFrame, model: ServingModel, history: DataFrame | None) -> DataFrame:
@@ -90,8 +107,7 @@ def _coded_distance(rows: DataFrame, model: ServingModel, history: DataFrame | N
     everyone = ordering.capped_sample(model.codes, ["user_id", "hour_index"], [], fv.GLOBAL_BANK_CAP, 0)
     banks = (model.codes.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("_of"), "code")
              .union(everyone.select(F.lit("all").alias("_of"), "code")))
-    queries = stage_table(queries.select("_row", "_of", "code"), "event_codes")
-    raw = scoring.memory_bank_scores(queries, banks, "_of", "code", ["_row"])
+    raw = scoring.memory_bank_scores(queries.select("_row", "_of", "code"), banks, "_of", "code", ["_row"], keys=rows.select(bank_of.alias("_of")))
     return rows.join(raw.select("_row", F.col("raw").alias("raw_bank")), "_row").drop("_row")
 
 
@@ -158,8 +174,10 @@ def score_events(events: DataFrame, model: ServingModel | Prepared, baselines: D
     known = F.col("mu").isNotNull()
     rows = rows.withColumns({"_mu": F.when(known, F.col("mu")).otherwise(F.col("_g.mu")),
                              "_sd": F.when(known, F.col("sd")).otherwise(F.col("_g.sd"))})
-    feats = ev.feature_columns(F.col("_mu")[WIDTH - 1])
-    rows = rows.withColumns(feats)
+    # as columns of their own, the coordinates are looked up once and not wherever the distance needs them
+    places = {f"_{c}_{a}": scores.city_coord(g, i) for c, g in (("here", "request.geo_location"), ("home", "home")) for i, a in enumerate(("lat", "lon"))}
+    feats = ev.feature_columns(F.col("_mu")[WIDTH - 1], *places)
+    rows = rows.withColumns(places).withColumns(feats).drop(*places)
     rows = rows.withColumn("_z", F.array(*[scores.zscore(F.col(c), F.col("_mu")[i], F.col("_sd")[i])
                                            for i, c in enumerate(feats)]))
     rows = _coded_distance(rows, model, history) if coded else _tail_distance(rows, bank)

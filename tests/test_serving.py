@@ -167,3 +167,21 @@ def test_deliveries_have_many_files(spark, sf):
     (made,) = set(glob.glob(pattern)) - before
     files = glob.glob(f"{made}/*.parquet")
     assert 3 < len(files) <= 6 and len(glob.glob(f"{made}/../checkpoint/commits/[0-9]*")) == 3
+
+
+def test_windows_take_the_largest_of_an_hour_and_zero_for_what_is_missing(spark):
+    """In one pass of numpy: a window's hours are neither aggregated twice nor placed by an expression per hour and feature."""
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([("E1", [0.0] * 5 + [1.0], [0.5] * 5 + [None], [0.1] * 6), ("E2", [1.0] * 6, [2.0] * 6, [0.2] * 6), (None, [0.0] * 6, [1.0] * 6, [0.3] * 6)],
+                                 "event_id string, _mu array<double>, _sd array<double>, _z array<double>")
+    history = past(spark, [("E1", 1, 1.0, None, nan, 9.0, -9.0, 2.0), ("E1", 1, 0.5, 8.0, 8.0, 8.0, 8.0, 8.0), ("E1", 23, None, *[0.0] * 5), ("E1", 24, *[1.0] * 6),
+                           ("E2", 3, *[inf] * 6), ("E2", None, *[1.0] * 6), (None, 2, *[1.0] * 6)])
+    made = event_scoring._windows(rows, history)
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.event_id: np.array(r._window) for r in made.collect()}
+    want = {n: np.zeros((24, 6)) for n in ("E1", "E2", None)}
+    want["E1"][22] = [2.0, 0.0, 8.0, 8.0, -8.0, 0.0]
+    want["E2"][20] = 8.0
+    for n, z in (("E1", 0.1), ("E2", 0.2), (None, 0.3)):
+        want[n][23] = z
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n]) for n in want)
