@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import scores, vectors
-from ..session import stage_table
+from ..session import hash_spread, stage_table
 
 BLOCK, FAN, LEVELS = 512, 512, 1
 
@@ -82,7 +82,8 @@ def steps(df: DataFrame, value: str, key: str = "user_id", order: str = "hour_in
                                           *[fn(c).alias(c) for c, fn in further.items()])
     gain = F.aggregate("run", F.lit(0.0), lambda s, r: rate * r["x"] + kept * s)
     blocks = stage_table(blocks.select("*", F.col("run")[0]["x"].alias("first"), gain.alias("g"), F.pow(kept, F.size("run")).alias("d")), "ewma_blocks")
-    carried = blocks.join(block_starts(blocks, fan, levels), ["k", "b"])
+    # a block is few bytes for the rows that come out of it: it is neither broadcast nor coalesced with others by its size
+    carried = hash_spread(blocks, "k", "b").join(block_starts(blocks, fan, levels).hint("shuffle_hash"), ["k", "b"])
     after = vectors.running(F.col("run"), F.col("start"), lambda s, r: rate * r["x"] + kept * s)
     replayed = vectors.let(after, lambda a: F.arrays_zip(
         F.col("run.t").alias("t"), F.col("run.x").alias("x"),
@@ -116,7 +117,8 @@ def horizon_baselines(events: DataFrame, value: str, ts: str = "ts", key: str =
             .agg(F.sum(value).alias("_v"), F.max(ts).alias("_last")))
     spec = F.array(*[F.struct(F.lit(n).alias("time_window"), F.lit(l).alias("lambda"),
                               F.lit(s // base_seconds).alias("slots")) for n, l, s in windows])
-    buckets = (fine.withColumn("w", F.explode(spec))
+    # a user's slots, bounded by the calendar, are dealt before they are repeated for every horizon
+    buckets = (hash_spread(fine, key).withColumn("w", F.explode(spec))
                .groupBy(key, "w", F.floor(F.col("_slot") / F.col("w.slots")).alias("bucket"))
                .agg(F.round(F.sum("_v"), 2).alias("x"), F.max("_last").alias("_last")))
     series = buckets.select(F.struct(key, F.col("w.time_window").alias("time_window"), F.col("w.lambda").alias("lambda")).alias("series"),

@@ -224,3 +224,22 @@ def test_sketches_add_up_and_find_every_frequent_key(spark):
     dim = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, x int")
     got = joins.lookup_join(rows, dim, "k", sketched=whole, by=["s"])
     assert {(r.x, r["count"]) for r in got.groupBy("x").count().collect()} == {(1, 20_000), (2, 1), (None, 39_999)}
+
+
+def test_ewma_rows_are_dealt_by_block(spark):
+    """Blocks are few bytes for their rows: neither broadcast nor coalesced by size."""
+    df = spark.createDataFrame([(u, t, float(u + t)) for u in range(20) for t in range(30)], "user_id int, hour_index int, x double")
+    out = ewma.steps(df, "x", block=8, fan=2)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and out.count() == 600
+
+
+def test_global_sample_ranks_whole_rows_once_their_digest_is_known(spark):
+    rows = [(i % 90, i % 7, [float(i)] * 5) for i in range(900)]
+    df = spark.createDataFrame(rows, "a int, b int, wide array<double>")
+    import hashlib
+    order = sorted((hashlib.md5(f"3|{a}|{b}".encode()).hexdigest(), a, b) for a, b, _ in rows)
+    for cap in (1, 25, 5000):
+        out = ordering.capped_sample(df, ["a", "b"], [], cap, 3)
+        assert sorted((r.a, r.b) for r in out.collect()) == sorted((a, b) for _, a, b in order[:cap])
+    assert ordering.capped_sample(df.limit(0), ["a", "b"], [], 4, 3).count() == 0
+    assert "Subquery" in ordering.capped_sample(df, ["a", "b"], [], 4, 3)._jdf.queryExecution().executedPlan().toString()
